@@ -183,15 +183,16 @@ TYPED_VALUES = [
 ]
 
 
-def typed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def typed_log(spark: SparkSession, sf_dir: str, tables: int = len(TYPED_VALUES)) -> DataFrame:
     """Events whose column ``cell`` cycles through the type rules.
 
-    The number in the table name is the rule, so each table has one kind.
+    Rule ``r`` goes to table ``kind_{r % tables}``; by default each table has
+    one kind of value, with fewer tables several kinds meet in one column.
     """
     rule = F.col("event_id") % len(TYPED_VALUES)
     literal = F.element_at(F.array(*[F.lit(v) for v, _ in TYPED_VALUES]), rule.cast("int") + 1)
     record = F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"cell":'), literal, F.lit("}"))
-    target = F.concat(F.lit("kind_"), rule.cast("string"))
+    target = F.concat(F.lit("kind_"), (rule % tables).cast("string"))
     value = message(record, metadata_text(target), F.lit("insert"), F.lit(None).cast("string"))
     return source_events(spark, sf_dir, ["event_id"]).select(
         F.col("event_id").alias("seq"), value.alias("value")
