@@ -149,14 +149,35 @@ def extend_catalog(
 ) -> DataFrame:
     """Catalog after creating new tables and adding missing columns.
 
-    Established types stay; rows of tables without a change are kept as they are.
+    Established types stay; rows of tables without a change are kept as they
+    are. Both inputs are read once.
     """
-    added = new_tables(inferred, catalog).unionByName(missing_columns(inferred, catalog))
-    added = added.select(*_COLUMN, "data_type")
-    grown = catalog.select(*_COLUMN, "data_type").join(
-        added.select("table_name").distinct(), "table_name", "left_semi"
+    place = ["schema_name", *_COLUMN]
+    known = catalog.select(*place, "data_type", "ordinal", "last_updated", F.lit(0).alias("is_new"))
+    seen = inferred.select(
+        F.lit(schema_name).alias("schema_name"), *_COLUMN, "data_type", F.lit(1).alias("is_new")
     )
-    return refresh_catalog(catalog, grown.unionByName(added), schema_name, now)
+    merged = (
+        known.unionByName(seen, allowMissingColumns=True)
+        .groupBy(*place)
+        .agg(
+            F.min_by("data_type", "is_new").alias("data_type"),
+            F.max("ordinal").alias("ordinal"),
+            F.max("last_updated").alias("last_updated"),
+            F.min("is_new").alias("is_new"),
+        )
+    )
+    # both windows see the columns of one table
+    table = Window.partitionBy("schema_name", "table_name")
+    ordinal = F.row_number().over(table.orderBy(is_key_column(F.col("column_name")).desc(), F.col("column_name")))
+    stamp = F.current_timestamp() if now is None else now
+    numbered = merged.withColumn("__changed", F.max("is_new").over(table) == 1).withColumn("__place", ordinal)
+    return numbered.select(
+        *place,
+        "data_type",
+        F.when(F.col("__changed"), F.col("__place")).otherwise(F.col("ordinal")).alias("ordinal"),
+        F.when(F.col("__changed"), stamp).otherwise(F.col("last_updated")).alias("last_updated"),
+    ).select(*catalog.columns)
 
 
 def table_schema(catalog: DataFrame, table: str) -> DataFrame:

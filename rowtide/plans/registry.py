@@ -47,7 +47,8 @@ DIRTY = (
     WHEN rule = 71 AND op <> 'delete' THEN 'missing_key' END AS violation
   FROM dirty WHERE rule IS NULL OR rule NOT IN (97, 89))
 , batched AS (
-  SELECT *, CAST((row_number() OVER (ORDER BY seq) - 1) // 100 AS BIGINT) AS batch_id FROM decoded)
+  SELECT *, CAST((row_number() OVER (ORDER BY seq) - 1) // 100 AS BIGINT) AS batch_id,
+    CAST((row_number() OVER (ORDER BY seq) - 1) // 20 AS BIGINT) AS small_batch_id FROM decoded)
 """
 )
 

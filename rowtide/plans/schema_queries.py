@@ -104,7 +104,7 @@ SELECT table_name, column_name, data_type,
   CAST(row_number() OVER (PARTITION BY table_name ORDER BY is_key DESC, column_name) AS INTEGER) AS ordinal
 FROM (SELECT * FROM grown UNION ALL SELECT * FROM kinds)"""
 )
-def refresh_catalog(spark, sf_dir):
+def extend_catalog(spark, sf_dir):
     drift = _routed(logs.drift_log(spark, sf_dir))
     kinds = schema.infer_schema(_routed(logs.typed_log(spark, sf_dir)))
     before = schema.as_catalog(schema.infer_schema(drift, scope="first").unionByName(kinds))
@@ -112,6 +112,31 @@ def refresh_catalog(spark, sf_dir):
     return after.select("table_name", "column_name", "data_type", "ordinal")
 
 
+@query(
+    f"""WITH {LOG}
+, tables AS (SELECT DISTINCT 'users_' || (user_id % 3) AS table_name FROM events)
+, stale AS (SELECT table_name, 'id' AS column_name, 'TEXT' AS data_type, 1 AS ordinal FROM tables
+  UNION ALL SELECT table_name, 'gone', 'TEXT', 2 FROM tables
+  UNION ALL SELECT 'other', 'id', 'BIGINT', 1)
+, columns AS (
+  SELECT DISTINCT 'users_' || (user_id % 3) AS table_name, 'id' AS column_name, 'BIGINT' AS data_type, 1 AS ordinal FROM log
+  UNION ALL SELECT DISTINCT 'users_' || (user_id % 3), 'event_type', 'TEXT', 2 FROM log
+  UNION ALL SELECT DISTINCT 'users_' || (user_id % 3), 'k', 'BIGINT', 3 FROM log WHERE k IS NOT NULL
+  UNION ALL SELECT DISTINCT 'users_' || (user_id % 3), 'value', 'DOUBLE', 4 FROM log WHERE val IS NOT NULL)
+SELECT * FROM columns UNION ALL SELECT * FROM stale WHERE table_name = 'other'"""
+)
+def refresh_catalog(spark, sf_dir):
+    target = F.concat(F.lit("users_"), (F.col("user_id") % 3).cast("string"))
+    tables = logs.table(spark, sf_dir, "events").select(target.alias("table_name")).distinct()
+    names = F.array(F.lit("id"), F.lit("gone"))
+    stale = tables.select("table_name", F.explode(names).alias("column_name"), F.lit("TEXT").alias("data_type"))
+    other = spark.createDataFrame([("other", "id", "BIGINT")], "table_name string, column_name string, data_type string")
+    before = schema.as_catalog(stale.unionByName(other))
+    current = schema.infer_schema(_routed(logs.multi_table_log(spark, sf_dir)))
+    after = schema.refresh_catalog(before, current.drop("is_key"))
+    return after.select("table_name", "column_name", "data_type", "ordinal")
+
+
 @query(
     f"""WITH {DRIFT}, {_FIRST}
 SELECT column_name, data_type,
