@@ -31,13 +31,19 @@ def time_batches(df: DataFrame, ts: str = "timestamp", interval: str = FLUSH_INT
 def dedup_events(df: DataFrame, key: Sequence[str] = ("id",), seq: str = "seq") -> DataFrame:
     """One row per key, the earliest delivery.
 
-    Two aggregations on narrow rows, then a join on the unique sequence number:
-    a group of copies of any size is reduced before it is shuffled.
+    The aggregate sees only key and sequence number and combines before it
+    shuffles, so a group of copies may be of any size; the rows themselves are
+    then matched by their distinct sequence numbers.
     """
     first = df.groupBy(*key).agg(F.min(seq).alias(seq)).select(seq)
     return df.join(first, seq, "left_semi")
 
 
+def dedup_stream(events: DataFrame, key: str = "id", ts: str = "timestamp", late: str = "1 hour") -> DataFrame:
+    """Streaming form: copies that arrive within ``late`` of each other count once."""
+    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+
+
 def batch_outcome(df: DataFrame, batch: str = "batch_id", seq: str = "seq") -> DataFrame:
     """Per batch: rows, whether it commits, and the earliest error.
 

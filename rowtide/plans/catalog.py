@@ -6,5 +6,6 @@ from rowtide.plans import (  # noqa: F401
     metric_queries,
     replay_queries,
     schema_queries,
+    stream_queries,
 )
 from rowtide.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -124,9 +124,8 @@ def drift_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     For updates with ``event_id % 10 = 0`` it comes in the changes only.
     """
     events = source_events(spark, sf_dir)
-    last = table(spark, sf_dir, "events").agg(F.max("event_id").alias("last_id"))
-    joined = events.join(F.broadcast(last), F.col("event_id") <= F.col("last_id"))
-    late = F.col("event_id") * 3 >= 2 * (F.col("last_id") + 1)
+    last = table(spark, sf_dir, "events").agg(F.max("event_id")).scalar()
+    late = F.col("event_id") * 3 >= 2 * (last + 1)
     in_changes = late & (F.col("event_id") % 10 == 0) & F.col("event_type").isin("click", "view")
     extra = F.when(late & ~in_changes, F.col("event_id")).alias("extra")
     record = F.to_json(F.struct(*record_fields(), extra))
@@ -138,7 +137,7 @@ def drift_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         action_text(),
         F.when(in_changes, with_extra).otherwise(changes_text()),
     )
-    return joined.select(F.col("event_id").alias("seq"), value.alias("value"))
+    return events.select(F.col("event_id").alias("seq"), value.alias("value"))
 
 
 def entry_log(spark: SparkSession, sf_dir: str) -> DataFrame:

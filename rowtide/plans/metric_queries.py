@@ -43,18 +43,9 @@ _STREAKS = (
 SELECT *, uptime_seconds // 3600 || 'h ' || (uptime_seconds % 3600) // 60 || 'm' AS uptime_text FROM total"""
 )
 def flow_stats(spark, sf_dir):
-    log = logs.batch_log(spark, sf_dir)
-    last = logs.table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("now_at"))
-    stamped = log.join(F.broadcast(last), F.col("now_at").isNotNull())
     # the instant of the report is data here, so that the result is repeatable
-    stats = metrics.flow_stats(stamped.drop("now_at"), now=F.timestamp_seconds(F.lit(0)))
-    shift = F.unix_seconds("now_at")
-    return (
-        stats.join(F.broadcast(last), F.col("now_at").isNotNull())
-        .withColumn("uptime_seconds", F.col("uptime_seconds") + shift)
-        .withColumn("uptime_text", metrics.format_uptime(F.col("uptime_seconds")))
-        .drop("now_at")
-    )
+    last = logs.table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp"))).scalar()
+    return metrics.flow_stats(logs.batch_log(spark, sf_dir), now=last)
 
 
 @query(

@@ -115,11 +115,9 @@ def replay_append(spark, sf_dir):
 
 def _halves(spark, sf_dir):
     events = _changes(spark, sf_dir)
-    # two batches in arrival order: the cut is a one-row aggregate
-    middle = logs.table(spark, sf_dir, "events").agg(F.floor(F.max("event_id") / 2).alias("middle"))
-    first = events.join(F.broadcast(middle), F.col("seq") <= F.col("middle")).drop("middle")
-    second = events.join(F.broadcast(middle), F.col("seq") > F.col("middle")).drop("middle")
-    return first, second
+    # two batches in arrival order, cut in the middle of the sequence
+    middle = logs.table(spark, sf_dir, "events").agg(F.floor(F.max("event_id") / 2)).scalar()
+    return events.where(F.col("seq") <= middle), events.where(F.col("seq") > middle)
 
 
 @query(_UPSERT_ROWS)
