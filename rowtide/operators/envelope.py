@@ -47,7 +47,9 @@ def decode_envelope(
     instant = F.coalesce(F.col("given_timestamp"), F.current_timestamp() if now is None else now)
     return decoded.select(
         F.col(seq).cast("bigint").alias("seq"),
-        F.coalesce("given_id", ev.derived_id(F.lit(source), F.col(seq))).alias("id"),
+        F.when(
+            F.col("reject_reason").isNull(), F.coalesce("given_id", ev.derived_id(F.lit(source), F.col(seq)))
+        ).alias("id"),
         instant.alias("timestamp"),
         "record",
         "metadata",

@@ -177,7 +177,7 @@ class TableStore:
         """Append the folder of the table and the bucket of the key."""
         return rows.withColumns(
             {
-                "table_dir": F.lower(F.hex(F.encode("table_name", "UTF-8"))),
+                "table_dir": F.concat(F.lit("t"), F.lower(F.hex(F.encode("table_name", "UTF-8")))),
                 "bucket": F.pmod(F.xxhash64(F.coalesce("pk", F.lit(""))), F.lit(self.buckets)).cast("int"),
             }
         )
