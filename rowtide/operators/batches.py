@@ -31,12 +31,11 @@ def time_batches(df: DataFrame, ts: str = "timestamp", interval: str = FLUSH_INT
 def dedup_events(df: DataFrame, key: Sequence[str] = ("id",), seq: str = "seq") -> DataFrame:
     """One row per key, the earliest delivery.
 
-    The aggregate sees only key and sequence number and combines before it
-    shuffles, so a group of copies may be of any size; the rows themselves are
-    then matched by their distinct sequence numbers.
+    A combinable aggregate: of a group of copies, however large, each partition
+    passes on one.
     """
-    first = df.groupBy(*key).agg(F.min(seq).alias(seq)).select(seq)
-    return df.join(first, seq, "left_semi")
+    first = df.groupBy(*key).agg(F.min_by(F.struct(*df.columns), seq).alias("__first"))
+    return first.select("__first.*")
 
 
 def dedup_stream(events: DataFrame, key: str = "id", ts: str = "timestamp", late: str = "1 hour") -> DataFrame:

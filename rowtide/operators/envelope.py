@@ -37,30 +37,24 @@ def decode_envelope(
     payload = lossy_utf8(raw) if is_binary else text
     message = envelope_object(F.when(readable, text) if is_binary else text)
 
-    decoded = df.withColumn("payload", payload).select(
-        "*", F.inline_outer(F.transform(F.array(message), _event_fields))
-    )
+    parsed = compute_once(df.withColumn("payload", payload), message=message)
+    message = F.col("message")
+    reason = _reject_reason(message)
     if is_binary:
-        decoded = decoded.withColumn(
-            "reject_reason", F.when(~readable, F.lit("invalid_utf8")).otherwise(F.col("reject_reason"))
-        )
-    instant = F.coalesce(F.col("given_timestamp"), F.current_timestamp() if now is None else now)
-    return decoded.select(
+        reason = F.when(~readable, F.lit("invalid_utf8")).otherwise(reason)
+    given_id = canonical_uuid(text_of(message["id"]))
+    given_time = text_of(message["timestamp"]).try_cast("timestamp")
+    return parsed.select(
         F.col(seq).cast("bigint").alias("seq"),
-        F.when(
-            F.col("reject_reason").isNull(), F.coalesce("given_id", ev.derived_id(F.lit(source), F.col(seq)))
-        ).alias("id"),
-        instant.alias("timestamp"),
-        "record",
-        "metadata",
-        "action",
-        "changes",
+        F.coalesce(given_id, ev.derived_id(F.lit(source), F.col(seq))).alias("id"),
+        F.coalesce(given_time, F.current_timestamp() if now is None else now).alias("timestamp"),
+        *[text_of(message[name]).alias(name) for name in [*REQUIRED_FIELDS, "changes"]],
         "payload",
-        "reject_reason",
+        reason.alias("reject_reason"),
     )
 
 
-def _event_fields(message: Column) -> Column:
+def _reject_reason(message: Column) -> Column:
     def tag(name):
         return type_tag(message[name])
 
@@ -68,34 +62,22 @@ def _event_fields(message: Column) -> Column:
         return F.map_contains_key(message, name)
 
     own_names = F.filter(F.map_keys(message), lambda k: k.isin(ENVELOPE_FIELDS))
+    usable_id = (tag("id") == "STRING") & is_uuid_any_spelling(text_of(message["id"]))
+    instant = text_of(message["timestamp"])
+    usable_time = (
+        (tag("timestamp") == "STRING") & instant.rlike(RFC3339) & instant.try_cast("timestamp").isNotNull()
+    )
     reason = (
         F.when(message.isNull(), F.lit("not_an_object"))
         .when(F.size(F.array_distinct(own_names)) < F.size(own_names), F.lit("duplicate_field"))
-        .when(
-            has("id") & ~((tag("id") == "STRING") & is_uuid_any_spelling(text_of(message["id"]))),
-            F.lit("bad_id"),
-        )
-        .when(
-            has("timestamp")
-            & ~(
-                (tag("timestamp") == "STRING")
-                & text_of(message["timestamp"]).rlike(RFC3339)
-                & text_of(message["timestamp"]).try_cast("timestamp").isNotNull()
-            ),
-            F.lit("bad_timestamp"),
-        )
+        .when(has("id") & ~usable_id, F.lit("bad_id"))
+        .when(has("timestamp") & ~usable_time, F.lit("bad_timestamp"))
     )
     for name in REQUIRED_FIELDS:
         reason = reason.when(~has(name), F.lit(f"missing_{name}")).when(
             tag(name) != "STRING", F.lit(f"bad_{name}")
         )
-    reason = reason.when(has("changes") & ~tag("changes").isin("STRING", "VOID"), F.lit("bad_changes"))
-    return F.struct(
-        canonical_uuid(text_of(message["id"])).alias("given_id"),
-        text_of(message["timestamp"]).try_cast("timestamp").alias("given_timestamp"),
-        *[text_of(message[name]).alias(name) for name in [*REQUIRED_FIELDS, "changes"]],
-        reason.alias("reject_reason"),
-    )
+    return reason.when(has("changes") & ~tag("changes").isin("STRING", "VOID"), F.lit("bad_changes"))
 
 
 def decode_entries(
@@ -172,17 +154,13 @@ def make_events(
 
 def with_route(events: DataFrame) -> DataFrame:
     """Append ``table_name``, ``database_name`` (NULL unless strings) and ``op``."""
-    def fields(metadata):
-        return F.struct(
-            ev.table_name(metadata).alias("table_name"),
-            ev.database_name(metadata).alias("database_name"),
-        )
-
-    parsed = parse_object_typed(F.col("metadata"))
-    return events.select(
-        "*",
+    parsed = compute_once(events, __metadata=parse_object_typed(F.col("metadata")))
+    metadata = F.col("__metadata")
+    return parsed.select(
+        *events.columns,
         ev.operation(F.col("action")).alias("op"),
-        F.inline_outer(F.transform(F.array(parsed), fields)),
+        ev.table_name(metadata).alias("table_name"),
+        ev.database_name(metadata).alias("database_name"),
     )
 
 
@@ -200,20 +178,16 @@ def with_payload(routed: DataFrame) -> DataFrame:
     )
     changes_ok = (op != "update") | F.col("changes").isNull() | F.col("changes_map").isNotNull()
 
-    def keyed(payload: Column) -> Column:
-        name = ev.key_name(op, payload)
-        raw = F.transform(F.array(payload[name]), canonical_key)
-        return F.struct(
-            payload.alias("payload"),
-            name.alias("key_name"),
-            F.get(raw, F.lit(0)).alias("pk"),
-        )
-
-    merged = ev.merge_changes(op, F.col("record_map"), F.col("changes_map"))
-    return parsed.select(
+    merged = compute_once(
+        parsed, payload=ev.merge_changes(op, F.col("record_map"), F.col("changes_map"))
+    )
+    named = merged.withColumn("key_name", ev.key_name(op, F.col("payload")))
+    return named.select(
         *routed.columns,
         changes_ok.alias("changes_ok"),
-        F.inline_outer(F.transform(F.array(merged), keyed)),
+        "payload",
+        "key_name",
+        canonical_key(F.col("payload")[F.col("key_name")]).alias("pk"),
     )
 
 

@@ -85,7 +85,8 @@ def duplicate_keys(rows: DataFrame, key: str, target: DataFrame | None = None) -
 
 
 def list_by(df: DataFrame, key: str) -> DataFrame:
-    return df.orderBy(key)
+    """All rows in key order; the other columns break ties, so equal keys can be split."""
+    return df.orderBy(key, *[c for c in df.columns if c != key])
 
 
 def get_by(df: DataFrame, key: str, value) -> DataFrame:

@@ -23,11 +23,10 @@ _NULLS_LAST = 2**62
 
 def first_per_table(routed: DataFrame) -> DataFrame:
     """The first event of every table: the sample its schema is taken from."""
-    # Finding the number first keeps whole events out of the aggregation; the
-    # aggregate combines on the map side and has one row per table.
+    # combines on the map side: one event per table and partition is shuffled
     named = routed.where(F.col("table_name").isNotNull())
-    first = named.groupBy("table_name").agg(F.min("seq").alias("seq"))
-    return named.join(first, ["table_name", "seq"], "left_semi")
+    first = named.groupBy("table_name").agg(F.min_by(F.struct(*routed.columns), "seq").alias("first"))
+    return first.select("first.*")
 
 
 def typed_cells(routed: DataFrame, effective: bool = False) -> DataFrame:

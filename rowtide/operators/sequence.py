@@ -5,6 +5,8 @@ key holds a large share of the rows. Here every group is cut into ranges of the
 arrival sequence. Sequence numbers are distinct integers, so a range of
 ``2**bits`` numbers never holds more than that many rows: windows run inside
 the ranges, and what crosses a range border is carried by one small row each.
+The input is read twice, the second time for those small rows; materialize one
+that is costly to compute.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ def range_of(seq: str | Column, bits: int = RANGE_BITS) -> Column:
     return F.shiftright(column.cast("bigint"), bits)
 
 
-def _join_edges(rows: DataFrame, edges: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Equi-join keeping rows whose keys are NULL; edge key columns are dropped."""
-    renamed = edges.select(*[F.col(k).alias(f"__e_{k}") if k in keys else F.col(k) for k in edges.columns])
-    same = [F.col(k).eqNullSafe(F.col(f"__e_{k}")) for k in keys]
-    return rows.join(renamed, same, how).drop(*[f"__e_{k}" for k in keys])
+def _keyed(df: DataFrame, seq: str, by: Sequence[str], bits: int) -> DataFrame:
+    # One struct per group is never NULL, so that groups whose columns are NULL
+    # meet in a plain equality join on the partitioning that is already there.
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    return df.withColumns({"__range": range_of(seq, bits), "__group": group})
+
+
+_KEYS = ["__range", "__group"]
 
 
 def with_position(
@@ -41,40 +46,25 @@ def with_position(
     window sees more than ``2**bits`` rows, but for the last one over blocks:
     63-bit numbers make at most ``2**(63 - 2*bits)`` of them.
     """
-    by = list(by)
-    ranged = df.withColumn("__range", range_of(seq, bits))
-    keys = [*by, "__range"]
-    local = ranged.withColumn(
-        "__local", F.row_number().over(Window.partitionBy(*keys).orderBy(seq))
-    )
+    ranged = _keyed(df, seq, by, bits)
+    local = ranged.withColumn("__local", F.row_number().over(Window.partitionBy(*_KEYS).orderBy(seq)))
     sizes = (
-        ranged.groupBy(*keys).agg(F.count("*").alias("__n")).withColumn("__block", range_of("__range", bits))
+        ranged.groupBy(*_KEYS).agg(F.count("*").alias("__n")).withColumn("__block", range_of("__range", bits))
     )
-    in_block = sizes.select(
-        *keys,
-        "__block",
-        F.coalesce(
-            F.sum("__n").over(
-                Window.partitionBy(*by, "__block").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("__in_block"),
-    )
-    blocks = sizes.groupBy(*by, "__block").agg(F.sum("__n").alias("__block_n"))
+
+    def sum_before(column: str, group: list[str], order: str) -> Column:
+        earlier = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(column).over(earlier), F.lit(0))
+
+    in_block = sizes.withColumn("__in_block", sum_before("__n", ["__block", "__group"], "__range"))
+    blocks = sizes.groupBy("__block", "__group").agg(F.sum("__n").alias("__block_n"))
     blocks = blocks.select(
-        *by,
-        "__block",
-        F.coalesce(
-            F.sum("__block_n").over(
-                Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("__before_block"),
+        "__block", "__group", sum_before("__block_n", ["__group"], "__block").alias("__before_block")
     )
-    offsets = _join_edges(in_block, blocks, [*by, "__block"], "inner").select(
-        *keys, (F.col("__in_block") + F.col("__before_block")).alias("__offset")
+    offsets = in_block.join(blocks, ["__block", "__group"]).select(
+        *_KEYS, (F.col("__in_block") + F.col("__before_block")).alias("__offset")
     )
-    placed = _join_edges(local, offsets, keys, "inner")
+    placed = local.join(offsets, _KEYS)
     return placed.select(*df.columns, (F.col("__local") + F.col("__offset")).alias(name))
 
 
@@ -87,20 +77,18 @@ def with_previous(
     bits: int = RANGE_BITS,
 ) -> DataFrame:
     """Append ``value`` of the preceding row of the same group, NULL for the first."""
-    by = list(by)
-    keys = [*by, "__range"]
-    ranged = df.withColumn("__range", range_of(seq, bits))
-    in_range = Window.partitionBy(*keys).orderBy(seq)
+    ranged = _keyed(df, seq, by, bits)
+    in_range = Window.partitionBy(*_KEYS).orderBy(seq)
     local = ranged.withColumn("__prev", F.lag(value).over(in_range)).withColumn(
         "__first", F.row_number().over(in_range) == 1
     )
     edges = (
-        ranged.groupBy(*keys)
+        ranged.groupBy(*_KEYS)
         .agg(F.max_by(value, seq).alias("__last"))
-        .select(*keys, F.lag("__last").over(Window.partitionBy(*by).orderBy("__range")).alias("__carried"))
+        .select(*_KEYS, F.lag("__last").over(Window.partitionBy("__group").orderBy("__range")).alias("__carried"))
         .where(F.col("__carried").isNotNull())
     )
-    joined = _join_edges(local, edges, keys, "left")
+    joined = local.join(edges, _KEYS, "left")
     return joined.select(
         *df.columns, F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__prev")).alias(name)
     )
@@ -115,21 +103,19 @@ def with_run_length(
     bits: int = RANGE_BITS,
 ) -> DataFrame:
     """Append how many rows in a row, up to and with this one, satisfy ``in_run``."""
-    by = list(by)
-    keys = [*by, "__range"]
-    ranged = df.withColumn("__range", range_of(seq, bits)).withColumn("__in", F.coalesce(in_run, F.lit(False)))
-    upto = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = _keyed(df, seq, by, bits).withColumn("__in", F.coalesce(in_run, F.lit(False)))
+    upto = Window.partitionBy(*_KEYS).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("__pos", F.count("*").over(upto))
     # nearest break so far inside the range; 0 while the run came in from before
     local = local.withColumn("__break", F.coalesce(F.max(F.when(~F.col("__in"), F.col("__pos"))).over(upto), F.lit(0)))
     # per range: the run it ends with, and whether it was broken inside
-    edges = local.groupBy(*keys).agg(
+    edges = local.groupBy(*_KEYS).agg(
         F.count("*").alias("__n"), F.max("__break").alias("__last_break")
     )
-    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("__group").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.withColumn("__offset", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
     edges = edges.select(
-        *keys,
+        *_KEYS,
         (
             F.col("__offset")
             - F.coalesce(
@@ -138,7 +124,7 @@ def with_run_length(
             )
         ).alias("__carried"),
     ).where(F.col("__carried") > 0)
-    joined = _join_edges(local, edges, keys, "left")
+    joined = local.join(edges, _KEYS, "left")
     carried = F.when(F.col("__break") == 0, F.coalesce("__carried", F.lit(0))).otherwise(F.lit(0))
     return joined.select(
         *df.columns, (F.col("__pos") - F.col("__break") + carried).cast("bigint").alias(name)

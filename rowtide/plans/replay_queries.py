@@ -8,6 +8,7 @@ from rowtide.functions.values import cast_raw
 from rowtide.operators import batches, envelope, lookup, replay
 from rowtide.plans import logs
 from rowtide.plans.registry import DIRTY, LIVE, LOG, UPSERT, query
+from rowtide.session import materialize
 
 _UPSERT_ROWS = UPSERT + "SELECT * FROM final"
 
@@ -76,7 +77,8 @@ SELECT 'users' AS table_name, CAST(user_id AS VARCHAR) AS pk, seq, op FROM marke
 WHERE op <> 'delete' AND previous_op IS NOT NULL AND previous_op <> 'delete'"""
 )
 def replay_replace_violations(spark, sf_dir):
-    return replay.key_violations(_changes(spark, sf_dir))
+    events = _changes(spark, sf_dir).select("table_name", "pk", "seq", "op", "payload")
+    return replay.key_violations(materialize(events, "changes"))
 
 
 @query(
@@ -114,7 +116,8 @@ def replay_append(spark, sf_dir):
 
 
 def _halves(spark, sf_dir):
-    events = _changes(spark, sf_dir)
+    columns = ["table_name", "pk", "seq", "op", "payload", "key_name"]
+    events = materialize(_changes(spark, sf_dir).select(*columns), "changes")
     # two batches in arrival order, cut in the middle of the sequence
     middle = logs.table(spark, sf_dir, "events").agg(F.floor(F.max("event_id") / 2)).scalar()
     return events.where(F.col("seq") <= middle), events.where(F.col("seq") > middle)
@@ -132,8 +135,9 @@ def replay_incremental(spark, sf_dir):
 SELECT seq, batch_id FROM batched WHERE rule = 71 AND op = 'delete'"""
 )
 def skipped_deletes(spark, sf_dir):
-    events = batches.count_batches(logs.changes(logs.dirty_log(spark, sf_dir)))
-    return replay.skipped_deletes(events).select("seq", "batch_id")
+    columns = ["seq", "op", "table_name", "payload", "key_name"]
+    events = materialize(logs.changes(logs.dirty_log(spark, sf_dir)).select(*columns), "changes")
+    return replay.skipped_deletes(batches.count_batches(events)).select("seq", "batch_id")
 
 
 @query(f"WITH {DIRTY} SELECT seq, op, violation FROM decoded WHERE violation IS NOT NULL")
@@ -142,8 +146,8 @@ def row_violations(spark, sf_dir):
 
 
 def _dirty_batches(spark, sf_dir, n=100):
-    events = logs.changes(logs.dirty_log(spark, sf_dir)).select("seq", "op", "table_name", "payload", "key_name", "pk")
-    return batches.count_batches(replay.with_violation(events), n)
+    events = replay.with_violation(logs.changes(logs.dirty_log(spark, sf_dir))).select("seq", "op", "violation")
+    return batches.count_batches(materialize(events, "checked"), n)
 
 
 @query(
@@ -178,7 +182,7 @@ def isolated_rows(spark, sf_dir):
 @query(f"WITH {DIRTY} SELECT seq, batch_id FROM batched")
 def count_batches(spark, sf_dir):
     good = logs.good_events(logs.dirty_log(spark, sf_dir)).select("seq")
-    return batches.count_batches(good)
+    return batches.count_batches(materialize(good, "sequence"))
 
 
 @query(

@@ -8,6 +8,7 @@ from rowtide.operators import envelope, schema
 from rowtide.operators.replay import replay_upsert_wide
 from rowtide.plans import logs
 from rowtide.plans.registry import DRIFT, LOG, UPSERT, query
+from rowtide.session import materialize
 
 _KINDS = len(logs.TYPED_VALUES)
 _KIND_TYPE = "CASE event_id % 18 " + " ".join(
@@ -33,6 +34,16 @@ def _routed(log):
     return envelope.with_route(logs.good_events(log))
 
 
+def _stored(log):
+    """Routed events for several readers."""
+    events = _routed(log).select("seq", "table_name", "op", "record", "changes")
+    return materialize(events, "routed")
+
+
+def _stored_catalog(inferred):
+    return materialize(schema.as_catalog(inferred), "catalog")
+
+
 @query(
     f"""SELECT event_id AS seq, 'cell' AS column_name, {_KIND_TYPE} AS data_type FROM events
 UNION ALL SELECT event_id, 'id', 'BIGINT' FROM events"""
@@ -82,8 +93,8 @@ SELECT 'users' AS table_name, column_name, data_type, is_key FROM batch_columns
 WHERE NOT EXISTS (SELECT 1 FROM first_columns f WHERE f.column_name = b.column_name)"""
 )
 def missing_columns(spark, sf_dir):
-    routed = _routed(logs.drift_log(spark, sf_dir))
-    catalog = schema.as_catalog(schema.infer_schema(routed, scope="first"))
+    routed = _stored(logs.drift_log(spark, sf_dir))
+    catalog = _stored_catalog(schema.infer_schema(routed, scope="first"))
     return schema.missing_columns(schema.infer_schema(routed), catalog)
 
 
@@ -105,9 +116,9 @@ SELECT table_name, column_name, data_type,
 FROM (SELECT * FROM grown UNION ALL SELECT * FROM kinds)"""
 )
 def extend_catalog(spark, sf_dir):
-    drift = _routed(logs.drift_log(spark, sf_dir))
+    drift = _stored(logs.drift_log(spark, sf_dir))
     kinds = schema.infer_schema(_routed(logs.typed_log(spark, sf_dir)))
-    before = schema.as_catalog(schema.infer_schema(drift, scope="first").unionByName(kinds))
+    before = _stored_catalog(schema.infer_schema(drift, scope="first").unionByName(kinds))
     after = schema.extend_catalog(before, schema.infer_schema(drift))
     return after.select("table_name", "column_name", "data_type", "ordinal")
 
@@ -149,7 +160,7 @@ def table_schema(spark, sf_dir):
 
 @query("SELECT DISTINCT 'users_' || (user_id % 5) AS table_name, user_id % 5 < 3 AS \"exists\" FROM events")
 def table_exists(spark, sf_dir):
-    catalog = schema.as_catalog(schema.infer_schema(_routed(logs.multi_table_log(spark, sf_dir)), scope="first"))
+    catalog = _stored_catalog(schema.infer_schema(_routed(logs.multi_table_log(spark, sf_dir)), scope="first"))
     wanted = F.concat(F.lit("users_"), (F.col("user_id") % 5).cast("string")).alias("table_name")
     names = logs.table(spark, sf_dir, "events").select(wanted).distinct()
     return schema.table_exists(names, catalog)
@@ -167,9 +178,9 @@ WHERE table_name <> 'users_0' AND op <> 'delete'
   AND (k IS NOT NULL OR (val IS NOT NULL AND table_name NOT IN (SELECT table_name FROM has_value)))"""
 )
 def schema_policy(spark, sf_dir):
-    routed = _routed(logs.multi_table_log(spark, sf_dir))
+    routed = _stored(logs.multi_table_log(spark, sf_dir))
     first = schema.infer_schema(routed, scope="first")
-    catalog = schema.as_catalog(first.where(F.col("table_name") != "users_0"))
+    catalog = _stored_catalog(first.where(F.col("table_name") != "users_0"))
     return schema.schema_violations(routed, catalog, auto_create=False, auto_add=False)
 
 
@@ -186,8 +197,8 @@ WHERE rule IN (7, 8, 9, 10, 11, 13, 14, 15, 16, 17)
   AND NOT (column_type = 'BIGINT' AND value_type = 'BIGINT')"""
 )
 def type_conflicts(spark, sf_dir):
-    routed = _routed(logs.typed_log(spark, sf_dir, tables=6))
-    catalog = schema.as_catalog(schema.infer_schema(routed, scope="first"))
+    routed = _stored(logs.typed_log(spark, sf_dir, tables=6))
+    catalog = _stored_catalog(schema.infer_schema(routed, scope="first"))
     return schema.type_conflicts(routed, catalog).drop("raw")
 
 
@@ -200,6 +211,6 @@ FROM mixed
 UNION ALL SELECT 'kind_' || t, seq, 'id', 'BIGINT', CAST(seq AS VARCHAR) FROM mixed"""
 )
 def cast_cells(spark, sf_dir):
-    routed = _routed(logs.typed_log(spark, sf_dir, tables=6))
-    catalog = schema.as_catalog(schema.infer_schema(routed, scope="first"))
+    routed = _stored(logs.typed_log(spark, sf_dir, tables=6))
+    catalog = _stored_catalog(schema.infer_schema(routed, scope="first"))
     return schema.cast_cells(routed, catalog)

@@ -15,6 +15,7 @@ from rowtide.streaming.store import EventLogStore, TableStore
 
 _USERS = UPSERT + "SELECT * FROM final"
 PIECES = 3
+FILES = 4
 
 
 def _pieces(log: DataFrame, n: int = PIECES) -> list[DataFrame]:
@@ -25,10 +26,14 @@ def _pieces(log: DataFrame, n: int = PIECES) -> list[DataFrame]:
 
 
 def _landed(log: DataFrame, path: str) -> None:
-    # one file per piece and one piece after the other: file sources take
-    # files in the order they were written
+    # one piece after the other: file sources take files in the order they
+    # were written, so with FILES per trigger each piece is one batch
     for piece in _pieces(log):
-        land_text(piece.coalesce(1), path)
+        _land_piece(piece, path)
+
+
+def _land_piece(piece: DataFrame, path: str) -> None:
+    land_text(piece.repartition(FILES), path)
 
 
 def _drain(source: DataFrame, sinks, root: str, **options) -> None:
@@ -44,7 +49,7 @@ def stream_replay(spark, sf_dir):
     root = work_dir(spark, "stream_replay")
     _landed(logs.change_log(spark, sf_dir), f"{root}/in")
     store = TableStore(spark, f"{root}/tables", buckets=4)
-    _drain(read_changes(spark, f"{root}/in", max_per_trigger=1), [store], root)
+    _drain(read_changes(spark, f"{root}/in", max_per_trigger=FILES), [store], root)
     return _users(store)
 
 
@@ -60,7 +65,7 @@ def stream_fan_out(spark, sf_dir):
     _landed(logs.dirty_log(spark, sf_dir), f"{root}/in")
     first = EventLogStore(spark, f"{root}/first", "dirty")
     second = EventLogStore(spark, f"{root}/second", "dirty")
-    source = read_changes(spark, f"{root}/in", max_per_trigger=2)
+    source = read_changes(spark, f"{root}/in", max_per_trigger=2 * FILES)
     _drain(source, [first, second], root, rejects_path=f"{root}/rejects")
     by_id = first.read().join(second.read().select("id"), "id", "left_semi")
     ids = logs.table(spark, sf_dir, "events").select(
@@ -89,7 +94,7 @@ def stream_resume(spark, sf_dir):
     pieces = _pieces(logs.change_log(spark, sf_dir))
     for part in (pieces[:2], pieces[2:]):
         for piece in part:
-            land_text(piece.coalesce(1), f"{root}/in")
+            _land_piece(piece, f"{root}/in")
         _drain(read_changes(spark, f"{root}/in"), [store], root)
     return _users(store)
 
@@ -140,7 +145,7 @@ def stream_throughput(spark, sf_dir):
     """Per-minute counts kept by the stream itself."""
     root = work_dir(spark, "stream_throughput")
     _landed(logs.change_log(spark, sf_dir), f"{root}/in")
-    decoded = envelope.decode_envelope(read_changes(spark, f"{root}/in", max_per_trigger=2))
+    decoded = envelope.decode_envelope(read_changes(spark, f"{root}/in", max_per_trigger=2 * FILES))
     series = metrics.throughput(envelope.split_rejects(decoded)[0], late="10 minutes")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
@@ -160,8 +165,8 @@ def stream_dedup(spark, sf_dir):
     root = work_dir(spark, "stream_dedup")
     for piece in _pieces(logs.change_log(spark, sf_dir)):
         twice = piece.select("seq", "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-        land_text(twice.coalesce(1), f"{root}/in")
-    decoded = envelope.decode_envelope(read_changes(spark, f"{root}/in", max_per_trigger=2))
+        _land_piece(twice, f"{root}/in")
+    decoded = envelope.decode_envelope(read_changes(spark, f"{root}/in", max_per_trigger=2 * FILES))
     once = batches.dedup_stream(envelope.split_rejects(decoded)[0], "id", late="1 day")
     writer = once.select("id", "action", "record").writeStream.format("parquet").trigger(availableNow=True)
     writer.option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").start().awaitTermination()

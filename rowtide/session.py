@@ -5,14 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-# Needed for right results: names differing only in case are different columns,
-# nested duplicate keys keep the last value, instants are read and shown in UTC.
 RUNTIME_SETTINGS = {
+    # Needed for right results: names differing only in case are different
+    # columns, nested duplicate keys keep the last value, instants are in UTC.
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.caseSensitive": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Plain joins on a key that holds much of a table are split at run time,
+    # also where the split costs one more shuffle.
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
@@ -48,3 +53,14 @@ def work_dir(spark: SparkSession, label: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="rowtide-")
     return f"{base.rstrip('/')}/rowtide/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write a result that several later steps read, and go on from the files.
+
+    The parse behind it runs once, later steps read only their columns, the
+    size is known when joins are planned, and lost executors cost no recompute.
+    """
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
