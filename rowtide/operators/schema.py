@@ -83,13 +83,15 @@ def infer_schema(routed: DataFrame, scope: str = "batch") -> DataFrame:
     first non-null value of each column.
     """
     if scope == "first":
-        values = typed_cells(first_per_table(routed))
-        order = F.col("seq")
-    elif scope == "batch":
-        values = typed_cells(routed, effective=True)
-        order = F.when(F.col("is_null"), F.col("seq") + _NULLS_LAST).otherwise(F.col("seq"))
-    else:
-        raise ValueError(f"scope must be 'first' or 'batch', not {scope!r}")
+        return infer_from_cells(typed_cells(first_per_table(routed)))
+    if scope == "batch":
+        return infer_from_cells(typed_cells(routed, effective=True))
+    raise ValueError(f"scope must be 'first' or 'batch', not {scope!r}")
+
+
+def infer_from_cells(values: DataFrame) -> DataFrame:
+    """Column types from typed cells: the first non-null value of each column decides."""
+    order = F.when(F.col("is_null"), F.col("seq") + _NULLS_LAST).otherwise(F.col("seq"))
     inferred = values.groupBy(*_COLUMN).agg(F.min_by("type_code", order).alias("type_code"))
     return inferred.select(
         *_COLUMN, type_name(F.col("type_code")).alias("data_type"), is_key_column(F.col("column_name")).alias("is_key")
@@ -198,8 +200,11 @@ def table_exists(names: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def type_conflicts(routed: DataFrame, catalog: DataFrame) -> DataFrame:
     """Values that cannot be stored in the established type of their column."""
-    values = typed_cells(routed, effective=True).where(~F.col("is_null"))
-    joined = values.join(catalog.select(*_COLUMN, "data_type"), _COLUMN)
+    return conflicting_cells(typed_cells(routed, effective=True), catalog)
+
+
+def conflicting_cells(values: DataFrame, catalog: DataFrame) -> DataFrame:
+    joined = values.where(~F.col("is_null")).join(catalog.select(*_COLUMN, "data_type"), _COLUMN)
     value_type = type_name(F.col("type_code"))
     # An integer beyond 64 signed bits has an integer's type yet no room.
     overflow = (

@@ -126,7 +126,8 @@ def _halves(spark, sf_dir):
 @query(_UPSERT_ROWS)
 def replay_incremental(spark, sf_dir):
     first, second = _halves(spark, sf_dir)
-    state = replay.apply_batch(replay.replay(first), second)
+    held = materialize(replay.replay(first), "state")
+    state = replay.apply_batch(held, second)
     return replay.to_table(state, "users", logs.USERS_COLUMNS)
 
 

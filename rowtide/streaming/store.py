@@ -81,12 +81,13 @@ class TableStore:
         auto_create: bool = True,
         auto_add: bool = True,
         scope: str = "batch",
+        check_types: bool = True,
         schema_name: str = "public",
         flow: str = "flow",
         sink: str = "tables",
     ):
         self.spark, self.root, self.policy, self.buckets = spark, root.rstrip("/"), policy, buckets
-        self.auto_create, self.auto_add, self.scope = auto_create, auto_add, scope
+        self.auto_create, self.auto_add, self.scope, self.check_types = auto_create, auto_add, scope, check_types
         self.schema_name, self.name = schema_name, sink
         self.ledger = Ledger(spark, self.root, flow, sink)
 
@@ -117,8 +118,14 @@ class TableStore:
         return self.catalog().select("table_name").distinct()
 
     def failed(self) -> DataFrame:
-        """Events of batches that were refused, with their batch and violation."""
-        return self.spark.read.parquet(f"{self.root}/failed")
+        """Events of the batches that are still refused, with batch and violation."""
+        refused = self.ledger.rows().where(~F.col("ok")).select(F.col("batch_id").alias("batch"))
+        return self.spark.read.parquet(f"{self.root}/failed").join(refused, "batch", "left_semi")
+
+    def retry(self, batch_id: int) -> bool:
+        """Run a refused batch again, on top of what was written since."""
+        events = self.spark.read.parquet(f"{self.root}/failed/batch={batch_id}").drop("violation")
+        return self.apply(events, batch_id)
 
     def _read_buckets(self, manifest: DataFrame) -> DataFrame:
         # the list of files, not their rows: tables x buckets at most
@@ -136,36 +143,60 @@ class TableStore:
         if self.ledger.done(batch_id):
             return True
         started = time.time()
-        version = self.ledger.last_version()
-        catalog = self.catalog(version)
-        checked = self._with_violations(events, catalog, version)
-        outcome = batches.batch_outcome(checked.withColumn("batch_id", F.lit(batch_id))).first()
-        if outcome is None:
-            self.ledger.write(batch_id, started, rejected, 0, True, None, version, rejected)
-            return True
-        rows_in = outcome["rows"] + rejected
-        if not outcome["ok"]:
-            checked.write.mode("overwrite").parquet(f"{self.root}/failed/batch={batch_id}")
-            self.ledger.write(batch_id, started, rows_in, 0, False, outcome["first_error"], version, rejected)
-            return False
-        self._write_version(events, catalog, version, batch_id)
-        self.ledger.write(batch_id, started, rows_in, outcome["rows"], True, None, batch_id, rejected)
+        current = self.ledger.last_version()
+        # the next number whatever the batch: a run cut short left nothing in
+        # the ledger and its files are written over
+        version = 0 if current is None else current + 1
+        catalog = self.catalog(current)
+        cells = schema.typed_cells(events, effective=True).persist()
+        try:
+            grown = self._grow_catalog(events, cells, catalog, version)
+            checked = self._with_violations(events, cells, catalog, grown, current)
+            outcome = batches.batch_outcome(checked.withColumn("batch_id", F.lit(batch_id))).first()
+            if outcome is None:
+                self.ledger.write(batch_id, started, rejected, 0, True, None, current, rejected)
+                return True
+            rows_in = outcome["rows"] + rejected
+            if not outcome["ok"]:
+                checked.write.mode("overwrite").parquet(f"{self.root}/failed/batch={batch_id}")
+                self.ledger.write(batch_id, started, rows_in, 0, False, outcome["first_error"], current, rejected)
+                return False
+        finally:
+            cells.unpersist()
+        self._write_version(events, current, version)
+        self.ledger.write(batch_id, started, rows_in, outcome["rows"], True, None, version, rejected)
         return True
 
-    def _with_violations(self, events: DataFrame, catalog: DataFrame, version: int | None) -> DataFrame:
+    def _grow_catalog(self, events, cells, catalog: DataFrame, version: int) -> DataFrame:
+        first_only = self.scope == "first"
+        inferred = schema.infer_schema(events, "first") if first_only else schema.infer_from_cells(cells)
+        path = f"{self.root}/catalog/version={version}"
+        grown = schema.extend_catalog(catalog, inferred, self.schema_name)
+        grown.coalesce(1).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(CATALOG).parquet(path)
+
+    def _with_violations(self, events, cells, catalog: DataFrame, grown: DataFrame, version: int | None) -> DataFrame:
         checked = replay.with_violation(events, self.policy)
-        extra = []
+        found = []
         if not (self.auto_create and self.auto_add):
-            extra.append(
-                schema.schema_violations(events, catalog, self.auto_create, self.auto_add).select("seq", "violation")
+            refused = schema.schema_violations(events, catalog, self.auto_create, self.auto_add)
+            found.append(refused.select("seq", "violation"))
+        if self.scope == "first":
+            # columns the sample did not show are not in the table
+            unseen = schema.schema_violations(events, grown, auto_add=False)
+            found.append(unseen.select("seq", "violation"))
+        if self.check_types:
+            writes = events.where(F.col("op") != "delete").select("seq")
+            clashes = schema.conflicting_cells(cells, grown).select("seq").distinct()
+            found.append(
+                clashes.join(writes, "seq", "left_semi").withColumn("violation", F.lit("type_conflict"))
             )
         if self.policy == "replace":
             held = self._read_buckets(self._touched(events, version))
-            extra.append(
-                replay.key_violations(events, held).select("seq", F.lit("duplicate_key").alias("violation"))
-            )
-        for found in extra:
-            named = found.select("seq", F.col("violation").alias("__found"))
+            again = replay.key_violations(events, held).select("seq")
+            found.append(again.withColumn("violation", F.lit("duplicate_key")))
+        for one in found:
+            named = one.select("seq", F.col("violation").alias("__found"))
             checked = (
                 checked.join(named, "seq", "left")
                 .withColumn("violation", F.coalesce("violation", "__found"))
@@ -187,30 +218,25 @@ class TableStore:
         places = self._placed(events.select("table_name", "pk")).select("table_dir", "bucket").distinct()
         return self.manifest(version).join(places, ["table_dir", "bucket"], "left_semi")
 
-    def _write_version(self, events: DataFrame, catalog: DataFrame, version: int | None, batch_id: int) -> None:
-        touched = self._touched(events, version)
-        before = self._read_buckets(touched)
-        after = self._placed(replay.apply_batch(before, events, self.policy))
+    def _write_version(self, events: DataFrame, current: int | None, version: int) -> None:
+        touched = self._touched(events, current)
+        after = self._placed(replay.apply_batch(self._read_buckets(touched), events, self.policy))
         # one folder per table and bucket; large ones are split, small ones merged
         after.hint("rebalance", "table_dir", "bucket").write.mode("overwrite").partitionBy(
             "table_dir", "bucket"
-        ).parquet(f"{self.root}/data/version={batch_id}")
-
-        inferred = schema.infer_schema(events, self.scope)
-        grown = schema.extend_catalog(catalog, inferred, self.schema_name)
-        grown.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/catalog/version={batch_id}")
+        ).parquet(f"{self.root}/data/version={version}")
 
         written = read_or_empty(
-            self.spark, f"{self.root}/data/version={batch_id}", f"{STATE}, table_dir STRING, bucket INT"
+            self.spark, f"{self.root}/data/version={version}", f"{STATE}, table_dir STRING, bucket INT"
         )
-        current = written.select(
-            "table_name", "table_dir", "bucket", F.lit(batch_id).cast("bigint").alias("data_version")
+        fresh = written.select(
+            "table_name", "table_dir", "bucket", F.lit(version).cast("bigint").alias("data_version")
         ).distinct()
         # buckets whose last row was deleted leave the list
-        kept = self.manifest(version).join(touched.select("table_dir", "bucket"), ["table_dir", "bucket"], "left_anti")
+        kept = self.manifest(current).join(touched.select("table_dir", "bucket"), ["table_dir", "bucket"], "left_anti")
         columns = ["table_name", "table_dir", "bucket", "data_version"]
-        kept.select(*columns).unionByName(current.select(*columns)).coalesce(1).write.mode("overwrite").parquet(
-            f"{self.root}/manifest/version={batch_id}"
+        kept.select(*columns).unionByName(fresh.select(*columns)).coalesce(1).write.mode("overwrite").parquet(
+            f"{self.root}/manifest/version={version}"
         )
 
 

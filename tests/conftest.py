@@ -11,6 +11,6 @@ def spark():
     from rowtide.session import local_session
 
     session = local_session(8)
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.shuffle.partitions", "3")
     yield session
     session.stop()

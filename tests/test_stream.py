@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from rowtide.operators import envelope, replay
+from rowtide.operators import envelope, metrics, replay
 from rowtide.sources.changes import land_text, read_changes
 from rowtide.streaming.flow import read_rejects, run_flow
 from rowtide.streaming.store import EventLogStore, TableStore
@@ -142,6 +142,41 @@ def test_policies_of_the_store(spark, tmp_path):
     assert closed.ledger.rows().first().error == "missing_table" and closed.state().count() == 0
     fixed = TableStore(spark, str(tmp_path / "replace"), auto_add=False, buckets=2)
     assert not fixed.apply(events([(2, "t", "1", "insert", {"id": "1", "b": "y"})]), 2)
+    # the refused second insert is accepted once its key is gone
+    assert replace.apply(events([(3, "t", "1", "delete", {"id": "1"})]), 3)
+    assert replace.retry(1)
+    assert as_dict(replace.state()) == {("t", "1"): {"id": "1", "a": "y"}}
+    assert {r.batch for r in replace.failed().collect()} == {2}
+
+
+def test_types_and_sample_scope_of_the_store(spark, tmp_path):
+    def events(log):
+        return envelope.change_rows(envelope.split_rejects(envelope.decode_envelope(messages(spark, log)))[0])
+
+    first = [(0, "t", "1", "insert", {"id": 1, "n": 5}), (1, "t", "2", "insert", {"id": 2, "n": None})]
+    wrong = [(2, "t", "3", "insert", {"id": 3, "n": "five"}), (3, "t", "1", "delete", {"id": 1})]
+    strict = TableStore(spark, str(tmp_path / "strict"), buckets=2)
+    assert strict.apply(events(first), 0) and not strict.apply(events(wrong), 1)
+    assert strict.ledger.rows().where("not ok").first().error == "type_conflict"
+    assert sorted(tuple(r) for r in strict.table("t").collect()) == [(1, 5), (2, None)]
+    lax = TableStore(spark, str(tmp_path / "lax"), buckets=2, check_types=False)
+    assert lax.apply(events(first), 0) and lax.apply(events(wrong), 1)
+    assert sorted(tuple(r) for r in lax.table("t").collect()) == [(2, None), (3, None)]
+    # the sample of a batch does not show a column of a later event
+    sample = TableStore(spark, str(tmp_path / "sample"), buckets=2, scope="first")
+    assert not sample.apply(events([*first, (4, "t", "4", "insert", {"id": 4, "late": 1})]), 0)
+    assert sample.ledger.rows().first().error == "missing_column"
+
+
+def test_ledger_is_the_batch_log(spark, tmp_path):
+    log = [(0, "t", "1", "insert", {"id": "1", "a": "x"}), (1, "t", None, "insert", {"a": "no key"})]
+    land(spark, log[:1], tmp_path / "in")
+    land(spark, log[1:], tmp_path / "in")
+    store = TableStore(spark, str(tmp_path / "tables"), buckets=2, flow="f")
+    drain(spark, tmp_path, [store])
+    stats = metrics.flow_stats(store.ledger.rows()).first()
+    assert (stats.flow, stats.received, stats.written, stats.errors, stats.last_error) == ("f", 2, 1, 1, "missing_key")
+    assert metrics.threshold_alerts(store.ledger.rows(), n=1).first().batch_id == 1
 
 
 def test_odd_table_names(spark, tmp_path):
