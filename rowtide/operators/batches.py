@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from rowtide.operators.replay import VIOLATIONS
 from rowtide.operators.sequence import RANGE_BITS, with_position
 
+# Default batch size and flush interval.
 DEFAULT_BATCH_SIZE = 100
 FLUSH_INTERVAL = "5 seconds"
 

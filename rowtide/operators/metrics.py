@@ -12,8 +12,11 @@ from rowtide.functions.text import format_uptime
 from rowtide.operators.lookup import keep_last_n
 from rowtide.operators.sequence import RANGE_BITS, with_run_length
 
+# Defaults, and the texts of an alert.
 FAILURE_THRESHOLD = 20
 CHART_POINTS = 30
+ALERT_SUBJECT = "[CDC Alert] Flow '%s' stopped due to errors"
+ALERT_DETAILS = "Destination %s\nConsecutive errors: %d\nError: %s"
 
 
 def flow_stats(log: DataFrame, now: Column | None = None, since: Column | None = None) -> DataFrame:
@@ -59,10 +62,8 @@ def threshold_alerts(log: DataFrame, n: int = FAILURE_THRESHOLD, bits: int = RAN
         "streak",
         "error",
         F.lit(True).alias("stop"),
-        F.format_string("[CDC Alert] Flow '%s' stopped due to errors", "flow").alias("subject"),
-        F.format_string(
-            "Destination %s\nConsecutive errors: %d\nError: %s", "sink", "streak", "error"
-        ).alias("details"),
+        F.format_string(ALERT_SUBJECT, "flow").alias("subject"),
+        F.format_string(ALERT_DETAILS, "sink", "streak", "error").alias("details"),
     )
 
 

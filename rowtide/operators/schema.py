@@ -30,7 +30,7 @@ def first_per_table(routed: DataFrame) -> DataFrame:
 
 
 def typed_cells(routed: DataFrame, effective: bool = False) -> DataFrame:
-    """One row per payload value: ``table_name, seq, column_name, raw, type_code, is_null``.
+    """One row per payload value: ``table_name, seq, op, column_name, raw, type_code, is_null``.
 
     Only the record is looked at; ``effective`` adds the changes of updates,
     which override record values of the same name.
@@ -56,10 +56,11 @@ def typed_cells(routed: DataFrame, effective: bool = False) -> DataFrame:
         changed_names = F.transform("changed", lambda e: e["name"])
         kept = F.filter("own", lambda e: ~F.array_contains(changed_names, e["name"]))
         items = F.when(F.col("changed").isNotNull(), F.concat(kept, F.col("changed"))).otherwise(F.col("own"))
-    cell = parsed.select("table_name", "seq", F.explode(items).alias("cell"))
+    cell = parsed.select("table_name", "seq", "op", F.explode(items).alias("cell"))
     tagged = cell.select(
         "table_name",
         "seq",
+        "op",
         F.col("cell.name").alias("column_name"),
         F.col("cell.raw").alias("raw"),
         type_tag(F.col("cell.typed")).alias("tag"),
@@ -67,6 +68,7 @@ def typed_cells(routed: DataFrame, effective: bool = False) -> DataFrame:
     return tagged.select(
         "table_name",
         "seq",
+        "op",
         "column_name",
         "raw",
         infer_type_code(F.col("tag"), F.col("raw")).alias("type_code"),

@@ -8,13 +8,13 @@ from rowtide.operators import envelope, lookup
 from rowtide.plans import logs
 from rowtide.plans.registry import LOG, query
 
-# Even customers only, so that references to odd ones are missing.
-_PARENTS = "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0"
+# Customers in credit; orders of the others refer to a missing parent.
+_PARENTS = "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 3000"
 
 
-def _half_customers(spark, sf_dir):
+def _credit_customers(spark, sf_dir):
     customers = logs.table(spark, sf_dir, "customer")
-    return customers.where(F.col("c_custkey") % 2 == 0).select("c_custkey", "c_name")
+    return customers.where(F.col("c_acctbal") > 3000).select("c_custkey", "c_name")
 
 
 @query(
@@ -23,7 +23,7 @@ WHERE NOT EXISTS (SELECT 1 FROM ({_PARENTS}) p WHERE p.c_custkey = o_custkey)"""
 )
 def missing_refs(spark, sf_dir):
     orders = logs.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return lookup.missing_refs(orders, "o_custkey", _half_customers(spark, sf_dir), "c_custkey").select(
+    return lookup.missing_refs(orders, "o_custkey", _credit_customers(spark, sf_dir), "c_custkey").select(
         "o_orderkey", "o_custkey"
     )
 
@@ -53,7 +53,7 @@ def missing_array_refs(spark, sf_dir):
 
 
 def _supplier_references(spark, sf_dir):
-    nations = logs.table(spark, sf_dir, "nation").where(F.col("n_nationkey") % 2 == 0)
+    nations = logs.table(spark, sf_dir, "nation").where(F.col("n_regionkey") > 1)
     suppliers = logs.table(spark, sf_dir, "supplier").select(
         F.array("s_nationkey", (F.col("s_nationkey") + 1) % 25).alias("nations"), "s_name"
     )
@@ -63,7 +63,7 @@ def _supplier_references(spark, sf_dir):
 _REFERENCES = """refs AS (
   SELECT DISTINCT n_nationkey, s_name FROM nation
   JOIN supplier ON n_nationkey = s_nationkey OR n_nationkey = (s_nationkey + 1) % 25
-  WHERE n_nationkey % 2 = 0)"""
+  WHERE n_regionkey > 1)"""
 
 
 @query(f"WITH {_REFERENCES} SELECT n_nationkey, s_name FROM refs")
@@ -132,7 +132,7 @@ def _order_status(spark, sf_dir):
 FROM orders JOIN ({_PARENTS}) p ON p.c_custkey = o_custkey"""
 )
 def status_list(spark, sf_dir):
-    return lookup.status_list(_order_status(spark, sf_dir), _half_customers(spark, sf_dir), "c_custkey")
+    return lookup.status_list(_order_status(spark, sf_dir), _credit_customers(spark, sf_dir), "c_custkey")
 
 
 @query(

@@ -212,30 +212,31 @@ def dedup_events(spark, sf_dir):
 
 
 @query(
-    """SELECT c_custkey, c_name, c_acctbal, 'target' AS origin FROM customer WHERE c_custkey % 2 = 0
-UNION ALL SELECT c_custkey, c_name, c_acctbal, 'rows' FROM customer WHERE c_custkey % 2 <> 0"""
+    """SELECT c_custkey, c_name, c_acctbal, 'target' AS origin FROM customer WHERE c_acctbal > 3000
+UNION ALL SELECT c_custkey, c_name, c_acctbal, 'rows' FROM customer WHERE c_acctbal <= 3000"""
 )
 def insert_if_absent(spark, sf_dir):
     customers = logs.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-    target = customers.where(F.col("c_custkey") % 2 == 0).withColumn("origin", F.lit("target"))
+    target = customers.where(F.col("c_acctbal") > 3000).withColumn("origin", F.lit("target"))
     again = customers.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("attempt"))
     rows = again.withColumn("origin", F.when(F.col("attempt") == 0, "rows").otherwise("late"))
     return lookup.insert_if_absent(target, rows, "c_custkey", order="attempt")
 
 
 @query(
-    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal,
-  CASE WHEN c_custkey % 2 = 0 THEN 1000 ELSE 2000 END AS created_second,
-  CASE WHEN c_custkey % 3 = 0 THEN 2000 ELSE 1000 END AS updated_second
-FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0"""
+    """SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal,
+  CASE WHEN c_acctbal > 3000 THEN 1000 ELSE 2000 END AS created_second,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN 2000 ELSE 1000 END AS updated_second
+FROM customer WHERE c_acctbal > 3000 OR c_mktsegment = 'BUILDING'"""
 )
 def merge_audited(spark, sf_dir):
-    customers = logs.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    customers = logs.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
     then = F.timestamp_seconds(F.lit(1000))
-    target = customers.where(F.col("c_custkey") % 2 == 0).select(
-        "*", then.alias("created_at"), then.alias("updated_at")
+    target = customers.where(F.col("c_acctbal") > 3000).select(
+        "c_custkey", "c_acctbal", then.alias("created_at"), then.alias("updated_at")
     )
-    rows = customers.where(F.col("c_custkey") % 3 == 0).withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    building = customers.where(F.col("c_mktsegment") == "BUILDING")
+    rows = building.select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"))
     merged = lookup.merge_audited(target, rows, "c_custkey", F.timestamp_seconds(F.lit(2000)))
     return merged.select(
         "c_custkey",

@@ -102,7 +102,7 @@ def stream_resume(spark, sf_dir):
 @query(
     f"""WITH {LOG}
 SELECT user_id AS rec_id, op AS operation, epoch_us(ts) AS ts_micros, 'users_1' AS table_name
-FROM log WHERE user_id % 3 = 1 AND op IN ('insert', 'update', 'delete', 'snapshot') AND op = 'insert'"""
+FROM log WHERE user_id % 3 = 1 AND op = 'insert'"""
 )
 def event_log_append(spark, sf_dir):
     root = work_dir(spark, "event_log_append")

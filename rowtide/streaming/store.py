@@ -9,11 +9,12 @@ all, and a batch that is run again finds its ledger row and does nothing.
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtide.operators import batches, replay, schema
+from rowtide.operators import replay, schema
 from rowtide.operators.lookup import append_event_log
 
 STATE = "table_name STRING, pk STRING, row MAP<STRING,STRING>"
@@ -21,6 +22,7 @@ CATALOG = (
     "schema_name STRING, table_name STRING, column_name STRING, data_type STRING, ordinal INT, last_updated TIMESTAMP"
 )
 MANIFEST = "table_name STRING, table_dir STRING, bucket INT, data_version BIGINT"
+_ERROR = "struct<seq: bigint, rank: int, violation: string>"
 LEDGER = (
     "flow STRING, sink STRING, batch_id BIGINT, started_at TIMESTAMP, ended_at TIMESTAMP, rows_in BIGINT, "
     "rows_rejected BIGINT, rows_written BIGINT, ok BOOLEAN, error STRING, version BIGINT"
@@ -151,20 +153,19 @@ class TableStore:
         cells = schema.typed_cells(events, effective=True).persist()
         try:
             grown = self._grow_catalog(events, cells, catalog, version)
-            checked = self._with_violations(events, cells, catalog, grown, current)
-            outcome = batches.batch_outcome(checked.withColumn("batch_id", F.lit(batch_id))).first()
-            if outcome is None:
+            bad = self._violations(events, cells, catalog, grown, current)
+            rows, error = self._outcome(events, bad)
+            if not rows:
                 self.ledger.write(batch_id, started, rejected, 0, True, None, current, rejected)
                 return True
-            rows_in = outcome["rows"] + rejected
-            if not outcome["ok"]:
-                checked.write.mode("overwrite").parquet(f"{self.root}/failed/batch={batch_id}")
-                self.ledger.write(batch_id, started, rows_in, 0, False, outcome["first_error"], current, rejected)
+            if error is not None:
+                self._isolate(events, bad, batch_id)
+                self.ledger.write(batch_id, started, rows + rejected, 0, False, error, current, rejected)
                 return False
         finally:
             cells.unpersist()
         self._write_version(events, current, version)
-        self.ledger.write(batch_id, started, rows_in, outcome["rows"], True, None, version, rejected)
+        self.ledger.write(batch_id, started, rows + rejected, rows, True, None, version, rejected)
         return True
 
     def _grow_catalog(self, events, cells, catalog: DataFrame, version: int) -> DataFrame:
@@ -175,34 +176,38 @@ class TableStore:
         grown.coalesce(1).write.mode("overwrite").parquet(path)
         return self.spark.read.schema(CATALOG).parquet(path)
 
-    def _with_violations(self, events, cells, catalog: DataFrame, grown: DataFrame, version: int | None) -> DataFrame:
-        checked = replay.with_violation(events, self.policy)
-        found = []
+    def _violations(self, events, cells, catalog: DataFrame, grown: DataFrame, current: int | None) -> DataFrame:
+        """``seq, rank, violation`` of every row that cannot be written; nothing when all can."""
+        checks = [replay.row_violations(events, self.policy).select("seq", "violation")]
         if not (self.auto_create and self.auto_add):
             refused = schema.schema_violations(events, catalog, self.auto_create, self.auto_add)
-            found.append(refused.select("seq", "violation"))
+            checks.append(refused.select("seq", "violation"))
         if self.scope == "first":
             # columns the sample did not show are not in the table
             unseen = schema.schema_violations(events, grown, auto_add=False)
-            found.append(unseen.select("seq", "violation"))
+            checks.append(unseen.select("seq", "violation"))
         if self.check_types:
-            writes = events.where(F.col("op") != "delete").select("seq")
-            clashes = schema.conflicting_cells(cells, grown).select("seq").distinct()
-            found.append(
-                clashes.join(writes, "seq", "left_semi").withColumn("violation", F.lit("type_conflict"))
-            )
+            clashes = schema.conflicting_cells(cells.where(F.col("op") != "delete"), grown)
+            checks.append(clashes.select("seq", F.lit("type_conflict").alias("violation")))
         if self.policy == "replace":
-            held = self._read_buckets(self._touched(events, version))
+            held = self._read_buckets(self._touched(events, current))
             again = replay.key_violations(events, held).select("seq")
-            found.append(again.withColumn("violation", F.lit("duplicate_key")))
-        for one in found:
-            named = one.select("seq", F.col("violation").alias("__found"))
-            checked = (
-                checked.join(named, "seq", "left")
-                .withColumn("violation", F.coalesce("violation", "__found"))
-                .drop("__found")
-            )
-        return checked
+            checks.append(again.withColumn("violation", F.lit("duplicate_key")))
+        ranked = [c.select("seq", F.lit(i).alias("rank"), "violation") for i, c in enumerate(checks)]
+        return reduce(DataFrame.unionByName, ranked)
+
+    @staticmethod
+    def _outcome(events: DataFrame, bad: DataFrame) -> tuple[int, str | None]:
+        """Number of rows, and the error of the earliest bad one."""
+        counted = events.select(F.lit(1).alias("n"), F.lit(None).cast(_ERROR).alias("error"))
+        errors = bad.select(F.lit(0).alias("n"), F.struct("seq", "rank", "violation").cast(_ERROR).alias("error"))
+        found = counted.unionByName(errors).agg(F.sum("n").alias("n"), F.min("error").alias("error")).first()
+        return found["n"] or 0, found["error"] and found["error"]["violation"]
+
+    def _isolate(self, events: DataFrame, bad: DataFrame, batch_id: int) -> None:
+        first = bad.groupBy("seq").agg(F.min_by("violation", "rank").alias("violation"))
+        path = f"{self.root}/failed/batch={batch_id}"
+        events.join(first, "seq", "left").write.mode("overwrite").parquet(path)
 
     def _placed(self, rows: DataFrame) -> DataFrame:
         """Append the folder of the table and the bucket of the key."""

@@ -43,7 +43,7 @@ def usable(log):
     return [e for e in log if e[3] == "delete" or len(e[4]) > 1]
 
 
-@pytest.mark.parametrize("pieces, files", [(1, 1), (4, 1), (4, 3)])
+@pytest.mark.parametrize("pieces, files", [(1, 1), (3, 2)])
 def test_any_split_equals_the_whole(spark, tmp_path, pieces, files):
     log = sorted(usable(sequential.random_log(160, seed=21)))
     want, _ = sequential.replay(log, "upsert")
