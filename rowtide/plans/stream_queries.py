@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from rowtide.functions.events import derived_id
 from rowtide.operators import batches, envelope, metrics
 from rowtide.operators.lookup import event_log
 from rowtide.plans import logs
@@ -69,7 +70,7 @@ def stream_fan_out(spark, sf_dir):
     _drain(source, [first, second], root, rejects_path=f"{root}/rejects")
     by_id = first.read().join(second.read().select("id"), "id", "left_semi")
     ids = logs.table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("seq"), envelope.ev.derived_id(F.lit("stream"), F.col("event_id")).alias("id")
+        F.col("event_id").alias("seq"), derived_id(F.lit("stream"), F.col("event_id")).alias("id")
     )
     rule = F.lit(None).cast("int")
     for n in (71, 73, 79, 83, 89, 97):

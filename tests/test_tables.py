@@ -79,15 +79,15 @@ def test_flow_stats(spark):
 
 def test_flow_references(spark):
     """A used source cannot be removed; once its flow is gone it can."""
-    connectors = spark.createDataFrame([("test-nats",)], "name string")
-    destinations = spark.createDataFrame([("test-pg",)], "name string")
+    connectors = spark.createDataFrame([("test-source",)], "name string")
+    destinations = spark.createDataFrame([("test-sink",)], "name string")
     flows = spark.createDataFrame(
-        [("test-flow", "test-nats", ["test-pg"])], "flow string, connector_name string, destination_names array<string>"
+        [("test-flow", "test-source", ["test-sink"])], "flow string, connector_name string, destination_names array<string>"
     )
     assert (connectors.count(), destinations.count(), flows.count()) == (1, 1, 1)
     assert lookup.missing_refs(flows, "connector_name", connectors, "name").count() == 0
     assert lookup.missing_array_refs(flows, "flow", "destination_names", destinations, "name").count() == 0
-    doomed = F.col("name") == "test-nats"
+    doomed = F.col("name") == "test-source"
     kept, refused = lookup.delete_unreferenced(connectors, "name", flows, "connector_name", doomed)
     assert kept.count() == 1 and refused.count() == 1
     used = lookup.references_to(destinations, "name", flows, "destination_names", "flow")
@@ -137,17 +137,17 @@ def test_merges(spark):
 
 
 def test_status_and_last_n(spark):
-    defs = spark.createDataFrame([("a", "kafka"), ("b", "nats")], "name string, type string")
+    defs = spark.createDataFrame([("a", "stream"), ("b", "queue")], "name string, type string")
     status = spark.createDataFrame([("a", "Running"), ("x", "Running")], "name string, status string")
     assert [(r["name"], r.active) for r in lookup.status_list(status, defs, "name").collect()] == [("a", True)]
     got = {r["name"]: (r.status, r.active) for r in lookup.status_of(defs, status, "name").collect()}
     assert got == {"a": ("Running", True), "b": ("Stopped", False)}
     typed = lookup.with_type(status, "name", defs, "name", "type")
-    assert {r["name"]: r.type for r in typed.collect()} == {"a": "kafka", "x": None}
+    assert {r["name"]: r.type for r in typed.collect()} == {"a": "stream", "x": None}
     series = spark.range(100).withColumn("g", F.col("id") % 2)
     assert sorted(r.id for r in lookup.keep_last_n(series, 3, "id").collect()) == [97, 98, 99]
     assert sorted(r.id for r in lookup.keep_last_n(series, 2, "id", by="g").collect()) == [96, 97, 98, 99]
     tags = spark.createDataFrame([("a", ["x", "y"]), ("b", None)], "name string, tags array<string>")
     assert [r["name"] for r in lookup.with_tag(tags, "tags", "y").collect()] == ["a"]
     assert lookup.list_by(defs, "name").first()["name"] == "a"
-    assert lookup.get_by(defs, "name", "b").first()["type"] == "nats"
+    assert lookup.get_by(defs, "name", "b").first()["type"] == "queue"
