@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtide.llm import bpe, exact_dedup, fingerprint, line_dedup, mixing, secrets, sharding, toxicity
+from rowtide.llm import bpe, exact_dedup, fingerprint, line_dedup, lm, minhash, mixing, secrets, sharding, toxicity
 from rowtide.llm.common import held_out, read_table
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -16,6 +16,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return f"{TOKENIZER_DIR}/{name}"
 
 
+def op1_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed to shares of the square root of their source's bytes, as many bytes as there are."""
     return mixing.mix(read_table(spark, sf_dir, "documents"))
@@ -56,14 +61,19 @@ def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_texts(read_table(spark, sf_dir, "documents"), ~held_out(1))
+    return scored.select("doc_id", held_out(1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "place", F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "is_secret")
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_poisson_mix, op3_hilbert_shards, op4_line_chunks, op5_backtracking_bpe, op6_digest_index, op7_scaled_sketch,
-    op8_toxic_segments, op10_secret_forest,
+    op1_chosen_path, op2_poisson_mix, op3_hilbert_shards, op4_line_chunks, op5_backtracking_bpe, op6_digest_index,
+    op7_scaled_sketch, op8_toxic_segments, op9_backoff_automaton, op10_secret_forest,
 )}
 
 ORACLES = {
