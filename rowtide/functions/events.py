@@ -58,8 +58,8 @@ def is_key_column(name: Column) -> Column:
 
 
 def derived_id(source: Column, seq: Column) -> Column:
-    """Repeatable id of an event that carries none, in UUID form."""
-    digest = F.sha2(F.concat_ws("|", source, seq.cast("string")), 256)
+    """Repeatable id of an event that carries none, in UUID form; NULL without a number."""
+    digest = F.sha2(F.concat(source, F.lit("|"), seq.cast("string")), 256)
     return F.regexp_replace(
         F.substring(digest, 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"
     )

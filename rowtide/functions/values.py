@@ -102,6 +102,22 @@ def cast_cell(raw: Column, column_type: Column) -> Column:
     return converted
 
 
-def canonical_key(raw: Column) -> Column:
-    """Key text under which equal keys meet: UUIDs in lower-case, others as written."""
-    return F.when((F.length(raw) >= 36) & is_uuid_text(raw), canonical_uuid(raw)).otherwise(raw)
+def canonical_key(raw: Column, is_number: Column | None = None) -> Column:
+    """Key text under which equal keys meet.
+
+    UUIDs in lower case; JSON numbers of one value alike however they are
+    written (``5``, ``5.0``, ``5e0``); other strings as they are.
+    ``is_number`` is only looked at where a spelling other than the plain
+    integer may stand for a number.
+    """
+    key = F.when((F.length(raw) >= 36) & is_uuid_text(raw), canonical_uuid(raw))
+    if is_number is not None:
+        odd = raw.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$") & ~raw.rlike(r"^(0|-?[1-9]\d*)$")
+        key = key.when(odd, F.when(is_number, _plain_number(raw)).otherwise(raw))
+    return key.otherwise(raw)
+
+
+def _plain_number(raw: Column) -> Column:
+    exact = raw.try_cast("decimal(38,10)")
+    whole = exact.try_cast("decimal(28,0)")
+    return F.coalesce(F.when(exact == whole, whole.cast("string")), raw.try_cast("double").cast("string"), raw)

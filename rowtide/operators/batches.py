@@ -39,9 +39,14 @@ def dedup_events(df: DataFrame, key: Sequence[str] = ("id",), seq: str = "seq")
     return first.select("__first.*")
 
 
-def dedup_stream(events: DataFrame, key: str = "id", ts: str = "timestamp", late: str = "1 hour") -> DataFrame:
-    """Streaming form: copies that arrive within ``late`` of each other count once."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+def dedup_stream(events: DataFrame, key: str = "id", late: str = "1 hour") -> DataFrame:
+    """Streaming form: copies that arrive within ``late`` of each other count once.
+
+    The watermark is on the instant of arrival, so an event is never dropped
+    for its own age.
+    """
+    arrived = events.withColumn("__arrived", F.current_timestamp()).withWatermark("__arrived", late)
+    return arrived.dropDuplicatesWithinWatermark([key]).drop("__arrived")
 
 
 def batch_outcome(df: DataFrame, batch: str = "batch_id", seq: str = "seq") -> DataFrame:

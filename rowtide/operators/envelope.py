@@ -39,7 +39,7 @@ def decode_envelope(
 
     parsed = compute_once(df.withColumn("payload", payload), message=message)
     message = F.col("message")
-    reason = _reject_reason(message)
+    reason = F.coalesce(_reject_reason(message), _missing_seq(seq))
     if is_binary:
         reason = F.when(~readable, F.lit("invalid_utf8")).otherwise(reason)
     given_id = canonical_uuid(text_of(message["id"]))
@@ -54,6 +54,11 @@ def decode_envelope(
     )
 
 
+def _missing_seq(seq: str) -> Column:
+    """Without its place in the order a message could not be replayed."""
+    return F.when(F.col(seq).cast("bigint").isNull(), F.lit("missing_seq"))
+
+
 def _reject_reason(message: Column) -> Column:
     def tag(name):
         return type_tag(message[name])
@@ -97,13 +102,13 @@ def decode_entries(
         value = F.col(fields)[name].cast("string")
         return F.when(F.is_valid_utf8(value), value)
 
-    reason = F.lit(None).cast("string")
+    reason = _missing_seq(seq)
     for name in reversed(REQUIRED_FIELDS):
         reason = F.when(text(name).isNull(), F.lit(f"missing_{name}")).otherwise(reason)
     shown = F.transform_values(F.col(fields), lambda _, v: lossy_utf8(v))
     return df.select(
         F.col(seq).cast("bigint").alias("seq"),
-        ev.derived_id(F.lit(source), F.col(entry_id)).alias("id"),
+        F.coalesce(ev.derived_id(F.lit(source), F.col(entry_id)), ev.derived_id(F.lit(source + " seq"), F.col(seq))).alias("id"),
         (F.current_timestamp() if now is None else now).alias("timestamp"),
         *[text(name).alias(name) for name in [*REQUIRED_FIELDS, "changes"]],
         F.to_json(shown).alias("payload"),
@@ -187,10 +192,16 @@ def with_payload(routed: DataFrame) -> DataFrame:
         changes_ok.alias("changes_ok"),
         "payload",
         "key_name",
-        canonical_key(F.col("payload")[F.col("key_name")]).alias("pk"),
+        canonical_key(F.col("payload")[F.col("key_name")], _is_number(F.col("key_name"))).alias("pk"),
     )
 
 
+def _is_number(name: Column) -> Column:
+    """Whether the effective key is a JSON number; parsed again only for keys whose spelling asks for it."""
+    changed = F.when(F.col("op") == "update", parse_object_typed(F.col("changes"))[name])
+    return type_tag(F.coalesce(changed, parse_object_typed(F.col("record"))[name])) != "STRING"
+
+
 def change_rows(good: DataFrame) -> DataFrame:
     """Decoded events -> routed events with effective payload and key."""
     return with_payload(with_route(good))

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rowtide.functions.events import merge_changes
+from rowtide.functions.json_text import parse_object_typed
+from rowtide.operators.sequence import number_rows
+
 
 def missing_refs(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
     """Child rows whose reference is set but not found."""
@@ -39,20 +43,20 @@ def reference_counts(references: DataFrame, pk: str) -> DataFrame:
     return references.groupBy(pk).agg(F.count("*").alias("n_refs"))
 
 
-def references_text(references: DataFrame, pk: str, name: str, longest: int = 1000) -> DataFrame:
-    """``(pk, n_refs, names)``: sorted names joined by ", ".
+def references_text(references: DataFrame, pk: str, name: str, per_part: int = 1000) -> DataFrame:
+    """``(pk, part, n_refs, names)``: sorted names joined by ", ", ``per_part`` to a row.
 
-    Parents with more than ``longest`` names keep their count and have no
-    text; their names are the rows of ``references``.
+    Every name of every parent is there, in as many parts as it takes; parts
+    are numbered from 0 in name order. Positions come from one sort of all
+    references, so no task holds a parent's names together.
     """
-    counts = reference_counts(references, pk)
-    short = counts.where(F.col("n_refs") <= longest).select(pk)
-    texts = (
-        references.join(short, pk, "left_semi")
-        .groupBy(pk)
-        .agg(F.array_join(F.array_sort(F.collect_list(F.col(name).cast("string"))), ", ").alias("names"))
-    )
-    return counts.join(texts, pk, "left").select(pk, "n_refs", "names")
+    text = references.select(pk, F.col(name).cast("string").alias("__name"))
+    placed = number_rows(text, [pk, "__name"], "__at")
+    first = placed.groupBy(F.col(pk).alias("__pk")).agg(F.min("__at").alias("__first"), F.count("*").alias("n_refs"))
+    joined = placed.join(first, F.col(pk) == F.col("__pk"))
+    part = F.floor((F.col("__at") - F.col("__first")) / per_part).cast("bigint").alias("part")
+    names = F.array_join(F.array_sort(F.collect_list("__name")), ", ").alias("names")
+    return joined.groupBy(pk, part).agg(F.first("n_refs").alias("n_refs"), names)
 
 
 def _reference(child: DataFrame, fk: str) -> Column:
@@ -116,33 +120,51 @@ def with_tag(df: DataFrame, tags: str, tag: str) -> DataFrame:
     return df.where(F.array_contains(tags, tag))
 
 
+SALTS = 64
+
+
 def keep_last_n(df: DataFrame, n: int, order: str, by: str | None = None) -> DataFrame:
     """The newest ``n`` rows, overall or per group.
 
-    Both forms keep at most ``n`` rows per group and partition before shuffling.
+    A group is first cut to the newest ``n`` of each of ``SALTS`` parts, so
+    that the last step sees at most ``SALTS * n`` of its rows, however large
+    the group is.
     """
     if by is None:
         return df.orderBy(F.col(order).desc()).limit(n)
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.col(order).desc()))
-    return df.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+    newest = F.col(order).desc()
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(order), F.lit(SALTS)))
+    in_part = F.row_number().over(Window.partitionBy(by, "__salt").orderBy(newest))
+    cut = salted.withColumn("__rank", in_part).where(F.col("__rank") <= n)
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(newest))
+    return cut.withColumn("__rank", rank).where(F.col("__rank") <= n).select(*df.columns)
 
 
 def insert_if_absent(target: DataFrame, rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """Target plus the rows whose key it lacks; of rows with one key the first is taken."""
+    """Target plus one row for each key it lacks.
+
+    Of rows with one key the first by ``order`` is taken, NULLs last; the
+    values of the other columns break ties.
+    """
     fresh = rows.join(target.select(key).distinct(), key, "left_anti")
-    if order is not None:
-        first = fresh.groupBy(key).agg(F.min(order).alias(order))
-        fresh = fresh.join(first, [key, order], "left_semi")
-    return target.unionByName(fresh.select(*target.columns))
+    rest = [c for c in rows.columns if c not in (key, order)]
+    place = [] if order is None else [F.col(order).isNull().alias("__unordered"), F.col(order)]
+    first = fresh.groupBy(key).agg(F.min(F.struct(*place, *rest)).alias("__first"))
+    found = first.select(key, *[F.col("__first")[c].alias(c) for c in rows.columns if c != key])
+    return target.unionByName(found.select(*target.columns))
 
 
-def merge_audited(target: DataFrame, rows: DataFrame, key: str, now: Column) -> DataFrame:
+def merge_audited(target: DataFrame, rows: DataFrame, key: str, now: Column, order: str | None = None) -> DataFrame:
     """Full-row update or insert: creation time is kept, update time is stamped.
 
-    ``target`` has ``created_at`` and ``updated_at``; ``rows`` has the other columns.
+    ``target`` has ``created_at`` and ``updated_at``; ``rows`` has the other
+    columns. Of rows with one key the last by ``order`` is written, NULLs
+    first; the values break ties.
     """
     values = [c for c in target.columns if c not in (key, "created_at", "updated_at")]
-    incoming = rows.select(key, *[F.col(c).alias(f"__new_{c}") for c in values], F.lit(True).alias("__touched"))
+    place = [] if order is None else [F.col(order).alias("__order")]
+    last = rows.groupBy(key).agg(F.max(F.struct(*place, *values)).alias("__last"))
+    incoming = last.select(key, *[F.col("__last")[c].alias(f"__new_{c}") for c in values], F.lit(True).alias("__touched"))
     touched = F.coalesce("__touched", F.lit(False))
     joined = target.join(incoming, key, "full_outer")
     return joined.select(
@@ -154,19 +176,32 @@ def merge_audited(target: DataFrame, rows: DataFrame, key: str, now: Column) ->
 
 
 def append_event_log(events: DataFrame, source: str) -> DataFrame:
-    """Routed events in the layout of the event log."""
+    """Routed events in the layout of the event log.
+
+    ``data`` is what the event leaves: for updates the record with its changes
+    put in. The changes themselves stay in their own column.
+    """
+    own, changed = parse_object_typed(F.col("record")), parse_object_typed(F.col("changes"))
+    merged = F.to_json(merge_changes(F.lit("update"), own, changed))
+    is_changed = (F.col("op") == "update") & F.col("changes").isNotNull()
     return events.select(
         "id",
         "timestamp",
         F.lit(source).alias("source"),
         "table_name",
         F.col("op").alias("operation"),
-        F.col("record").alias("data"),
+        F.coalesce(F.when(is_changed, merged), F.col("record")).alias("data"),
+        "changes",
         "metadata",
         F.current_timestamp().alias("created_at"),
     )
 
 
+def table_dir(name: Column) -> Column:
+    """Folder name of a table; any name can be one, also none."""
+    return F.coalesce(F.concat(F.lit("t"), F.lower(F.hex(F.encode(name, "UTF-8")))), F.lit("none"))
+
+
 def event_log(
     log: DataFrame,
     since: Column | None = None,
@@ -175,7 +210,18 @@ def event_log(
     table: str | None = None,
     operation: str | None = None,
 ) -> DataFrame:
-    """Log rows of a half-open time range, source, table and operation."""
+    """Log rows of a half-open time range, source, table and operation.
+
+    On a stored log the range also filters the folders of its days, and the
+    table that of the table.
+    """
+    if "event_date" in log.columns:
+        if since is not None:
+            log = log.where(F.col("event_date") >= F.to_date(since))
+        if until is not None:
+            log = log.where(F.col("event_date") <= F.to_date(until))
+        if table is not None:
+            log = log.where(F.col("table_dir") == table_dir(F.lit(table)))
     if since is not None:
         log = log.where(F.col("timestamp") >= since)
     if until is not None:

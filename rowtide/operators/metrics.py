@@ -70,7 +70,12 @@ def threshold_alerts(log: DataFrame, n: int = FAILURE_THRESHOLD, bits: int = RAN
 def throughput(
     events: DataFrame, ts: str = "timestamp", interval: str = "1 minute", late: str | None = None
 ) -> DataFrame:
-    """Events per interval; ``late`` sets the watermark of a stream."""
+    """Events per interval; ``late`` sets the watermark of a stream.
+
+    With ``late`` a stream gives up an interval that long after its end, and
+    events that come later still are left out of the counts; without, it keeps
+    every interval.
+    """
     source = events if late is None else events.withWatermark(ts, late)
     grouped = source.groupBy(F.window(F.col(ts), interval).alias("w")).agg(F.count("*").alias("n"))
     return grouped.select(F.col("w.start").alias("interval_start"), "n")

@@ -2,7 +2,8 @@
 
 Input rows are those of ``change_rows``: ``table_name, op, seq, payload, pk``.
 State is ``(table_name, pk, row MAP<STRING,STRING>)``; a column absent from the
-map was never written, a NULL value was written as null.
+map was never written, a NULL value was written as null. Stored upsert state
+also carries the sequence numbers of its writes (``versions``).
 
 No step gathers one key's events in one place: upsert is a partial aggregate,
 and the order-dependent policies summarise bounded ranges of the sequence
@@ -52,6 +53,21 @@ def replay(events: DataFrame, policy: str = "upsert", bits: int = RANGE_BITS) ->
 
 
 def _replay_upsert(events: DataFrame) -> DataFrame:
+    return live_rows(versions(events))
+
+
+VERSION_COLUMNS = [*STATE_COLUMNS, "at", "put_seq", "del_seq"]
+
+
+def versions(events: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Upsert state with the sequence numbers it was written at.
+
+    Appends to a state row ``at``, the number of each column's write,
+    ``put_seq`` and ``del_seq``, the key's last write and delete. Keys that are
+    deleted stay with an empty row, so that an older batch that comes later
+    changes nothing newer. ``state`` rows, with or without these columns, go
+    through the same aggregate as the events: one shuffle on the key.
+    """
     # Every event yields a marker cell without a name; writes also yield one
     # cell per column. The latest write of a cell is live when it is later than
     # the key's last delete, so one combinable aggregate per cell is enough.
@@ -66,6 +82,8 @@ def _replay_upsert(events: DataFrame) -> DataFrame:
         F.when(~is_delete, F.col("seq")).alias("put_seq"),
         F.inline(F.concat(marker, written)).alias("col", "val"),
     )
+    if state is not None:
+        exploded = exploded.unionByName(_state_cells(state))
     latest = exploded.groupBy(*_KEYS, "col").agg(
         F.max("del_seq").alias("del_seq"),
         F.max("put_seq").alias("put_seq"),
@@ -81,10 +99,38 @@ def _replay_upsert(events: DataFrame) -> DataFrame:
     )
     floor = F.coalesce(F.col("del_seq"), F.lit(-(2**62)))
     live = F.filter("entries", lambda e: e["at"] > floor)
-    return gathered.where(F.col("put_seq") > floor).select(
+    return gathered.withColumn("live", live).select(
         *_KEYS,
-        F.map_from_entries(F.transform(live, lambda e: F.struct(e["col"], e["val"]))).alias("row"),
+        F.map_from_entries(F.transform("live", lambda e: F.struct(e["col"], e["val"]))).alias("row"),
+        F.map_from_entries(F.transform("live", lambda e: F.struct(e["col"], e["at"]))).alias("at"),
+        "put_seq",
+        "del_seq",
+    )
+
+
+def live_rows(versioned: DataFrame) -> DataFrame:
+    """State rows whose key was written after its last delete; rows without numbers are live."""
+    live = F.col("put_seq") > F.coalesce(F.col("del_seq"), F.lit(-(2**62)))
+    return versioned.where(live | (F.col("put_seq").isNull() & F.col("del_seq").isNull())).select(*STATE_COLUMNS)
+
+
+def _state_cells(state: DataFrame) -> DataFrame:
+    """Cells of stored rows; without numbers of their own they precede every event."""
+    if "at" not in state.columns:
+        state = state.select(
+            *STATE_COLUMNS,
+            F.transform_values("row", lambda _, __: F.lit(-1).cast("bigint")).alias("at"),
+            F.lit(-1).cast("bigint").alias("put_seq"),
+            F.lit(None).cast("bigint").alias("del_seq"),
+        )
+    text = F.lit(None).cast("string")
+    marker = F.array(F.struct(text.alias("key"), text.alias("value"), F.col("put_seq").alias("at"), F.col("del_seq").alias("del")))
+    columns = F.transform(
+        F.map_entries("row"),
+        lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.col("at")[e["key"]].alias("at"), F.lit(None).cast("bigint").alias("del")),
     )
+    cells_ = state.where(F.col("pk").isNotNull()).select(*_KEYS, F.inline(F.concat(marker, columns)).alias("col", "val", "put_seq", "del_seq"))
+    return cells_.select(*_KEYS, "del_seq", "put_seq", "col", "val")
 
 
 def replay_upsert_wide(events: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -190,7 +236,18 @@ def key_violations(events: DataFrame, state: DataFrame | None = None, bits: int
 def apply_batch(
     state: DataFrame, events: DataFrame, policy: str = "upsert", bits: int = RANGE_BITS
 ) -> DataFrame:
-    """New state from stored state and a later batch; untouched rows pass by."""
+    """New state from stored state and a later batch; untouched rows pass by.
+
+    Upsert takes state and batch through one aggregate. Given state with
+    ``versions`` columns it returns them as well, and the batch may be an
+    older one that was held back: what is newer stays.
+    """
+    if policy == "upsert":
+        numbered = "at" in state.columns
+        merged = versions(events, state)
+        keyless = state.where(F.col("pk").isNull())
+        columns = VERSION_COLUMNS if numbered else STATE_COLUMNS
+        return (merged if numbered else live_rows(merged)).select(*columns).unionByName(keyless.select(*columns))
     touched_keys = events.where(F.col("pk").isNotNull()).select(*_KEYS).distinct()
     untouched = state.join(touched_keys, _KEYS, "left_anti")
     touched = as_events(state.join(touched_keys, _KEYS, "left_semi"))

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rowtide.session import materialize
+
 RANGE_BITS = 20
 
 
@@ -33,6 +35,23 @@ def _keyed(df: DataFrame, seq: str, by: Sequence[str], bits: int) -> DataFrame:
 _KEYS = ["__range", "__group"]
 
 
+def number_rows(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Append the 0-based position of each row in the order of ``keys``, overall.
+
+    Rows are dealt by key ranges and written sorted, so that no task holds more
+    than its range; what is added to a row's place in its range is one number
+    per range, the only thing that is broadcast.
+    """
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = materialize(ranged.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__row", 33).alias("__part")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(part).agg(F.count("*").alias("__n"))
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    joined = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return joined.select(*df.columns, (F.col("__row").bitwiseAND((1 << 33) - 1) + F.col("__offset")).alias(name))
+
+
 def with_position(
     df: DataFrame,
     seq: str = "seq",

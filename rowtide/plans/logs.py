@@ -15,21 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def source_events(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    """The events table; a file too small to split is spread over the cores."""
+    """The events table, or the named columns of it."""
     events = table(spark, sf_dir, "events")
-    events = events.select(*(columns or events.columns))
-    cores = spark.sparkContext.defaultParallelism
-    if len(events.inputFiles()) == 1:
-        events = _spread_small(events, cores)
-    return events
-
-
-def _spread_small(events: DataFrame, cores: int) -> DataFrame:
-    # The scan of one small file is a single partition; JSON work after it
-    # would use one core. Large inputs have splits enough and are left alone.
-    if events.rdd.getNumPartitions() >= cores:
-        return events
-    return events.repartition(cores, "event_id")
+    return events.select(*(columns or events.columns))
 
 
 def action_text() -> Column:
@@ -118,6 +106,23 @@ def dirty_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_events(spark, sf_dir).select(F.col("event_id").alias("seq"), cut.alias("value"))
 
 
+def defect_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``change_log`` with three of the defects of ``dirty_log`` and the number in the metadata."""
+    def every(n):
+        return F.col("event_id") % n == 0
+
+    named = F.to_json(F.struct(F.lit("users").alias("table_name"), F.col("event_id").alias("seq")))
+    unnamed = F.to_json(F.struct(F.lit(5).alias("table_name"), F.col("event_id").alias("seq")))
+    text = message(
+        F.to_json(F.struct(*record_fields())),
+        F.when(every(83), unnamed).otherwise(named),
+        F.when(~every(97), action_text()),
+        changes_text(),
+    )
+    cut = F.when(every(89) & ~every(97), F.substring(text, 1, 40)).otherwise(text)
+    return source_events(spark, sf_dir).select(F.col("event_id").alias("seq"), cut.alias("value"))
+
+
 def drift_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``change_log`` whose last third brings a column ``extra``.
 
@@ -235,6 +240,16 @@ def batch_log(spark: SparkSession, sf_dir: str, batch_size: int = 100) -> DataFr
     )
 
 
+PIECES = 3
+
+
+def pieces(log: DataFrame, n: int = PIECES) -> list[DataFrame]:
+    """The log cut into ``n`` runs of its sequence, in order."""
+    low, high = log.agg(F.min("seq"), F.max("seq")).first()
+    width = (high - low) // n + 1
+    return [log.where((F.col("seq") >= low + i * width) & (F.col("seq") < low + (i + 1) * width)) for i in range(n)]
+
+
 def good_events(log: DataFrame) -> DataFrame:
     """Decoded messages of a log without its rejects."""
     return envelope.split_rejects(envelope.decode_envelope(log))[0]

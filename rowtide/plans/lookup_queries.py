@@ -8,13 +8,13 @@ from rowtide.operators import envelope, lookup
 from rowtide.plans import logs
 from rowtide.plans.registry import LOG, query
 
-# Customers in credit; orders of the others refer to a missing parent.
-_PARENTS = "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 3000"
+# All customers under keys moved up; orders of the lowest keys refer to a missing parent.
+_PARENTS = "SELECT c_custkey + 40 AS c_custkey, c_name FROM customer"
 
 
-def _credit_customers(spark, sf_dir):
+def _moved_customers(spark, sf_dir):
     customers = logs.table(spark, sf_dir, "customer")
-    return customers.where(F.col("c_acctbal") > 3000).select("c_custkey", "c_name")
+    return customers.select((F.col("c_custkey") + 40).alias("c_custkey"), "c_name")
 
 
 @query(
@@ -23,7 +23,7 @@ WHERE NOT EXISTS (SELECT 1 FROM ({_PARENTS}) p WHERE p.c_custkey = o_custkey)"""
 )
 def missing_refs(spark, sf_dir):
     orders = logs.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return lookup.missing_refs(orders, "o_custkey", _credit_customers(spark, sf_dir), "c_custkey").select(
+    return lookup.missing_refs(orders, "o_custkey", _moved_customers(spark, sf_dir), "c_custkey").select(
         "o_orderkey", "o_custkey"
     )
 
@@ -53,17 +53,18 @@ def missing_array_refs(spark, sf_dir):
 
 
 def _supplier_references(spark, sf_dir):
-    nations = logs.table(spark, sf_dir, "nation").where(F.col("n_regionkey") > 1)
+    # nations under moved keys: what refers to the lowest ones finds no parent
+    nations = logs.table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 3).alias("n_nationkey"))
     suppliers = logs.table(spark, sf_dir, "supplier").select(
         F.array("s_nationkey", (F.col("s_nationkey") + 1) % 25).alias("nations"), "s_name"
     )
     return lookup.references_to(nations, "n_nationkey", suppliers, "nations", "s_name")
 
 
-_REFERENCES = """refs AS (
-  SELECT DISTINCT n_nationkey, s_name FROM nation
-  JOIN supplier ON n_nationkey = s_nationkey OR n_nationkey = (s_nationkey + 1) % 25
-  WHERE n_regionkey > 1)"""
+_REFERENCES = """moved AS (SELECT n_nationkey + 3 AS n_nationkey FROM nation)
+, refs AS (
+  SELECT DISTINCT n_nationkey, s_name FROM moved
+  JOIN supplier ON n_nationkey = s_nationkey OR n_nationkey = (s_nationkey + 1) % 25)"""
 
 
 @query(f"WITH {_REFERENCES} SELECT n_nationkey, s_name FROM refs")
@@ -73,22 +74,25 @@ def references_to(spark, sf_dir):
 
 @query(
     f"""WITH {_REFERENCES}
-SELECT n_nationkey, count(*) AS n_refs,
-  CASE WHEN count(*) <= 1000 THEN string_agg(s_name, ', ' ORDER BY s_name) END AS names
-FROM refs GROUP BY n_nationkey"""
+, placed AS (SELECT n_nationkey, s_name, count(*) OVER (PARTITION BY n_nationkey) AS n_refs,
+    CAST((row_number() OVER (PARTITION BY n_nationkey ORDER BY s_name) - 1) // 3 AS BIGINT) AS part FROM refs)
+SELECT n_nationkey, part, n_refs, string_agg(s_name, ', ' ORDER BY s_name) AS names
+FROM placed GROUP BY n_nationkey, part, n_refs"""
 )
 def references_text(spark, sf_dir):
-    return lookup.references_text(_supplier_references(spark, sf_dir), "n_nationkey", "s_name")
+    return lookup.references_text(_supplier_references(spark, sf_dir), "n_nationkey", "s_name", per_part=3)
 
 
 @query(
-    """SELECT p_partkey, 'kept' AS outcome FROM part WHERE p_size <= 25
-UNION ALL SELECT p_partkey, 'kept' FROM part WHERE p_size > 25 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)
-UNION ALL SELECT p_partkey, 'refused' FROM part WHERE p_size > 25 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)"""
+    """WITH used AS (SELECT l_partkey * 2 AS k FROM lineitem)
+SELECT p_partkey, 'kept' AS outcome FROM part WHERE p_size <= 25
+UNION ALL SELECT p_partkey, 'kept' FROM part WHERE p_size > 25 AND p_partkey IN (SELECT k FROM used)
+UNION ALL SELECT p_partkey, 'refused' FROM part WHERE p_size > 25 AND p_partkey IN (SELECT k FROM used)"""
 )
 def delete_unreferenced(spark, sf_dir):
     parts = logs.table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    lines = logs.table(spark, sf_dir, "lineitem").where(F.col("l_quantity") > 45)
+    # doubled keys leave odd parts without a reference
+    lines = logs.table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 2).alias("l_partkey"))
     kept, refused = lookup.delete_unreferenced(parts, "p_partkey", lines, "l_partkey", F.col("p_size") > 25)
     return kept.select("p_partkey", F.lit("kept").alias("outcome")).unionByName(
         refused.select("p_partkey", F.lit("refused").alias("outcome"))
@@ -132,19 +136,19 @@ def _order_status(spark, sf_dir):
 FROM orders JOIN ({_PARENTS}) p ON p.c_custkey = o_custkey"""
 )
 def status_list(spark, sf_dir):
-    return lookup.status_list(_order_status(spark, sf_dir), _credit_customers(spark, sf_dir), "c_custkey")
+    return lookup.status_list(_order_status(spark, sf_dir), _moved_customers(spark, sf_dir), "c_custkey")
 
 
 @query(
-    """WITH s AS (SELECT o_custkey, CASE WHEN max(CASE o_orderstatus WHEN 'O' THEN 1 ELSE 0 END) = 1 THEN 'Running' ELSE 'Paused' END AS status
-  FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey)
+    """WITH s AS (SELECT o_custkey + 40 AS k, CASE WHEN max(CASE o_orderstatus WHEN 'O' THEN 1 ELSE 0 END) = 1 THEN 'Running' ELSE 'Paused' END AS status
+  FROM orders GROUP BY o_custkey)
 SELECT c_custkey, c_name, coalesce(status, 'Stopped') AS status, coalesce(status, 'Stopped') = 'Running' AS active
-FROM customer LEFT JOIN s ON o_custkey = c_custkey"""
+FROM customer LEFT JOIN s ON k = c_custkey"""
 )
 def status_default(spark, sf_dir):
-    urgent = logs.table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+    orders = logs.table(spark, sf_dir, "orders")
     open_orders = F.max(F.when(F.col("o_orderstatus") == "O", 1).otherwise(0))
-    status = urgent.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+    status = orders.groupBy((F.col("o_custkey") + 40).alias("c_custkey")).agg(
         F.when(open_orders == 1, "Running").otherwise("Paused").alias("status")
     )
     definitions = logs.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
@@ -153,11 +157,11 @@ def status_default(spark, sf_dir):
 
 @query(
     """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, p_type
-FROM lineitem LEFT JOIN (SELECT p_partkey, p_type FROM part WHERE p_size < 40) ON p_partkey = l_partkey"""
+FROM lineitem LEFT JOIN (SELECT p_partkey + 50 AS k, p_type FROM part) ON k = l_partkey"""
 )
 def with_type(spark, sf_dir):
     lines = logs.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    parts = logs.table(spark, sf_dir, "part").where(F.col("p_size") < 40)
+    parts = logs.table(spark, sf_dir, "part").select((F.col("p_partkey") + 50).alias("p_partkey"), "p_type")
     return lookup.with_type(lines, "l_partkey", parts, "p_partkey", "p_type").select(*lines.columns, "p_type")
 
 

@@ -8,7 +8,8 @@ from rowtide.functions.values import cast_raw
 from rowtide.operators import batches, envelope, lookup, replay
 from rowtide.plans import logs
 from rowtide.plans.registry import DIRTY, LIVE, LOG, UPSERT, query
-from rowtide.session import materialize
+from rowtide.session import materialize, work_dir
+from rowtide.sources.changes import read_changes
 
 _UPSERT_ROWS = UPSERT + "SELECT * FROM final"
 
@@ -212,35 +213,68 @@ def dedup_events(spark, sf_dir):
 
 
 @query(
-    """SELECT c_custkey, c_name, c_acctbal, 'target' AS origin FROM customer WHERE c_acctbal > 3000
-UNION ALL SELECT c_custkey, c_name, c_acctbal, 'rows' FROM customer WHERE c_acctbal <= 3000"""
+    """SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN 'target' WHEN c_custkey % 3 = 1 THEN 'first' ELSE 'tie a' END AS origin
+FROM customer"""
 )
 def insert_if_absent(spark, sf_dir):
+    """Every customer comes again with an earlier, a tied, a later and an unordered row."""
     customers = logs.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-    target = customers.where(F.col("c_acctbal") > 3000).withColumn("origin", F.lit("target"))
-    again = customers.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("attempt"))
-    rows = again.withColumn("origin", F.when(F.col("attempt") == 0, "rows").otherwise("late"))
+    target = customers.where(F.col("c_custkey") % 3 == 0).withColumn("origin", F.lit("target"))
+    has_first = F.col("c_custkey") % 3 == 1
+    attempts = F.array(
+        F.struct(F.lit(None).cast("int").alias("attempt"), F.lit("a without order").alias("origin")),
+        F.struct(F.lit(2).alias("attempt"), F.lit("tie b").alias("origin")),
+        F.struct(F.lit(2).alias("attempt"), F.lit("tie a").alias("origin")),
+        F.struct(F.when(has_first, 1).otherwise(3).alias("attempt"), F.when(has_first, "first").otherwise("late").alias("origin")),
+    )
+    rows = customers.select("*", F.inline(attempts))
     return lookup.insert_if_absent(target, rows, "c_custkey", order="attempt")
 
 
 @query(
-    """SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal,
-  CASE WHEN c_acctbal > 3000 THEN 1000 ELSE 2000 END AS created_second,
+    """SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 2 ELSE c_acctbal END AS c_acctbal,
+  CASE WHEN c_custkey % 3 > 0 THEN 1000 ELSE 2000 END AS created_second,
   CASE WHEN c_mktsegment = 'BUILDING' THEN 2000 ELSE 1000 END AS updated_second
-FROM customer WHERE c_acctbal > 3000 OR c_mktsegment = 'BUILDING'"""
+FROM customer WHERE c_custkey % 3 > 0 OR c_mktsegment = 'BUILDING'"""
 )
 def merge_audited(spark, sf_dir):
+    """Every building customer is written four times; the last number, then the larger value, wins."""
     customers = logs.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
     then = F.timestamp_seconds(F.lit(1000))
-    target = customers.where(F.col("c_acctbal") > 3000).select(
+    target = customers.where(F.col("c_custkey") % 3 > 0).select(
         "c_custkey", "c_acctbal", then.alias("created_at"), then.alias("updated_at")
     )
     building = customers.where(F.col("c_mktsegment") == "BUILDING")
-    rows = building.select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"))
-    merged = lookup.merge_audited(target, rows, "c_custkey", F.timestamp_seconds(F.lit(2000)))
+    turns = F.array(*[F.struct(F.lit(t).cast("int").alias("turn"), F.lit(x).alias("more")) for t, x in ((None, 9), (1, 8), (2, 1), (2, 2))])
+    rows = building.select("c_custkey", "c_acctbal", F.inline(turns))
+    rows = rows.select("c_custkey", (F.col("c_acctbal") + F.col("more")).alias("c_acctbal"), "turn")
+    merged = lookup.merge_audited(target, rows, "c_custkey", F.timestamp_seconds(F.lit(2000)), order="turn")
     return merged.select(
         "c_custkey",
         "c_acctbal",
         F.unix_seconds("created_at").cast("int").alias("created_second"),
         F.unix_seconds("updated_at").cast("int").alias("updated_second"),
     )
+
+
+@query(UPSERT + "SELECT id, event_type, value, k FROM final")
+def replay_key_spellings(spark, sf_dir):
+    """The same keys as ``5``, ``5.0`` and ``5e0`` in turn, in the changes of updates as well."""
+    log = logs.change_log(spark, sf_dir)
+    turn = (F.col("seq") % 3).cast("int")
+    spelled = F.element_at(F.array(F.lit(""), F.lit(".0"), F.lit("e0")), turn + 1)
+    # the record is a JSON text within the message
+    respelled = F.regexp_replace("value", F.lit(r'(\\"id\\":\d+)'), F.concat(F.lit("$1"), spelled))
+    state = replay.replay(logs.changes(log.select("seq", respelled.alias("value"))))
+    return replay.to_table(state, "users", logs.USERS_COLUMNS)
+
+
+@query(UPSERT + "SELECT id, event_type, value, k FROM final")
+def replay_plain_files(spark, sf_dir):
+    """Bare envelopes, one a line, read to the end in the order of their arrival."""
+    path = f"{work_dir(spark, 'plain_files')}/in"
+    # pieces land one after the other, each a file in order
+    for piece in logs.pieces(logs.change_log(spark, sf_dir)):
+        piece.repartition(1).sortWithinPartitions("seq").select("value").write.mode("append").text(path)
+    state = replay.replay(logs.changes(read_changes(spark, path, mode="batch", order="arrival")))
+    return replay.to_table(state, "users", logs.USERS_COLUMNS)

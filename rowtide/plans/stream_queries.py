@@ -2,34 +2,27 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, functions as F
 
-from rowtide.functions.events import derived_id
 from rowtide.operators import batches, envelope, metrics
 from rowtide.operators.lookup import event_log
 from rowtide.plans import logs
-from rowtide.plans.registry import DIRTY, LOG, UPSERT, query
-from rowtide.session import work_dir
+from rowtide.plans.registry import LIVE, LOG, UPSERT, query
+from rowtide.session import materialize, work_dir
 from rowtide.sources.changes import land_text, read_changes, read_entries
 from rowtide.streaming.flow import read_rejects, run_flow
 from rowtide.streaming.store import EventLogStore, TableStore
 
 _USERS = UPSERT + "SELECT * FROM final"
-PIECES = 3
 FILES = 4
 
 
-def _pieces(log: DataFrame, n: int = PIECES) -> list[DataFrame]:
-    """The log cut into ``n`` runs of its sequence, in order."""
-    low, high = log.agg(F.min("seq"), F.max("seq")).first()
-    width = (high - low) // n + 1
-    return [log.where((F.col("seq") >= low + i * width) & (F.col("seq") < low + (i + 1) * width)) for i in range(n)]
-
-
 def _landed(log: DataFrame, path: str) -> None:
     # one piece after the other: file sources take files in the order they
     # were written, so with FILES per trigger each piece is one batch
-    for piece in _pieces(log):
+    for piece in logs.pieces(log):
         _land_piece(piece, path)
 
 
@@ -55,36 +48,118 @@ def stream_replay(spark, sf_dir):
 
 
 @query(
-    f"""WITH {DIRTY}
-SELECT 'users' AS name, CAST(seq AS VARCHAR) AS key, rule, op FROM decoded
-WHERE rule IS NULL OR rule NOT IN (83)
-UNION ALL SELECT 'rejects', CAST(seq AS VARCHAR), rule, 'none' FROM dirty WHERE rule IN (97, 89)"""
+    f"""WITH {LIVE}
+, final AS (
+  SELECT user_id AS id, arg_max(event_type, seq) AS event_type,
+    arg_max(val, seq) FILTER (WHERE val IS NOT NULL) AS value,
+    arg_max(k, seq) FILTER (WHERE k IS NOT NULL) AS k
+  FROM live GROUP BY user_id)
+, bad AS (SELECT seq, CASE WHEN seq % 97 = 0 THEN 97 WHEN seq % 89 = 0 THEN 89 WHEN seq % 83 = 0 THEN 83 END AS rule FROM log)
+SELECT 'table' AS name, CAST(id AS VARCHAR) AS key, event_type AS what, value AS num, k FROM final
+UNION ALL SELECT 'log', CAST(seq AS VARCHAR), coalesce(CASE WHEN rule = 83 THEN 'no table' END, 'users'), NULL, NULL
+  FROM bad WHERE rule IS NULL OR rule = 83
+UNION ALL SELECT 'rejects', CAST(seq AS VARCHAR), CASE WHEN rule = 97 THEN 'missing_action' ELSE 'not_an_object' END, NULL, NULL
+  FROM bad WHERE rule IN (97, 89)"""
 )
 def stream_fan_out(spark, sf_dir):
-    """One dirty stream to an event log and its rejects; a second log gets the same."""
+    """Two streams to two kinds of sinks: a clean one to a table, a dirty one to the event log and the rejects.
+
+    A dirty batch would be refused by the table, so each log has its own flow; both flows have both sinks.
+    """
     root = work_dir(spark, "stream_fan_out")
-    _landed(logs.dirty_log(spark, sf_dir), f"{root}/in")
-    first = EventLogStore(spark, f"{root}/first", "dirty")
-    second = EventLogStore(spark, f"{root}/second", "dirty")
-    source = read_changes(spark, f"{root}/in", max_per_trigger=2 * FILES)
-    _drain(source, [first, second], root, rejects_path=f"{root}/rejects")
-    by_id = first.read().join(second.read().select("id"), "id", "left_semi")
-    ids = logs.table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("seq"), derived_id(F.lit("stream"), F.col("event_id")).alias("id")
+    _landed(logs.change_log(spark, sf_dir), f"{root}/clean")
+    table = TableStore(spark, f"{root}/tables", buckets=4, flow="clean")
+    echo = EventLogStore(spark, f"{root}/echo", "clean", flow="clean")
+    _drain(read_changes(spark, f"{root}/clean", max_per_trigger=2 * FILES), [table, echo], f"{root}/a")
+    _landed(logs.defect_log(spark, sf_dir), f"{root}/dirty")
+    log = EventLogStore(spark, f"{root}/log", "dirty", flow="dirty")
+    refused = TableStore(spark, f"{root}/refused", buckets=4, flow="dirty")
+    source = read_changes(spark, f"{root}/dirty", max_per_trigger=2 * FILES)
+    _drain(source, [log, refused], f"{root}/b", rejects_path=f"{root}/rejects")
+    none = F.lit(None)
+    users = _users(table).select(
+        F.lit("table").alias("name"), F.col("id").cast("string").alias("key"), F.col("event_type").alias("what"), F.col("value").alias("num"), "k"
     )
-    rule = F.lit(None).cast("int")
-    for n in (71, 73, 79, 83, 89, 97):
-        rule = F.when(F.col("seq") % n == 0, F.lit(n)).otherwise(rule)
-    logged = by_id.join(ids, "id").select(
-        F.col("table_name").alias("name"),
-        F.col("seq").cast("string").alias("key"),
-        rule.alias("rule"),
-        F.col("operation").alias("op"),
+    # events carry their number in the metadata
+    logged = log.read().select(
+        F.lit("log").alias("name"),
+        F.get_json_object("metadata", "$.seq").alias("key"),
+        F.coalesce("table_name", F.lit("no table")).alias("what"),
+        none.cast("double").alias("num"),
+        none.cast("bigint").alias("k"),
     )
     rejects = read_rejects(spark, f"{root}/rejects").select(
-        F.lit("rejects").alias("name"), F.col("seq").cast("string").alias("key"), rule.alias("rule"), F.lit("none").alias("op")
+        F.lit("rejects").alias("name"), F.col("seq").cast("string").alias("key"), F.col("reason").alias("what"), none.cast("double").alias("num"), none.cast("bigint").alias("k")
     )
-    return logged.unionByName(rejects)
+    return users.unionByName(logged).unionByName(rejects)
+
+
+@query(_USERS)
+def stream_two_flows(spark, sf_dir):
+    """Each half of the log by a flow of its own, with a checkpoint of its own, into one store."""
+    root = work_dir(spark, "stream_two_flows")
+    for name, half in zip(("first", "second"), logs.pieces(logs.change_log(spark, sf_dir), 2), strict=True):
+        _land_piece(half, f"{root}/{name}")
+        store = TableStore(spark, f"{root}/tables", buckets=4, flow=name)
+        _drain(read_changes(spark, f"{root}/{name}"), [store], f"{root}/{name}-run")
+    return _users(store)
+
+
+@query(_USERS)
+def stream_retry(spark, sf_dir):
+    """The middle batch is refused for its table name, later ones are written, and it is retried last."""
+    root = work_dir(spark, "stream_retry")
+    store = TableStore(spark, f"{root}/tables", buckets=4)
+    first, middle, last = (materialize(logs.changes(p), "piece") for p in logs.pieces(logs.change_log(spark, sf_dir)))
+    broken = middle.withColumn("table_name", F.when(F.col("seq") % 50 > 0, F.col("table_name")))
+    assert store.apply(first, 0) and not store.apply(broken, 1) and store.apply(last, 2)
+    held = store.failed().where("batch = 1")
+    mended = held.withColumn("table_name", F.lit("users")).select(*middle.columns)
+    assert store.apply(materialize(mended, "mended"), 1)
+    return _users(store)
+
+
+@query(_USERS)
+def stream_crash(spark, sf_dir):
+    """A run that ends before its last batch is in the ledger, and the same batch again."""
+    root = work_dir(spark, "stream_crash")
+    first, second, last = (materialize(logs.changes(p), "piece") for p in logs.pieces(logs.change_log(spark, sf_dir)))
+    store = TableStore(spark, f"{root}/tables", buckets=4)
+    assert store.apply(first, 0)
+
+    class Lost(Exception):
+        pass
+
+    def lost(*_, **__):
+        raise Lost
+
+    crashing = TableStore(spark, f"{root}/tables", buckets=4)
+    crashing.ledger.write = lost
+    try:
+        crashing.apply(second, 1)
+    except Lost:
+        pass
+    assert store.apply(second, 1) and store.apply(second, 1) and store.apply(last, 2)
+    return _users(store)
+
+
+@query(
+    f"""WITH {LOG}, cut AS (SELECT min(seq) + (max(seq) - min(seq)) // 2 + 1 AS middle FROM log)
+SELECT CAST(seq AS BIGINT) AS seq FROM log WHERE seq >= (SELECT middle FROM cut)"""
+)
+def stream_latest(spark, sf_dir):
+    """A reader that starts after the first half has landed."""
+    root = work_dir(spark, "stream_latest")
+    first, second = logs.pieces(logs.change_log(spark, sf_dir), 2)
+    _land_piece(first, f"{root}/in")
+    time.sleep(1.1)
+    since = spark.sql("SELECT date_format(now(), 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS t").first()["t"]
+    time.sleep(0.1)
+    _land_piece(second, f"{root}/in")
+    source = read_changes(spark, f"{root}/in", start="latest", since=since)
+    writer = source.select("seq").writeStream.format("parquet").trigger(availableNow=True)
+    writer.option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("seq")
 
 
 @query(_USERS)
@@ -92,7 +167,7 @@ def stream_resume(spark, sf_dir):
     """Stopped after two pieces, resumed on the same checkpoint for the rest."""
     root = work_dir(spark, "stream_resume")
     store = TableStore(spark, f"{root}/tables", buckets=4)
-    pieces = _pieces(logs.change_log(spark, sf_dir))
+    pieces = logs.pieces(logs.change_log(spark, sf_dir))
     for part in (pieces[:2], pieces[2:]):
         for piece in part:
             _land_piece(piece, f"{root}/in")
@@ -102,8 +177,10 @@ def stream_resume(spark, sf_dir):
 
 @query(
     f"""WITH {LOG}
-SELECT user_id AS rec_id, op AS operation, epoch_us(ts) AS ts_micros, 'users_1' AS table_name
-FROM log WHERE user_id % 3 = 1 AND op = 'insert'"""
+SELECT epoch_us(ts) AS ts_micros, 'events' AS source, 'users_1' AS table_name, op AS operation, user_id AS rec_id,
+  event_type, val AS value, k, CASE WHEN event_type IN ('click', 'view') THEN k END AS changed_k, 'app' AS database,
+  true AS id_is_there, true AS is_stamped
+FROM log WHERE user_id % 3 = 1 AND op = 'update'"""
 )
 def event_log_append(spark, sf_dir):
     root = work_dir(spark, "event_log_append")
@@ -116,12 +193,24 @@ def event_log_append(spark, sf_dir):
     _landed(timed.select(F.col("event_id").alias("seq"), text.alias("value")), f"{root}/in")
     store = EventLogStore(spark, f"{root}/log", "events")
     _drain(read_changes(spark, f"{root}/in"), [store], root)
-    found = event_log(store.read(), table="users_1", operation="insert")
+    found = event_log(store.read(), table="users_1", operation="update")
+
+    def field(text: str, path: str, kind: str):
+        return F.get_json_object(text, path).cast(kind)
+
     return found.select(
-        F.get_json_object("data", "$.id").cast("bigint").alias("rec_id"),
-        "operation",
         F.unix_micros("timestamp").alias("ts_micros"),
+        "source",
         "table_name",
+        "operation",
+        field("data", "$.id", "bigint").alias("rec_id"),
+        field("data", "$.event_type", "string").alias("event_type"),
+        field("data", "$.value", "double").alias("value"),
+        field("data", "$.k", "bigint").alias("k"),
+        field("changes", "$.k", "bigint").alias("changed_k"),
+        field("metadata", "$.database_name", "string").alias("database"),
+        F.col("id").isNotNull().alias("id_is_there"),
+        F.col("created_at").isNotNull().alias("is_stamped"),
     )
 
 
@@ -164,7 +253,7 @@ def stream_throughput(spark, sf_dir):
 def stream_dedup(spark, sf_dir):
     """Every message delivered twice, reduced to one by the stream."""
     root = work_dir(spark, "stream_dedup")
-    for piece in _pieces(logs.change_log(spark, sf_dir)):
+    for piece in logs.pieces(logs.change_log(spark, sf_dir)):
         twice = piece.select("seq", "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
         _land_piece(twice, f"{root}/in")
     decoded = envelope.decode_envelope(read_changes(spark, f"{root}/in", max_per_trigger=2 * FILES))

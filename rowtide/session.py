@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +21,9 @@ RUNTIME_SETTINGS = {
 }
 
 
+_ROOTS: set[str] = set()
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
@@ -38,21 +41,30 @@ def local_session(cores: int | str = "*", app: str = "rowtide") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if "SPARK_CHECKPOINT_DIR" in os.environ:
+        builder = builder.config("spark.checkpoint.dir", os.environ["SPARK_CHECKPOINT_DIR"])
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder.
+    """A new folder that the driver and all executors share; it goes when the session ends.
 
-    Only where the session names none (tests on one machine) is a temporary
-    folder used.
+    It lies under the cluster's checkpoint folder, or under the warehouse where
+    the session names none.
     """
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="rowtide-")
-    return f"{base.rstrip('/')}/rowtide/{label}-{uuid.uuid4().hex}"
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    root = f"{base.rstrip('/')}/rowtide/{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _ROOTS.add(root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:

@@ -2,13 +2,22 @@
 
 Any source with a ``value`` column works with the same decoding; these readers
 cover files, where the arrival order comes as a ``seq`` column, or, in text
-files, as a number and a tab before each envelope.
+files, as a number and a tab before each envelope. Text files of bare envelopes
+are read with ``order="arrival"``: by the time of the file, its name and the
+place in it. A message without a number otherwise ends among the rejects.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rowtide.operators.sequence import number_rows
+
+ORDERS = ("number", "arrival")
+# What orders bare lines until they are numbered.
+ARRIVAL = ["__time", "__file", "__block"]
+# Sequence numbers of one micro-batch of bare lines.
+BATCH_BITS = 32
 COLUMN_FORMATS = ("parquet", "json", "orc")
 
 
@@ -18,9 +27,10 @@ def read_changes(
     fmt: str = "text",
     mode: str = "stream",
     max_per_trigger: int | None = None,
-    max_bytes_per_trigger: str | None = None,
+    max_bytes_per_trigger: int | None = 256 << 20,
     start: str = "earliest",
     since: str | None = None,
+    order: str = "number",
 ) -> DataFrame:
     """``seq, value``, one message per row.
 
@@ -28,10 +38,27 @@ def read_changes(
     ``mode="batch"`` reads to the end. A new reader starts from the beginning,
     or with ``start="latest"`` after the instant ``since``; a reader that was
     stopped resumes from its checkpoint either way.
+
+    ``order="arrival"`` takes text lines as they are. A bounded read numbers
+    them at once; a stream carries what orders them, and ``run_flow`` numbers
+    each micro-batch after the ones before it.
     """
+    if order not in ORDERS:
+        raise ValueError(f"order must be one of {ORDERS}, not {order!r}")
+    if max_per_trigger is not None:
+        max_bytes_per_trigger = None  # a bound of its own
     reader = _reader(spark, mode, max_per_trigger, max_bytes_per_trigger)
     if fmt == "text":
         raw = _from_start(reader.text(path), start, since)
+        if order == "arrival":
+            file = F.col("_metadata")
+            lines = raw.select(
+                "value",
+                file["file_modification_time"].alias("__time"),
+                file["file_path"].alias("__file"),
+                file["file_block_start"].alias("__block"),
+            )
+            return number_arrivals(lines) if mode == "batch" else lines.withColumn("seq", F.lit(None).cast("bigint"))
         return raw.select(
             F.regexp_extract("value", r"^(\d+)\t", 1).try_cast("bigint").alias("seq"),
             F.regexp_replace("value", r"^\d+\t", "").alias("value"),
@@ -42,6 +69,14 @@ def read_changes(
     return _from_start(raw, start, since).select("seq", "value")
 
 
+def number_arrivals(lines: DataFrame, batch_id: int = 0) -> DataFrame:
+    """``seq, value`` of bare lines in the order of their arrival, after all earlier batches."""
+    # rows of one block follow each other in their partition, in the file's order
+    lines = lines.select("value", *ARRIVAL).withColumn("__line", F.monotonically_increasing_id())
+    placed = number_rows(lines, [*ARRIVAL, "__line"], "seq")
+    return placed.select((F.col("seq") + (batch_id << BATCH_BITS)).alias("seq"), "value")
+
+
 def read_entries(
     spark: SparkSession,
     path: str,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -9,12 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rowtide.operators import envelope
 from rowtide.operators.batches import FLUSH_INTERVAL
+from rowtide.sources.changes import ARRIVAL, number_arrivals
 from rowtide.streaming.store import read_or_empty
 
-REJECTS = "seq BIGINT, reason STRING, payload STRING, error STRING, batch BIGINT"
+REJECTS = "seq BIGINT, reason STRING, payload STRING, error STRING, stream STRING, batch BIGINT"
 
 
-def fan_out(events: DataFrame, batch_id: int, sinks: Sequence, rejected: int = 0) -> list[bool]:
+def fan_out(events: DataFrame, batch_id: int, sinks: Sequence, rejected: int = 0, stream: str = "") -> list[bool]:
     """The same batch to every sink in order; events are computed once.
 
     A sink that raises stops the round. The batch is then delivered again to
@@ -22,7 +24,7 @@ def fan_out(events: DataFrame, batch_id: int, sinks: Sequence, rejected: int = 0
     """
     events.persist()
     try:
-        return [sink.apply(events, batch_id, rejected) for sink in sinks]
+        return [sink.apply(events, batch_id, rejected, stream) for sink in sinks]
     finally:
         events.unpersist()
 
@@ -45,14 +47,26 @@ def run_flow(
     partial batch included.
     """
 
+    known = []
+
+    def stream_id(batch: DataFrame) -> str:
+        # what Spark itself wrote into the checkpoint when the stream began there
+        if not known:
+            metadata = batch.sparkSession.read.text(f"{checkpoint}/metadata").first()
+            known.append(json.loads(metadata["value"])["id"])
+        return known[0]
+
     def write(batch: DataFrame, batch_id: int) -> None:
+        stream = stream_id(batch)
+        if set(ARRIVAL) <= set(batch.columns):
+            batch = number_arrivals(batch, batch_id)
         decoded = decode(batch).persist()
         try:
             good, rejects = envelope.split_rejects(decoded)
             rejected = rejects.count()
             if rejects_path is not None and rejected:
-                rejects.write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
-            fan_out(envelope.change_rows(good), batch_id, sinks, rejected)
+                rejects.write.mode("overwrite").parquet(f"{rejects_path}/stream={stream}/batch={batch_id}")
+            fan_out(envelope.change_rows(good), batch_id, sinks, rejected, stream)
         finally:
             decoded.unpersist()
 

@@ -12,50 +12,72 @@ import time
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from rowtide.operators import replay, schema
-from rowtide.operators.lookup import append_event_log
+from rowtide.operators.lookup import append_event_log, table_dir
 
-STATE = "table_name STRING, pk STRING, row MAP<STRING,STRING>"
+# Layouts of what is stored.
+STATE = (
+    "table_name STRING, pk STRING, row MAP<STRING,STRING>, at MAP<STRING,BIGINT>, put_seq BIGINT, del_seq BIGINT"
+)
 CATALOG = (
     "schema_name STRING, table_name STRING, column_name STRING, data_type STRING, ordinal INT, last_updated TIMESTAMP"
 )
 MANIFEST = "table_name STRING, table_dir STRING, bucket INT, data_version BIGINT"
 _ERROR = "struct<seq: bigint, rank: int, violation: string>"
 LEDGER = (
-    "flow STRING, sink STRING, batch_id BIGINT, started_at TIMESTAMP, ended_at TIMESTAMP, rows_in BIGINT, "
+    "flow_name STRING, sink_name STRING, batch_id BIGINT, started_at TIMESTAMP, ended_at TIMESTAMP, rows_in BIGINT, "
     "rows_rejected BIGINT, rows_written BIGINT, ok BOOLEAN, error STRING, version BIGINT"
 )
+# Folders that anything of a batch lies in.
+PLACE = ", flow STRING, sink STRING, stream STRING, batch BIGINT"
+
+
+def _folder(text: str) -> str:
+    """A name as part of a path, whatever characters it has."""
+    return "n" + text.encode().hex()
 
 
 class Ledger:
-    """One row per batch, each in its own folder, so a row is written once."""
+    """One row per batch, each in its own folder, so a row is written once.
+
+    Batches are known by flow, sink, stream and number: several flows may write
+    to one store, one after the other, and a new checkpoint starts a stream of
+    its own.
+    """
 
     def __init__(self, spark: SparkSession, root: str, flow: str, sink: str):
         self.spark, self.path, self.flow, self.sink = spark, f"{root}/ledger", flow, sink
 
+    def place(self, batch_id: int, stream: str = "") -> str:
+        """Where anything of one batch is kept, below a root."""
+        return f"flow={_folder(self.flow)}/sink={_folder(self.sink)}/stream={_folder(stream)}/batch={batch_id}"
+
     def rows(self) -> DataFrame:
-        return read_or_empty(self.spark, self.path, LEDGER)
+        """Every batch so far, with ``flow`` and ``sink`` by name."""
+        rows = read_or_empty(self.spark, self.path, LEDGER + PLACE)
+        named = rows.withColumns({"flow": F.col("flow_name"), "sink": F.col("sink_name")})
+        return named.drop("flow_name", "sink_name")
 
-    def done(self, batch_id: int) -> bool:
+    def done(self, batch_id: int, stream: str = "") -> bool:
         """Whether the batch was written already; looks at its own row only."""
-        return bool(read_or_empty(self.spark, f"{self.path}/batch={batch_id}", LEDGER).where("ok").take(1))
+        return bool(read_or_empty(self.spark, f"{self.path}/{self.place(batch_id, stream)}", LEDGER).where("ok").take(1))
 
     def last_version(self) -> int | None:
         return self.rows().where("ok").agg(F.max("version")).first()[0]
 
-    def write(self, batch_id, started, rows_in, rows_written, ok, error, version, rejected=0) -> None:
+    def write(self, batch_id, started, rows_in, rows_written, ok, error, version, rejected=0, stream="") -> None:
         row = (self.flow, self.sink, batch_id, started, time.time(), rows_in, rejected, rows_written, ok, error, version)
         frame = self.spark.createDataFrame(
             [row],
-            "flow STRING, sink STRING, batch_id BIGINT, started_at DOUBLE, ended_at DOUBLE, rows_in BIGINT, "
+            "flow_name STRING, sink_name STRING, batch_id BIGINT, started_at DOUBLE, ended_at DOUBLE, rows_in BIGINT, "
             "rows_rejected BIGINT, rows_written BIGINT, ok BOOLEAN, error STRING, version BIGINT",
         )
         frame = frame.withColumns(
             {c: F.timestamp_micros((F.col(c) * 1000000).cast("bigint")) for c in ("started_at", "ended_at")}
         )
-        frame.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        frame.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{self.place(batch_id, stream)}")
 
 
 def read_or_empty(spark: SparkSession, path: str, ddl: str) -> DataFrame:
@@ -71,7 +93,11 @@ class TableStore:
     """Sink that replays batches into tables named by their events.
 
     Files are split by table and by a hash of the key; a batch rewrites only
-    the buckets its keys fall into.
+    the buckets its keys fall into. Upsert state keeps the sequence numbers of
+    its writes, so a refused batch can be retried after later ones. The number
+    of buckets is part of the store: opened with another one, it refuses to
+    write. Flows that share a store write in turn, and number their events in
+    one common order.
     """
 
     def __init__(
@@ -92,6 +118,7 @@ class TableStore:
         self.auto_create, self.auto_add, self.scope, self.check_types = auto_create, auto_add, scope, check_types
         self.schema_name, self.name = schema_name, sink
         self.ledger = Ledger(spark, self.root, flow, sink)
+        self.checked = False
 
     # ---- reading
 
@@ -110,7 +137,8 @@ class TableStore:
 
     def state(self, table: str | None = None) -> DataFrame:
         manifest = self.manifest()
-        return self._read_buckets(manifest if table is None else manifest.where(F.col("table_name") == table))
+        wanted = manifest if table is None else manifest.where(F.col("table_name") == table)
+        return replay.live_rows(self._read_buckets(wanted))
 
     def table(self, name: str) -> DataFrame:
         """Typed rows of one table."""
@@ -121,13 +149,31 @@ class TableStore:
 
     def failed(self) -> DataFrame:
         """Events of the batches that are still refused, with batch and violation."""
-        refused = self.ledger.rows().where(~F.col("ok")).select(F.col("batch_id").alias("batch"))
-        return self.spark.read.parquet(f"{self.root}/failed").join(refused, "batch", "left_semi")
-
-    def retry(self, batch_id: int) -> bool:
-        """Run a refused batch again, on top of what was written since."""
-        events = self.spark.read.parquet(f"{self.root}/failed/batch={batch_id}").drop("violation")
-        return self.apply(events, batch_id)
+        try:
+            events = self.spark.read.parquet(f"{self.root}/failed")
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return self.spark.createDataFrame([], "seq BIGINT, batch BIGINT, violation STRING")
+        refused = self.ledger.rows().where(~F.col("ok")).select(
+            _folder_column("flow"), _folder_column("sink"), "stream", "batch"
+        )
+        return events.join(refused, ["flow", "sink", "stream", "batch"], "left_semi").drop("flow", "sink", "stream")
+
+    def retry(self, batch_id: int, stream: str = "") -> bool:
+        """Run a refused batch again; what was written since and is newer stays."""
+        path = f"{self.root}/failed/{self.ledger.place(batch_id, stream)}"
+        return self.apply(self.spark.read.parquet(path).drop("violation"), batch_id, stream=stream)
+
+    def _check_buckets(self) -> None:
+        path = f"{self.root}/settings"
+        stored = read_or_empty(self.spark, path, "buckets INT").first()
+        if stored is None:
+            settings = self.spark.createDataFrame([(self.buckets,)], "buckets INT")
+            settings.coalesce(1).write.mode("overwrite").parquet(path)
+        elif stored["buckets"] != self.buckets:
+            raise ValueError(f"the store has {stored['buckets']} buckets, not {self.buckets}")
+        self.checked = True
 
     def _read_buckets(self, manifest: DataFrame) -> DataFrame:
         # the list of files, not their rows: tables x buckets at most
@@ -136,14 +182,16 @@ class TableStore:
             return self.spark.createDataFrame([], STATE)
         base = f"{self.root}/data"
         paths = [f"{base}/version={r.data_version}/table_dir={r.table_dir}/bucket={r.bucket}" for r in current]
-        return self.spark.read.schema(STATE).option("basePath", base).parquet(*paths).select("table_name", "pk", "row")
+        return self.spark.read.schema(STATE).option("basePath", base).parquet(*paths).select(*replay.VERSION_COLUMNS)
 
     # ---- writing
 
-    def apply(self, events: DataFrame, batch_id: int, rejected: int = 0) -> bool:
+    def apply(self, events: DataFrame, batch_id: int, rejected: int = 0, stream: str = "") -> bool:
         """Write one batch of routed, keyed events; False when it was refused."""
-        if self.ledger.done(batch_id):
+        if self.ledger.done(batch_id, stream):
             return True
+        if not self.checked:
+            self._check_buckets()
         started = time.time()
         current = self.ledger.last_version()
         # the next number whatever the batch: a run cut short left nothing in
@@ -156,16 +204,16 @@ class TableStore:
             bad = self._violations(events, cells, catalog, grown, current)
             rows, error = self._outcome(events, bad)
             if not rows:
-                self.ledger.write(batch_id, started, rejected, 0, True, None, current, rejected)
+                self.ledger.write(batch_id, started, rejected, 0, True, None, current, rejected, stream)
                 return True
             if error is not None:
-                self._isolate(events, bad, batch_id)
-                self.ledger.write(batch_id, started, rows + rejected, 0, False, error, current, rejected)
+                self._isolate(events, bad, self.ledger.place(batch_id, stream))
+                self.ledger.write(batch_id, started, rows + rejected, 0, False, error, current, rejected, stream)
                 return False
         finally:
             cells.unpersist()
         self._write_version(events, current, version)
-        self.ledger.write(batch_id, started, rows + rejected, rows, True, None, version, rejected)
+        self.ledger.write(batch_id, started, rows + rejected, rows, True, None, version, rejected, stream)
         return True
 
     def _grow_catalog(self, events, cells, catalog: DataFrame, version: int) -> DataFrame:
@@ -190,7 +238,7 @@ class TableStore:
             clashes = schema.conflicting_cells(cells.where(F.col("op") != "delete"), grown)
             checks.append(clashes.select("seq", F.lit("type_conflict").alias("violation")))
         if self.policy == "replace":
-            held = self._read_buckets(self._touched(events, current))
+            held = replay.live_rows(self._read_buckets(self._touched(events, current)))
             again = replay.key_violations(events, held).select("seq")
             checks.append(again.withColumn("violation", F.lit("duplicate_key")))
         ranked = [c.select("seq", F.lit(i).alias("rank"), "violation") for i, c in enumerate(checks)]
@@ -204,16 +252,16 @@ class TableStore:
         found = counted.unionByName(errors).agg(F.sum("n").alias("n"), F.min("error").alias("error")).first()
         return found["n"] or 0, found["error"] and found["error"]["violation"]
 
-    def _isolate(self, events: DataFrame, bad: DataFrame, batch_id: int) -> None:
+    def _isolate(self, events: DataFrame, bad: DataFrame, place: str) -> None:
         first = bad.groupBy("seq").agg(F.min_by("violation", "rank").alias("violation"))
-        path = f"{self.root}/failed/batch={batch_id}"
+        path = f"{self.root}/failed/{place}"
         events.join(first, "seq", "left").write.mode("overwrite").parquet(path)
 
     def _placed(self, rows: DataFrame) -> DataFrame:
         """Append the folder of the table and the bucket of the key."""
         return rows.withColumns(
             {
-                "table_dir": F.concat(F.lit("t"), F.lower(F.hex(F.encode("table_name", "UTF-8")))),
+                "table_dir": table_dir(F.col("table_name")),
                 "bucket": F.pmod(F.xxhash64(F.coalesce("pk", F.lit(""))), F.lit(self.buckets)).cast("int"),
             }
         )
@@ -225,7 +273,14 @@ class TableStore:
 
     def _write_version(self, events: DataFrame, current: int | None, version: int) -> None:
         touched = self._touched(events, current)
-        after = self._placed(replay.apply_batch(self._read_buckets(touched), events, self.policy))
+        stored = self._read_buckets(touched)
+        if self.policy == "upsert":
+            after = replay.apply_batch(stored, events)
+        else:
+            after = replay.apply_batch(replay.live_rows(stored), events, self.policy)
+            empty = {"at": "map<string,bigint>", "put_seq": "bigint", "del_seq": "bigint"}
+            after = after.withColumns({name: F.lit(None).cast(kind) for name, kind in empty.items()})
+        after = self._placed(after)
         # one folder per table and bucket; large ones are split, small ones merged
         after.hint("rebalance", "table_dir", "bucket").write.mode("overwrite").partitionBy(
             "table_dir", "bucket"
@@ -245,28 +300,41 @@ class TableStore:
         )
 
 
+def _folder_column(name: str):
+    return F.concat(F.lit("n"), F.lower(F.hex(F.encode(name, "UTF-8")))).alias(name)
+
+
 class EventLogStore:
-    """Sink that appends every event with its operation, table and payload."""
+    """Sink that appends every event with its operation, table and payload.
+
+    Folders follow the day and the table, so a lookup by time or table opens
+    only theirs; events without a table have a folder of their own.
+    """
 
+    # The log's columns, then its folders.
     LAYOUT = (
-        "id STRING, timestamp TIMESTAMP, source STRING, operation STRING, data STRING, metadata STRING, "
-        "created_at TIMESTAMP, batch BIGINT, table_name STRING"
+        "id STRING, timestamp TIMESTAMP, source STRING, table_name STRING, operation STRING, data STRING, "
+        "changes STRING, metadata STRING, created_at TIMESTAMP"
     )
+    FOLDERS = PLACE + ", event_date DATE, table_dir STRING"
 
     def __init__(self, spark: SparkSession, root: str, source: str, flow: str = "flow", sink: str = "event_log"):
         self.spark, self.root, self.source, self.name = spark, root.rstrip("/"), source, sink
         self.ledger = Ledger(spark, self.root, flow, sink)
 
-    def apply(self, events: DataFrame, batch_id: int, rejected: int = 0) -> bool:
-        if self.ledger.done(batch_id):
+    def apply(self, events: DataFrame, batch_id: int, rejected: int = 0, stream: str = "") -> bool:
+        if self.ledger.done(batch_id, stream):
             return True
         started = time.time()
-        rows = append_event_log(events.where(F.col("table_name").isNotNull()), self.source)
-        rows.write.mode("overwrite").partitionBy("table_name").parquet(f"{self.root}/events/batch={batch_id}")
-        n = events.count()
-        self.ledger.write(batch_id, started, n + rejected, n, True, None, batch_id, rejected)
+        counted = Observation()
+        rows = append_event_log(events, self.source).observe(counted, F.count(F.lit(1)).alias("n"))
+        placed = rows.withColumns({"event_date": F.to_date("timestamp"), "table_dir": table_dir(F.col("table_name"))})
+        path = f"{self.root}/events/{self.ledger.place(batch_id, stream)}"
+        placed.write.mode("overwrite").partitionBy("event_date", "table_dir").parquet(path)
+        n = counted.get["n"]
+        self.ledger.write(batch_id, started, n + rejected, n, True, None, batch_id, rejected, stream)
         return True
 
     def read(self) -> DataFrame:
-        """All logged events; filters on table and batch skip folders."""
-        return read_or_empty(self.spark, f"{self.root}/events", self.LAYOUT)
+        """All logged events; filters on table and day skip folders."""
+        return read_or_empty(self.spark, f"{self.root}/events", self.LAYOUT + self.FOLDERS).drop("flow", "sink", "stream")

@@ -8,7 +8,8 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from rowtide.operators import envelope, metrics, replay
+from rowtide.operators import batches, envelope, metrics, replay
+from rowtide.operators.lookup import event_log
 from rowtide.sources.changes import land_text, read_changes
 from rowtide.streaming.flow import read_rejects, run_flow
 from rowtide.streaming.store import EventLogStore, TableStore
@@ -67,10 +68,10 @@ def test_failure_of_a_later_sink_is_retried(spark, tmp_path):
     class Flaky(EventLogStore):
         broken = True
 
-        def apply(self, events, batch_id, rejected=0):
+        def apply(self, events, batch_id, rejected=0, stream=""):
             if self.broken and batch_id == 1:
                 raise RuntimeError("sink is down")
-            return super().apply(events, batch_id, rejected)
+            return super().apply(events, batch_id, rejected, stream)
 
     events = Flaky(spark, str(tmp_path / "log"), "test")
     with pytest.raises(StreamingQueryException):
@@ -257,3 +258,101 @@ def test_replay_of_a_landed_log_as_a_batch(spark, tmp_path):
     decoded = envelope.decode_envelope(read_changes(spark, str(tmp_path / "in"), mode="batch"))
     events = envelope.change_rows(envelope.split_rejects(decoded)[0])
     assert as_dict(replay.replay(events)) == sequential.replay(log, "upsert")[0]
+
+
+def changes(spark, log):
+    return envelope.change_rows(envelope.split_rejects(envelope.decode_envelope(messages(spark, log)))[0])
+
+
+def test_bare_envelopes_are_numbered_in_a_flow(spark, tmp_path):
+    log = sorted(usable(sequential.random_log(90, seed=26)))
+    for part in (log[:40], log[40:]):
+        messages(spark, part).coalesce(1).select("value").write.mode("append").text(str(tmp_path / "in"))
+    store = TableStore(spark, str(tmp_path / "tables"), buckets=2)
+    source = read_changes(spark, str(tmp_path / "in"), max_per_trigger=1, order="arrival")
+    run_flow(source, [store], str(tmp_path / "checkpoint"), available_now=True).awaitTermination()
+    assert as_dict(store.state()) == sequential.replay(log, "upsert")[0]
+
+
+def test_message_without_a_number_is_rejected(spark):
+    rows = [(None, '{"record":"{}","metadata":"{}","action":"x"}'), (None, "broken"), (3, '{"record":"{}","metadata":"{}","action":"x"}')]
+    decoded = envelope.decode_envelope(spark.createDataFrame(rows, "seq bigint, value string"))
+    good, rejects = envelope.split_rejects(decoded)
+    assert [r.seq for r in good.collect()] == [3]
+    assert sorted((r.reason, r.payload) for r in rejects.collect()) == [("missing_seq", rows[0][1]), ("not_an_object", "broken")]
+    entries = spark.createDataFrame([(None, "1-1", {"record": b"{}", "metadata": b"{}", "action": b"x"})], "seq bigint, entry_id string, fields map<string,binary>")
+    assert envelope.decode_entries(entries).first().reject_reason == "missing_seq"
+
+
+def test_new_checkpoint_and_second_flow_lose_nothing(spark, tmp_path):
+    log = sorted(usable(sequential.random_log(90, seed=27)))
+    for i, part in enumerate((log[:30], log[30:60], log[60:])):
+        land(spark, part, tmp_path / f"in{i}")
+        flow = "other" if i == 2 else "flow"
+        store = TableStore(spark, str(tmp_path / "tables"), buckets=2, flow=flow)
+        source = read_changes(spark, str(tmp_path / f"in{i}"))
+        run_flow(source, [store], str(tmp_path / f"checkpoint{i}"), available_now=True).awaitTermination()
+    assert as_dict(store.state()) == sequential.replay(log, "upsert")[0]
+    assert sorted(r.flow for r in store.ledger.rows().collect()) == ["flow", "flow", "other"]
+
+
+def test_bucket_count_belongs_to_the_store(spark, tmp_path):
+    rows = [(0, "t", "1", "insert", {"id": "1", "a": "x"})]
+    assert TableStore(spark, str(tmp_path / "t"), buckets=2).apply(changes(spark, rows), 0)
+    with pytest.raises(ValueError, match="2 buckets"):
+        TableStore(spark, str(tmp_path / "t"), buckets=3).apply(changes(spark, rows), 1)
+
+
+def test_retry_keeps_what_is_newer(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "t"), buckets=2, auto_add=False)
+    assert store.failed().count() == 0
+    assert store.apply(changes(spark, [(0, "t", "1", "insert", {"id": "1", "v": "a"}), (1, "t", "2", "insert", {"id": "2", "v": "a"})]), 0)
+    old = [(2, "t", "1", "update", {"id": "1", "v": "old"}), (3, "t", "2", "update", {"id": "2", "v": "old", "w": "x"})]
+    assert not store.apply(changes(spark, old), 1)
+    assert store.apply(changes(spark, [(4, "t", "1", "update", {"id": "1", "v": "new"}), (5, "t", "2", "delete", {"id": "2"})]), 2)
+    open_store = TableStore(spark, str(tmp_path / "t"), buckets=2)
+    assert open_store.retry(1) and open_store.failed().count() == 0
+    assert as_dict(open_store.state()) == {("t", "1"): {"id": "1", "v": "new"}}
+
+
+def test_event_log_keeps_everything(spark, tmp_path):
+    log = EventLogStore(spark, str(tmp_path / "log"), "s")
+    rows = [
+        (0, json.dumps({"record": '{"id":1,"v":"a"}', "metadata": '{"table_name":"t"}', "action": "update", "changes": '{"v":"b"}', "timestamp": "2024-01-02T00:00:00Z"})),
+        (1, json.dumps({"record": '{"id":2}', "metadata": "{}", "action": "insert", "timestamp": "2024-01-03T00:00:00Z"})),
+        (2, json.dumps({"record": "[1]", "metadata": '{"table_name":""}', "action": "update", "changes": "oops", "timestamp": "2024-01-03T00:00:00Z"})),
+    ]
+    decoded = envelope.decode_envelope(spark.createDataFrame(rows, "seq bigint, value string"))
+    assert log.apply(envelope.change_rows(envelope.split_rejects(decoded)[0]), 0)
+    got = sorted(((r.table_name or "-"), json.loads(r.data), r.changes) for r in log.read().collect() if r.table_name != "")
+    assert got == [("-", {"id": 2}, None), ("t", {"id": 1, "v": "b"}, '{"v":"b"}')]
+    assert [r.data for r in log.read().where("table_name = ''").collect()] == ["[1]"]
+    assert log.ledger.rows().first().rows_written == 3 == log.read().count()
+    day = event_log(log.read(), since=F.lit("2024-01-02 00:00:00").cast("timestamp"), until=F.lit("2024-01-02 12:00:00").cast("timestamp"))
+    assert day.count() == 1
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+
+
+def test_dedup_keeps_late_events(spark, tmp_path):
+    rows = [("2024-03-01T00:00:00Z", "a"), ("2024-01-01T00:00:00Z", "b"), ("2024-03-01T00:00:00Z", "a")]
+    for at, i in rows:
+        spark.createDataFrame([(i, at)], "id string, timestamp string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("id string, timestamp string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    events = source.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    writer = batches.dedup_stream(events).writeStream.format("parquet").trigger(availableNow=True)
+    writer.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_keys_of_one_value_meet(spark):
+    log = [
+        (0, {"record": '{"id":5,"a":"x"}', "action": "insert"}), (1, {"record": '{"id":5.0,"b":"y"}', "action": "update"}),
+        (2, {"record": '{"id":7,"a":"x"}', "action": "insert"}), (3, {"record": '{"id":7e0}', "action": "delete"}),
+        (4, {"record": '{"id":"5.0","a":"text"}', "action": "insert"}),
+        (5, {"record": '{"id":1,"a":"x"}', "action": "update", "changes": '{"id":1.50}'}), (6, {"record": '{"id":1.5,"c":"z"}', "action": "insert"}),
+    ]
+    rows = [(i, json.dumps({"metadata": '{"table_name":"t"}', **m})) for i, m in log]
+    decoded = envelope.decode_envelope(spark.createDataFrame(rows, "seq bigint, value string"))
+    got = as_dict(replay.replay(envelope.change_rows(envelope.split_rejects(decoded)[0])))
+    assert {k[1]: sorted(v) for k, v in got.items()} == {"5": ["a", "b", "id"], "5.0": ["a", "id"], "1.5": ["a", "c", "id"]}

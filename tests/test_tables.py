@@ -106,15 +106,16 @@ def test_reference_checks(spark):
     assert got == [(2, "y", "not_found"), (2, "z", "not_found"), (3, "", "empty")]
 
 
-def test_references_beyond_the_text_limit_stay_whole(spark):
+def test_references_of_any_number_come_in_parts(spark):
     parents = spark.createDataFrame([("a",), ("b",)], "p string")
     child = spark.range(50).select(
         F.when(F.col("id") < 45, "a").otherwise("b").alias("ref"), F.col("id").cast("string").alias("name")
     )
     refs = lookup.references_to(parents, "p", child, "ref", "name")
     assert refs.count() == 50
-    text = {r.p: (r.n_refs, r.names) for r in lookup.references_text(refs, "p", "name", longest=10).collect()}
-    assert text == {"a": (45, None), "b": (5, "45, 46, 47, 48, 49")}
+    parts = sorted((r.p, r.part, r.n_refs, r.names) for r in lookup.references_text(refs, "p", "name", per_part=10).collect())
+    names = sorted(str(i) for i in range(45))
+    assert parts == [("a", i, 45, ", ".join(names[10 * i : 10 * i + 10])) for i in range(5)] + [("b", 0, 5, "45, 46, 47, 48, 49")]
 
 
 def test_merges(spark):
@@ -131,6 +132,12 @@ def test_merges(spark):
         for r in merged.select("name", "v", F.unix_seconds("created_at").alias("c"), F.unix_seconds("updated_at").alias("u")).collect()
     )
     assert got == [("a", 1, 1, 1), ("b", None, 1, 5), ("c", 3, 5, 5)]
+    tied = spark.createDataFrame([("c", 5, 1), ("c", 4, 1), ("d", 8, None), ("d", 7, None), ("e", 1, None), ("e", 2, 3)], rows.schema)
+    got = sorted(tuple(r) for r in lookup.insert_if_absent(target, tied, "name", order="turn").collect())
+    assert got == [("a", 1), ("b", 2), ("c", 4), ("d", 7), ("e", 2)]
+    assert sorted(tuple(r) for r in lookup.insert_if_absent(target, tied.drop("turn"), "name").collect())[2:] == [("c", 4), ("d", 7), ("e", 1)]
+    again = lookup.merge_audited(stamped, tied, "name", F.timestamp_seconds(F.lit(5)), order="turn")
+    assert sorted((r["name"], r.v) for r in again.collect()) == [("a", 1), ("b", 2), ("c", 5), ("d", 8), ("e", 2)]
     dup = sorted((r["name"], r.n, r.in_target) for r in lookup.duplicate_keys(rows, "name", target).collect())
     assert dup == [("b", 1, True), ("c", 2, False)]
     assert [r["name"] for r in lookup.duplicate_keys(rows, "name").collect()] == ["c"]
@@ -147,6 +154,9 @@ def test_status_and_last_n(spark):
     series = spark.range(100).withColumn("g", F.col("id") % 2)
     assert sorted(r.id for r in lookup.keep_last_n(series, 3, "id").collect()) == [97, 98, 99]
     assert sorted(r.id for r in lookup.keep_last_n(series, 2, "id", by="g").collect()) == [96, 97, 98, 99]
+    hot = spark.range(60_000).withColumn("g", F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id")))
+    kept = lookup.keep_last_n(hot, 10_000, "id", by="g")
+    assert kept.where("g = 0").agg(F.count("*"), F.min("id")).first() == (10_000, 60_000 - 11_111)
     tags = spark.createDataFrame([("a", ["x", "y"]), ("b", None)], "name string, tags array<string>")
     assert [r["name"] for r in lookup.with_tag(tags, "tags", "y").collect()] == ["a"]
     assert lookup.list_by(defs, "name").first()["name"] == "a"
