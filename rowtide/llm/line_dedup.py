@@ -7,14 +7,17 @@ not shift the chunks of the passage. A chunk of several lines that occurs more
 than once in the corpus keeps its first occurrence, in the order of id and
 line; the others are removed after a comparison of the bytes.
 
-Only DataFrame functions are used. Hashes alone are counted first, with
-map-side partial counts; texts move only for chunks whose hash repeats, and the
-join of a hot chunk's occurrences with its one first occurrence can be split.
+Only DataFrame functions are used. Hashes and places alone are counted first,
+with map-side partial counts; the bytes of a repeated chunk's first occurrence
+then travel to the other documents that have it, which compare them with their
+own. Joins on hashes are merge joins of plain shuffles, so that a hot chunk's
+occurrences can be split. Texts are shuffled once.
 
 Defined results: a null text stays null and has no lines; the empty text is a
 single line. Single lines and chunks without a letter or digit are never
 removed. Documents equal in id and text count as one and keep or lose the same
-lines. A null id comes before all others. Other columns are not read.
+lines. A null id comes before all others. Chunks that share a hash but not
+their bytes stay. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -63,23 +66,20 @@ def chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> Dat
 
 
 def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """``doc_id, text_key, start, stop`` of every chunk equal to an earlier one."""
-    found = materialize(
-        chunks(docs, window, divisor).withColumn("hash", F.xxhash64("body")).withColumn("at", F.struct("doc_id", "text_key", "start")),
-        "chunks",
-    )
+    """``doc_id, text_key, start, stop, first_body`` of every chunk that shares its hash with an earlier one."""
+    whole = chunks(docs, window, divisor).withColumn("hash", F.unhex(F.md5(F.col("body").cast("binary"))))
+    whole = whole.withColumn("at", F.struct("doc_id", "text_key", "start"))
+    found = materialize(whole.select("hash", "at", "stop"), "chunks")
     firsts = found.groupBy("hash").agg(F.min("at").alias("first_at"), F.count("*").alias("n")).where("n > 1")
     firsts = materialize(firsts.select("hash", "first_at"), "chunk-firsts")
-    # The bytes of the first occurrence; chunks that only share its hash are compared among themselves by their text.
-    marked = materialize(found.join(firsts, "hash"), "chunk-repeats")
-    first_body = materialize(
-        marked.where("at = first_at").groupBy("hash").agg(F.min("body").alias("first_body")), "chunk-bodies"
-    )
-    compared = marked.join(first_body.withColumnRenamed("hash", "h2"), F.col("hash") == F.col("h2"))
-    equal = compared.where((F.col("body") == F.col("first_body")) & (F.col("at") != F.col("first_at")))
-    unlike = compared.where(F.col("body") != F.col("first_body")).groupBy("body").agg(F.min("at").alias("body_at"), F.count("*").alias("n"))
-    clash = compared.where(F.col("body") != F.col("first_body")).join(unlike.where("n > 1"), "body").where("at != body_at")
-    return equal.select("doc_id", "text_key", "start", "stop").unionByName(clash.select("doc_id", "text_key", "start", "stop")).distinct()
+    again = found.join(firsts.hint("merge"), "hash").where("at != first_at").select("hash", "at", "stop")
+    # The comparison, always true, marks the side as a selection, for which Spark filters the chunks by a Bloom filter
+    # of the hashes before their texts are shuffled.
+    chosen = firsts.where(F.col("hash") >= F.lit(b"")).withColumnRenamed("hash", "first_hash").hint("merge")
+    is_first = (F.col("hash") == F.col("first_hash")) & (F.col("at") == F.col("first_at"))
+    bodies = whole.join(chosen, is_first).groupBy("hash").agg(F.min("body").alias("first_body"))
+    bodies = materialize(bodies, "chunk-bodies")
+    return again.join(bodies.hint("merge"), "hash").select("at.doc_id", "at.text_key", "at.start", "stop", "first_body")
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
@@ -87,19 +87,22 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
-    gone = repeated_chunks(rows, window, divisor).groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed")
+    later = repeated_chunks(rows, window, divisor).distinct().groupBy("doc_id", "text_key").agg(
+        F.array_sort(F.collect_list(F.struct("start", "stop", "first_body"))).alias("later")
     )
-    gone = materialize(gone.withColumnRenamed("doc_id", "gone_id").withColumnRenamed("text_key", "gone_key"), "chunks-gone")
+    later = materialize(later.withColumnRenamed("doc_id", "gone_id").withColumnRenamed("text_key", "gone_key"), "chunks-later")
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key"))
-    joined = rows.join(gone, same, "left")
-    lines = F.split("text", "\n", -1)
+    joined = rows.join(later.hint("merge"), same, "left").withColumn("lines", F.split("text", "\n", -1))
+    equal = F.filter(
+        "later", lambda r: F.array_join(F.slice(F.col("lines"), r["start"] + 1, r["stop"] - r["start"]), "\n") == r["first_body"]
+    )
+    ranges = F.transform(equal, lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop")))
+    joined = joined.withColumn("removed", ranges)
     # what lies between the removed ranges, each line touched once
     befores = F.concat(F.array(F.lit(0)), F.transform("removed", lambda r: r["stop"]))
     afters = F.concat(F.transform("removed", lambda r: r["start"]), F.array(F.size("lines")))
     gaps = F.zip_with(befores, afters, lambda a, b: F.slice(F.col("lines"), a + 1, b - a))
     kept = F.array_join(F.flatten(gaps), "\n")
-    joined = joined.withColumn("lines", lines)
     return joined.select(
         "doc_id",
         F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept).alias("text"),
