@@ -20,6 +20,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Session settings the operators rely on."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    # Also for tables that are not huge: a Bloom filter of one side's keys before the other side is shuffled.
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "10m")
     # Python workers find this package where the driver does; where executors see no such folder, ship it by --py-files.
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]

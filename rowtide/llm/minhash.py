@@ -9,11 +9,11 @@ number of their common paths stays 1 on average at every depth, while unlike
 classes part at once. Nodes with few classes are compared exhaustively; larger
 ones branch on. A pair is a link only when the full sets confirm it.
 
-What a node compares is a byte per minhash coordinate. A class first names its
-likeliest partners in a node; the rest of its likely partners follow in rounds
-of growing width, but only where no link has joined the two components by then.
-So no link between components is lost and a crowd of near copies does not emit
-all its pairs. A node that still is large at the last level holds a crowd: it
+What a node compares are the minhashes, after the sets' sizes. A class first names one
+likely partner in a node, the one of the smallest name, which a crowd of near
+copies has in common; its other likely partners follow in rounds of growing
+width, but only where no link has joined the two components by then. So no
+link between components is lost and a crowd does not emit all its pairs. A node that still is large at the last level holds a crowd: it
 is cut into pieces that all contain the same hub, and classes that did not join
 the hub's component are then compared with every piece.
 
@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from rowtide.llm.common import buffers, id_and_text, mix, prepare, shingle_hashes, word_hashes
 from rowtide.session import materialize
@@ -47,12 +47,12 @@ from rowtide.session import materialize
 WORDS = 5
 SIMILARITY = 80  # hundredths
 TREES = 16
-COORDINATES, SKETCH = 128, 64
+COORDINATES = 128
 SECOND_BRANCH = 0.25  # branches a level: 1 + this = 1 / similarity
 SMALL_NODE = 1024
 TARGET_NODE = 64  # unlike classes a node should hold at the first level that is looked at
 DEEPER_LEVELS = 4
-WINDOWS = (2, 16, 128, 1024, 1 << 20)
+WINDOWS = (1, 8, 1 << 20)
 SETS_AT_ONCE = 1024
 
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64))
@@ -125,37 +125,42 @@ def nodes(classes: DataFrame, trees: int, depth: int) -> DataFrame:
     return classes.select("cls", "sig").mapInArrow(walked, "node bigint, cls bigint")
 
 
-def likely_pairs(units: DataFrame, least: float, window: tuple[int, int]) -> DataFrame:
-    """Pairs of one unit whose sketches agree in at least ``least`` of their bytes.
+def likely_pairs(units: DataFrame, similarity: int, window: tuple[int, int]) -> DataFrame:
+    """Pairs of one unit whose minhashes agree often enough for a link.
 
-    ``units`` has ``unit, cls, comp, sketch``. Returns ``unit, a, b``: for
-    each class its partners of the given ranks, likeliest first, that are in
-    another component; ``b`` is null where later ranks remain, and ``a`` null
+    ``units`` has ``unit, cls, comp, n_shingles, sig``. Returns ``unit, a, b``: for
+    each class its likely partners of smaller names, of the given ranks among
+    them, that are in another component; ``b`` is null where later ranks remain, and ``a`` null
     for classes that have any likely partner (``b`` names them).
     """
     low, high = window
+    # the minhashes of a link agree in less than this with a probability below 1e-4
+    p = similarity / 100
+    least = p - 4 * math.sqrt(p * (1 - p) / COORDINATES)
 
-    def compare(unit: np.ndarray, cls: np.ndarray, comp: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
-        left, right, alike = [], [], []
+    def compare(unit: np.ndarray, cls: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        left, right = [], []
         for step in range(1, len(unit)):
             i = np.flatnonzero(unit[:-step] == unit[step:])
             if i.size == 0:
                 break
-            i = i[(comp[i] != comp[i + step]) & (cls[i] != cls[i + step])]
+            # sets of too unequal sizes cannot be alike enough
+            alike = 100 * np.minimum(n[i], n[i + step]) >= similarity * np.maximum(n[i], n[i + step])
+            i = i[(cls[i] != cls[i + step]) & alike]
             for part in np.array_split(i, max(1, i.size // 50_000)):
-                share = (sketch[part] == sketch[part + step]).sum(axis=1)
-                ok = share >= least * SKETCH
+                ok = (sig[part] == sig[part + step]).sum(axis=1) >= least * COORDINATES
                 left.append(part[ok])
                 right.append(part[ok] + step)
-                alike.append(share[ok])
         if not left:
             return _pairs([], [], [])
-        i, j, share = np.concatenate(left), np.concatenate(right), np.concatenate(alike)
-        order = np.lexsort((i, -share.astype(np.int64), j))
+        i, j = np.concatenate(left), np.concatenate(right)
+        order = np.lexsort((i, j))
         i, j = i[order], j[order]
         starts = np.flatnonzero(np.append(True, j[1:] != j[:-1])) if j.size else np.zeros(0, dtype=np.int64)
         rank = np.arange(j.size) - np.repeat(starts, np.diff(np.append(starts, j.size)))
-        now, later = (rank >= low) & (rank < high), np.unique(unit[j[rank >= high]])
+        # ranks count all likely partners, so that a pair has the same rank in every round
+        apart = comp[i] != comp[j]
+        now, later = apart & (rank >= low) & (rank < high), np.unique(unit[j[apart & (rank >= high)]])
         members = np.unique(cls[np.append(i[now], j[now])])
         pairs = (unit[j[now]], cls[i[now]], cls[j[now]])
         return _pairs(
@@ -180,13 +185,13 @@ def likely_pairs(units: DataFrame, least: float, window: tuple[int, int]) -> Dat
         if held:
             yield compare(*_columns(pa.Table.from_batches(held)))
 
-    ordered = units.select("unit", "cls", "comp", "sketch").repartition("unit").sortWithinPartitions("unit", "cls")
+    ordered = units.select("unit", "cls", "comp", "n_shingles", "sig").repartition("unit").sortWithinPartitions("unit", "cls")
     return ordered.mapInArrow(compared, "unit bigint, a bigint, b bigint")
 
 
 def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
-    sketch = np.frombuffer(b"".join(table.column(3).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
-    return (*(table.column(i).to_numpy() for i in range(3)), sketch)
+    sig = np.frombuffer(b"".join(table.column(4).to_pylist()), dtype="<u2").reshape(-1, COORDINATES)
+    return (*(table.column(i).to_numpy() for i in range(4)), sig)
 
 
 def _pairs(unit: list, a: list, b: list) -> pa.RecordBatch:
@@ -202,7 +207,10 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             sets = [np.unique(shingle_hashes(hashed[a:b], words)).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["cls", "shingles"])
 
-    rows = id_and_text(docs).withColumn("key", _row_key()).join(wanted, "key").select("cls", "text")
+    # The comparison, always true, marks the side as a selection, for which Spark filters the texts by a Bloom
+    # filter of the keys before they are shuffled.
+    chosen = wanted.where(F.col("key") >= F.lit(-(1 << 63)))
+    rows = id_and_text(docs).withColumn("key", _row_key()).join(chosen, "key").select("cls", "text")
     return rows.mapInArrow(listed, "cls bigint, shingles binary").dropDuplicates(["cls"])
 
 
@@ -239,14 +247,25 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = materialize(hooked, "hooked")
         above = hooked.select(F.col("cls").alias("parent"), F.col("comp").alias("above"))
         jumped = hooked.join(above, F.col("comp") == F.col("parent")).select("cls", "was", F.least("comp", "above").alias("comp"))
-        jumped = materialize(jumped, "labels")
-        labels = jumped.select("cls", "comp")
-        if jumped.where("comp <> was").isEmpty():
+        changed = Observation()
+        count = F.count(F.when(F.col("comp") != F.col("was"), 1)).alias("n")
+        labels = materialize(jumped.observe(changed, count), "labels").select("cls", "comp")
+        if not changed.get["n"]:
             return labels
 
 
-def _empty_pairs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "a bigint, b bigint")
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Labels after more ``links``: only links between two components are followed."""
+    if labels is None:
+        return components(links)
+    ends = _with_comp(links.select(F.col("a").alias("cls"), "b"), labels).select(F.col("comp").alias("a"), F.col("b").alias("cls"))
+    ends = materialize(_with_comp(ends, labels).select("a", F.col("comp").alias("b")).where("a <> b").distinct(), "new-links")
+    if ends.isEmpty():
+        return labels
+    merged = components(ends).select(F.col("cls").alias("old"), F.col("comp").alias("new"))
+    known = labels.select("cls", "comp").unionByName(merged.join(labels, F.col("old") == F.col("cls"), "left_anti").select(F.col("old").alias("cls"), F.col("old").alias("comp")))
+    moved = known.join(merged, F.col("comp") == F.col("old"), "left").select("cls", F.coalesce("new", "comp").alias("comp"))
+    return materialize(moved, "labels")
 
 
 def _with_comp(units: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -257,14 +276,10 @@ def _with_comp(units: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 class _Search:
-    """Links found so far, and the sets that confirm them."""
+    """Components found so far, and the sets that confirm links."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, words: int, similarity: int):
         self.docs, self.classes, self.words, self.similarity = docs, classes, words, similarity
-        # a link's sketch agrees less than this with a probability below 1e-4
-        p = similarity / 100
-        self.least = p - 4 * math.sqrt(p * (1 - p) / SKETCH)
-        self.links = _empty_pairs(docs.sparkSession)
         self.sets: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -278,17 +293,15 @@ class _Search:
 
     def round(self, units: DataFrame, window: tuple[int, int]) -> DataFrame | None:
         """Confirm one window of likely pairs; returns the units with more to look at."""
-        sketched = _with_comp(units, self.labels).join(self.classes.select("cls", "sketch"), "cls")
-        found = materialize(likely_pairs(sketched, self.least, window), "likely")
+        signed = _with_comp(units, self.labels).join(self.classes.select("cls", "n_shingles", "sig"), "cls")
+        found = materialize(likely_pairs(signed, self.similarity, window), "likely")
         pairs = found.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         members = found.where("a IS NULL").select(F.col("b").alias("cls")).distinct()
         if found.isEmpty():
             return None
         sets = self._sets_of(members)
         if sets is not None:
-            confirmed = materialize(confirm(pairs, sets, self.similarity), "links")
-            self.links = self.links.unionByName(confirmed)
-            self.labels = components(self.links)
+            self.labels = _joined(self.labels, materialize(confirm(pairs, sets, self.similarity), "links"))
         later = found.where("a IS NOT NULL AND b IS NULL").select("unit").distinct()
         return None if later.isEmpty() else materialize(units.join(later, "unit", "left_semi"), "units")
 
@@ -318,12 +331,8 @@ def near_duplicates(
     prepare(docs.sparkSession)
     signed = materialize(signatures(docs, words), "signatures")
     usable = signed.where("cls IS NOT NULL AND doc_id IS NOT NULL")
-    classes = usable.groupBy("cls").agg(F.min(F.struct("doc_id", "key", "sig")).alias("r"))
-    sketch = F.expr(f"substring(r.sig, 1, {SKETCH})")
-    classes = materialize(
-        classes.select("cls", F.col("r.doc_id").alias("low_id"), F.col("r.key").alias("key"), F.col("r.sig").alias("sig"), sketch.alias("sketch")),
-        "classes",
-    )
+    classes = usable.groupBy("cls").agg(F.min(F.struct("doc_id", "key", "n_shingles", "sig")).alias("r"))
+    classes = materialize(classes.select("cls", F.col("r.doc_id").alias("low_id"), "r.key", "r.n_shingles", "r.sig"), "classes")
     n = classes.count()
     search = _Search(docs, classes, words, similarity)
     depth = max(1, round(math.log(max(n, 1) / TARGET_NODE, 16))) if n > TARGET_NODE else 1
@@ -334,7 +343,8 @@ def near_duplicates(
         sizes = materialize(sizes, "node-sizes")
         few = sizes.where(F.col("n") <= small_node).select("node")
         small.append(placed.join(few, "node").select(F.col("node").alias("unit"), "cls"))
-        stuck_sizes = sizes.where(F.col("n") > small_node)
+        # small and of known size where there are few such nodes, so that the join below need not shuffle
+        stuck_sizes = materialize(sizes.where(F.col("n") > small_node), "large-sizes")
         if stuck_sizes.isEmpty():
             stuck = None
             break
