@@ -214,3 +214,55 @@ def cast_cells(spark, sf_dir):
     routed = _stored(logs.typed_log(spark, sf_dir, tables=6))
     catalog = _stored_catalog(schema.infer_schema(routed, scope="first"))
     return schema.cast_cells(routed, catalog)
+
+
+# Columns of three tables as payloads; part of the oracles below.
+_REAL = {
+    "orders": ("o_orderkey", ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]),
+    "part": ("p_partkey", ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]),
+    "documents": ("doc_id", ["text", "lang", "source", "n_chars"]),
+}
+_REAL_NUMBERS = {"o_custkey": "BIGINT", "o_totalprice": "DOUBLE", "p_size": "BIGINT", "p_retailprice": "DOUBLE", "n_chars": "BIGINT"}
+
+
+def _real_log(spark, sf_dir):
+    """One insert for each row of the three tables; rows of a table are numbered by their key."""
+    log = None
+    for name, (key, columns) in _REAL.items():
+        record = F.to_json(F.struct(F.col(key).alias("id"), *columns))
+        value = logs.message(record, logs.metadata_text(F.lit(name)), F.lit("insert"), F.lit(None).cast("string"))
+        part = logs.table(spark, sf_dir, name).select(F.col(key).cast("bigint").alias("seq"), value.alias("value"))
+        log = part if log is None else log.unionByName(part)
+    return log
+
+
+_REAL_CELLS = " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, CAST({key} AS BIGINT) AS seq, '{c}' AS column_name, '{_REAL_NUMBERS.get(c, 'TEXT')}' AS data_type, "
+    + (f"CAST({c} AS DOUBLE) AS num, CAST(NULL AS VARCHAR) AS txt" if c in _REAL_NUMBERS else f"CAST(NULL AS DOUBLE) AS num, {c} AS txt")
+    + f" FROM {name} WHERE {c} IS NOT NULL"
+    for name, (key, columns) in _REAL.items()
+    for c in columns
+)
+
+
+@query(f"SELECT table_name, column_name, data_type, count(*) AS n FROM ({_REAL_CELLS}) GROUP BY ALL")
+def infer_real_columns(spark, sf_dir):
+    """Types of whole tables' columns, and how many values they are inferred from."""
+    routed = _stored(_real_log(spark, sf_dir))
+    inferred = schema.infer_schema(routed, scope="batch").where(F.col("column_name") != "id")
+    cells = schema.typed_cells(routed, effective=True).where("NOT is_null").groupBy("table_name", "column_name")
+    counts = cells.agg(F.count("*").alias("n"))
+    return inferred.join(counts, ["table_name", "column_name"]).select("table_name", "column_name", "data_type", "n")
+
+
+@query(_REAL_CELLS)
+def cast_real_cells(spark, sf_dir):
+    """Every value of whole tables through its inferred column's type."""
+    routed = _stored(_real_log(spark, sf_dir))
+    catalog = _stored_catalog(schema.infer_schema(routed, scope="batch"))
+    stored = schema.cast_cells(routed, catalog).where((F.col("column_name") != "id") & F.col("stored").isNotNull())
+    is_text = F.col("data_type") == "TEXT"
+    return stored.select(
+        "table_name", "seq", "column_name", "data_type",
+        F.when(~is_text, F.col("stored").cast("double")).alias("num"), F.when(is_text, F.col("stored")).alias("txt"),
+    )
