@@ -169,7 +169,7 @@ SELECT small_batch_id AS batch_id, seq, op FROM batched
 WHERE small_batch_id NOT IN (SELECT small_batch_id FROM batched WHERE violation IS NOT NULL)"""
 )
 def committed_rows(spark, sf_dir):
-    return batches.committed_rows(_dirty_batches(spark, sf_dir, n=20)).select("batch_id", "seq", "op")
+    return batches.committed_rows(materialize(_dirty_batches(spark, sf_dir, n=20), "numbered")).select("batch_id", "seq", "op")
 
 
 @query(
@@ -178,7 +178,7 @@ SELECT small_batch_id AS batch_id, seq, op, violation FROM batched
 WHERE small_batch_id IN (SELECT small_batch_id FROM batched WHERE violation IS NOT NULL)"""
 )
 def isolated_rows(spark, sf_dir):
-    return batches.isolated_rows(_dirty_batches(spark, sf_dir, n=20)).select("batch_id", "seq", "op", "violation")
+    return batches.isolated_rows(materialize(_dirty_batches(spark, sf_dir, n=20), "numbered")).select("batch_id", "seq", "op", "violation")
 
 
 @query(f"WITH {DIRTY} SELECT seq, batch_id FROM batched")
