@@ -9,13 +9,16 @@ number of their common paths stays 1 on average at every depth, while unlike
 classes part at once. Nodes with few classes are compared exhaustively; larger
 ones branch on. A pair is a link only when the full sets confirm it.
 
-What a node compares are the minhashes, after the sets' sizes. A class first names one
-likely partner in a node, the one of the smallest name, which a crowd of near
-copies has in common; its other likely partners follow in rounds of growing
-width, but only where no link has joined the two components by then. So no
-link between components is lost and a crowd does not emit all its pairs. A node that still is large at the last level holds a crowd: it
-is cut into pieces that all contain the same hub, and classes that did not join
-the hub's component are then compared with every piece.
+A node first compares the minhashes, after the sets' sizes. Each class names one
+likely partner, of the surest ones that of the smallest name, which a crowd of
+near copies has in common; the full sets confirm these pairs. Where a node then
+still has likely pairs of two components, it gets the sets of their classes,
+and one task finds every link between them by the sizes of all intersections,
+and passes on only what joins components. So no link between components is
+lost, and a crowd does not emit its pairs. A node that still is large at the
+last level holds a crowd: it is cut into pieces that all contain the same hub,
+and classes that did not join the hub's component are then compared with every
+piece.
 
 With the defaults a pair at the threshold is missed by all trees with a
 probability below 1e-5 at four levels, a more similar pair far less often.
@@ -52,7 +55,7 @@ SECOND_BRANCH = 0.25  # branches a level: 1 + this = 1 / similarity
 SMALL_NODE = 1024
 TARGET_NODE = 64  # unlike classes a node should hold at the first level that is looked at
 DEEPER_LEVELS = 4
-WINDOWS = (1, 8, 1 << 20)
+COLUMNS_AT_ONCE = 1 << 13
 SETS_AT_ONCE = 1024
 
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64))
@@ -125,70 +128,130 @@ def nodes(classes: DataFrame, trees: int, depth: int) -> DataFrame:
     return classes.select("cls", "sig").mapInArrow(walked, "node bigint, cls bigint")
 
 
-def likely_pairs(units: DataFrame, similarity: int, window: tuple[int, int]) -> DataFrame:
-    """Pairs of one unit whose minhashes agree often enough for a link.
+def likely(units: DataFrame, similarity: int, first: bool) -> DataFrame:
+    """What in each unit may be linked, by minhashes and sizes of the sets.
 
-    ``units`` has ``unit, cls, comp, n_shingles, sig``. Returns ``unit, a, b``: for
-    each class its likely partners of smaller names, of the given ranks among
-    them, that are in another component; ``b`` is null where later ranks remain, and ``a`` null
-    for classes that have any likely partner (``b`` names them).
+    ``units`` has ``unit, cls, comp, n_shingles, sig``. Returns ``unit, a, b``:
+    for ``first`` one pair for each class that has a partner of a smaller name;
+    else, with ``b`` null, all classes that have a likely partner in another
+    component.
     """
-    low, high = window
-    # the minhashes of a link agree in less than this with a probability below 1e-4
+    # the minhashes of a link agree in less than ``least`` with a probability below 1e-4, in less than ``sure`` seldom
     p = similarity / 100
-    least = p - 4 * math.sqrt(p * (1 - p) / COORDINATES)
+    spread = math.sqrt(p * (1 - p) / COORDINATES)
+    least, sure = p - 4 * spread, p + 1.5 * spread
 
     def compare(unit: np.ndarray, cls: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
-        left, right = [], []
+        left, right, unsure = [], [], []
         for step in range(1, len(unit)):
             i = np.flatnonzero(unit[:-step] == unit[step:])
             if i.size == 0:
                 break
             # sets of too unequal sizes cannot be alike enough
             alike = 100 * np.minimum(n[i], n[i + step]) >= similarity * np.maximum(n[i], n[i + step])
-            i = i[(cls[i] != cls[i + step]) & alike]
+            i = i[(comp[i] != comp[i + step]) & (cls[i] != cls[i + step]) & alike]
             for part in np.array_split(i, max(1, i.size // 50_000)):
-                ok = (sig[part] == sig[part + step]).sum(axis=1) >= least * COORDINATES
+                share = (sig[part] == sig[part + step]).mean(axis=1)
+                ok = share >= least
                 left.append(part[ok])
                 right.append(part[ok] + step)
+                unsure.append(share[ok] < sure)
         if not left:
             return _pairs([], [], [])
-        i, j = np.concatenate(left), np.concatenate(right)
-        order = np.lexsort((i, j))
+        i, j, unsure = np.concatenate(left), np.concatenate(right), np.concatenate(unsure)
+        if not first:
+            rows = np.unique(np.append(i, j))
+            return _pairs(unit[rows], cls[rows], [None] * len(rows))
+        order = np.lexsort((i, unsure, j))
         i, j = i[order], j[order]
-        starts = np.flatnonzero(np.append(True, j[1:] != j[:-1])) if j.size else np.zeros(0, dtype=np.int64)
-        rank = np.arange(j.size) - np.repeat(starts, np.diff(np.append(starts, j.size)))
-        # ranks count all likely partners, so that a pair has the same rank in every round
-        apart = comp[i] != comp[j]
-        now, later = apart & (rank >= low) & (rank < high), np.unique(unit[j[apart & (rank >= high)]])
-        members = np.unique(cls[np.append(i[now], j[now])])
-        pairs = (unit[j[now]], cls[i[now]], cls[j[now]])
-        return _pairs(
-            [*pairs[0], *later, *[0] * len(members)],
-            [*pairs[1], *later, *[None] * len(members)],
-            [*pairs[2], *[None] * len(later), *members],
-        )
+        one = np.append(True, j[1:] != j[:-1])[: j.size]
+        return _pairs(unit[j[one]], cls[i[one]], cls[j[one]])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            units_held = batch.column(0)
-            if sum(b.num_rows for b in held) < 20_000 or units_held[0].equals(units_held[-1]):
-                continue
-            # everything but the last unit, which may go on in the next batch
-            table = pa.Table.from_batches(held)
-            last = int(np.searchsorted(table.column(0).to_numpy(), units_held[-1].as_py()))
-            if last:
-                yield compare(*_columns(table.slice(0, last)))
-            held = table.slice(last).combine_chunks().to_batches()
-        if held:
-            yield compare(*_columns(pa.Table.from_batches(held)))
+        for table in _whole_units(batches, 20_000):
+            yield compare(*_columns(table))
 
     ordered = units.select("unit", "cls", "comp", "n_shingles", "sig").repartition("unit").sortWithinPartitions("unit", "cls")
     return ordered.mapInArrow(compared, "unit bigint, a bigint, b bigint")
 
 
+def _whole_units(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of ``rows`` rows or more, cut between units; the first column is the unit, in order."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        held.append(batch)
+        last_unit = batch.column(0)[-1]
+        if sum(b.num_rows for b in held) < rows or held[0].column(0)[0].equals(last_unit):
+            continue
+        # everything but the last unit, which may go on in the next batch
+        table = pa.Table.from_batches(held)
+        last = int(np.searchsorted(table.column(0).to_numpy(), last_unit.as_py()))
+        yield table.slice(0, last)
+        held = table.slice(last).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs: products of incidence matrices, some columns at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    names, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)  # others are in no intersection
+    place = np.full(len(names), -1, dtype=np.int64)
+    place[shared] = np.arange(len(shared))
+    column = place[column]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(sets), len(sets)))
+    for at in range(0, len(shared), COLUMNS_AT_ONCE):
+        a, b = np.searchsorted(column, (at, at + COLUMNS_AT_ONCE))
+        there = np.zeros((len(sets), min(COLUMNS_AT_ONCE, len(shared) - at)), dtype=np.float32)
+        there[owner[a:b], column[a:b] - at] = 1
+        total += there @ there.T
+    return total
+
+
+def settled(units: DataFrame, similarity: int) -> DataFrame:
+    """``a, b``: links between components of one unit, as many as join what can be joined.
+
+    ``units`` has ``unit, cls, comp, shingles``.
+    """
+
+    def links(cls: np.ndarray, comp: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        sizes = np.array([len(x) for x in sets])
+        common = common_counts(sets)
+        i, j = np.nonzero(np.triu(100 * common >= similarity * (sizes[:, None] + sizes - common), 1) & (comp[:, None] != comp))
+        _, one = np.unique(np.stack((np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j]))), axis=1, return_index=True)
+        parent = {c: c for c in comp.tolist()}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for k in one.tolist():
+            x, y = find(int(comp[i[k]])), find(int(comp[j[k]]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                yield int(cls[i[k]]), int(cls[j[k]])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_units(batches, 1):
+            unit, cls, comp = (table.column(i).to_numpy() for i in range(3))
+            borders = [0, *np.flatnonzero(unit[1:] != unit[:-1]) + 1, len(unit)]
+            found = []
+            for a, b in zip(borders[:-1], borders[1:], strict=True):
+                sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column(3).slice(a, b - a).to_pylist()]
+                found += links(cls[a:b], comp[a:b], sets)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    ordered = units.select("unit", "cls", "comp", "shingles").repartition("unit").sortWithinPartitions("unit", "cls")
+    return ordered.mapInArrow(settle, "a bigint, b bigint").distinct()
+
+
 def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
     sig = np.frombuffer(b"".join(table.column(4).to_pylist()), dtype="<u2").reshape(-1, COORDINATES)
     return (*(table.column(i).to_numpy() for i in range(4)), sig)
@@ -291,28 +354,25 @@ class _Search:
             self.sets = more if self.sets is None else self.sets.unionByName(more)
         return self.sets
 
-    def round(self, units: DataFrame, window: tuple[int, int]) -> DataFrame | None:
-        """Confirm one window of likely pairs; returns the units with more to look at."""
+    def _likely(self, units: DataFrame, first: bool) -> DataFrame:
         signed = _with_comp(units, self.labels).join(self.classes.select("cls", "n_shingles", "sig"), "cls")
-        found = materialize(likely_pairs(signed, self.similarity, window), "likely")
-        pairs = found.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        members = found.where("a IS NULL").select(F.col("b").alias("cls")).distinct()
-        if found.isEmpty():
-            return None
-        sets = self._sets_of(members)
-        if sets is not None:
-            self.labels = _joined(self.labels, materialize(confirm(pairs, sets, self.similarity), "links"))
-        later = found.where("a IS NOT NULL AND b IS NULL").select("unit").distinct()
-        return None if later.isEmpty() else materialize(units.join(later, "unit", "left_semi"), "units")
+        return materialize(likely(signed, self.similarity, first), "likely")
 
     def exhaust(self, units: DataFrame) -> None:
-        low = 0
-        for high in WINDOWS:
-            units = self.round(units, (low, high))
-            if units is None:
-                return
-            low = high
-        raise ValueError(f"a unit has more than {high} classes")
+        """Join all components that a link within a unit of ``units`` (``unit, cls``) joins."""
+        pairs = self._likely(units, first=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            return
+        members = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        confirmed = confirm(pairs, self._sets_of(members), self.similarity)
+        self.labels = _joined(self.labels, materialize(confirmed, "links"))
+        rest = self._likely(units, first=False).select("unit", F.col("a").alias("cls"))
+        if rest.isEmpty():
+            return
+        sets = self._sets_of(rest.select("cls").distinct())
+        found = settled(_with_comp(rest, self.labels).join(sets, "cls"), self.similarity)
+        self.labels = _joined(self.labels, materialize(found, "more-links"))
 
 
 def _pieces(stuck: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from rowtide.llm import exact_dedup, line_dedup, minhash
@@ -72,6 +73,26 @@ def test_crowd_of_near_copies(spark):
     assert got == components(texts, 2)
 
 
+def test_common_counts():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 3000, n).astype(np.uint64)) for n in (0, 1, 40, 900, 900, 2500)]
+    got = minhash.common_counts([*sets, sets[3]])
+    for i, x in enumerate([*sets, sets[3]]):
+        for j, y in enumerate([*sets, sets[3]]):
+            shared = np.intersect1d(x, y).size
+            assert got[i, j] == shared or i == j  # what only one set has is not counted with itself
+
+
+def test_paths_meet_as_often_as_planned():
+    rng = np.random.default_rng(0)
+    one = rng.integers(0, 1 << 16, (2000, minhash.COORDINATES))
+    other = np.where(rng.random(one.shape) < 0.8, one, rng.integers(0, 1 << 16, one.shape))
+    for depth in (1, 3, 5):
+        met = set(zip(*(x.tolist() for x in minhash.walk(one.astype("<u2"), minhash.TREES, depth)), strict=True))
+        met &= set(zip(*(x.tolist() for x in minhash.walk(other.astype("<u2"), minhash.TREES, depth)), strict=True))
+        assert len({row for row, _ in met}) >= 1999
+
+
 def test_drop_near_duplicates(spark):
     docs = frame(spark, awkward_rows())
     stays = minhash.drop_near_duplicates(docs)
