@@ -6,10 +6,11 @@ smoothed log-probability; every state has a failure arc to the root, weighted
 with the mass left for pairs not seen, and the root has an arc for every word.
 One traversal from the left carries the state through a text and adds weights.
 
-Smoothing is Dirichlet's: P(w | h) = (c(hw) + m P(w)) / (c(h) + m) with the
-unigrams P(w) = (c(w) + 1/2) / (N + (V + 1) / 2), which sum to one over the
-vocabulary and one unknown word. The strength m is the one of a few that gives
-the training texts the highest likelihood with each token left out of its own
+Smoothing mixes two of Dirichlet's, a weak and a strong one, each of the form
+P(w | h) = (c(hw) + m P(w)) / (c(h) + m) with the unigrams
+P(w) = (c(w) + 1/2) / (N + (V + 1) / 2), which sum to one over the vocabulary
+and one unknown word. Of a few mixtures the one is taken that gives the
+training texts the highest likelihood with each token left out of its own
 counts.
 
 No task ever holds the model. Documents are dealt into blocks of bounded size;
@@ -38,7 +39,11 @@ from rowtide.llm.common import buffers, id_and_text, mix, prepare, word_hashes
 from rowtide.session import materialize
 
 BLOCK_BYTES = 8 << 20
-STRENGTHS = tuple(10.0 ** (i / 2) for i in range(1, 12))
+# Mixtures to choose from, each as (share, strength m) of its parts.
+SMOOTHINGS = tuple(
+    ((share, weak), (1 - share, strong)) for weak in (3.0, 30.0) for strong in (3e4, 1e6) for share in (0.3, 0.5)
+)
+Smoothing = tuple[tuple[float, float], ...]
 TOKENS_AT_ONCE = 1 << 21
 START, END = (np.uint64(x) for x in mix(np.array([0x57A27, 0xE4D], dtype=np.uint64)))
 
@@ -161,19 +166,21 @@ class BackoffAutomaton:
         """Probability of a word from the root."""
         return (word_count + (0.5 - left_out)) / (self.tokens - left_out + 0.5 * (self.words + 1))
 
-    def traverse(self, word: np.ndarray, state: np.ndarray, arc: np.ndarray, strength: float, left_out: int = 0) -> np.ndarray:
+    def traverse(self, word: np.ndarray, state: np.ndarray, arc: np.ndarray, smoothing: Smoothing, left_out: int = 0) -> np.ndarray:
         """log10 weight of each step: the arc where the pair was seen, else the failure arc and the root's arc.
 
         ``word``, ``state`` and ``arc`` are how often the token, the history
         and the pair were seen in training.
         """
-        state_count, seen = state - left_out, arc - left_out
-        root = self.root(word, left_out)
-        failure = np.log10(strength / (state_count + strength))
-        weights = failure + np.log10(root)
-        taken = seen > 0
-        weights[taken] = np.log10((seen[taken] + strength * root[taken]) / (state_count[taken] + strength))
-        return weights
+        history, seen, root = state - left_out, arc - left_out, self.root(word, left_out)
+        taken = np.flatnonzero(seen > 0)
+        failure, along = np.zeros(len(root)), np.zeros(len(taken))
+        for share, strength in smoothing:
+            failure += share * strength / (history + strength)
+            along += share * (seen[taken] + strength * root[taken]) / (history[taken] + strength)
+        weights = failure * root
+        weights[taken] = along
+        return np.log10(weights)
 
 
 def _requests(training: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -186,7 +193,7 @@ def _requests(training: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.nda
     return tokens, histories, pairs, starts, keys, counts
 
 
-def score_texts(docs: DataFrame, train_on: Column, strengths: tuple[float, ...] = STRENGTHS) -> DataFrame:
+def score_texts(docs: DataFrame, train_on: Column, smoothings: tuple[Smoothing, ...] = SMOOTHINGS) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     ``train_on`` says from ``doc_id`` which rows to learn from.
@@ -226,11 +233,11 @@ def score_texts(docs: DataFrame, train_on: Column, strengths: tuple[float, ...]
         state = np.full(len(tokens), totals[2], dtype=np.int64)  # the start's
         state[1:] = np.where(histories[1:] == START, totals[2], word[:-1])
         per_text = lambda x: np.add.reduceat(x, starts[:-1])
-        scores = np.stack([per_text(automaton.traverse(word, state, arc, m)) for m in strengths], axis=1)
+        scores = np.stack([per_text(automaton.traverse(word, state, arc, m)) for m in smoothings], axis=1)
         own = np.repeat(training, np.diff(starts))
-        left_out = np.zeros((len(training), len(strengths)))
+        left_out = np.zeros((len(training), len(smoothings)))
         if own.any():
-            for i, m in enumerate(strengths):
+            for i, m in enumerate(smoothings):
                 steps = np.zeros(len(tokens))
                 steps[own] = automaton.traverse(word[own], state[own], arc[own], m, left_out=1)
                 left_out[:, i] = per_text(steps)
@@ -245,8 +252,8 @@ def score_texts(docs: DataFrame, train_on: Column, strengths: tuple[float, ...]
         score, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, scores array<double>, left_out array<double>"
     )
     scored = materialize(scored, "lm-scores")
-    sums = scored.agg(*[F.sum(F.get("left_out", F.lit(i))) for i in range(len(strengths))]).first()
-    best = max(range(len(strengths)), key=lambda i: sums[i] or 0.0)
+    sums = scored.agg(*[F.sum(F.get("left_out", F.lit(i))) for i in range(len(smoothings))]).first()
+    best = max(range(len(smoothings)), key=lambda i: sums[i] or 0.0)
     return scored.select(
         "doc_id", "n_tokens", "n_known", F.lit(totals[0]).cast("bigint").alias("train_tokens"), "base_score", F.get("scores", F.lit(best)).alias("score")
     )
