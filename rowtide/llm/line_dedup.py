@@ -7,6 +7,11 @@ not shift the chunks of the passage. A chunk of several lines that occurs more
 than once in the corpus keeps its first occurrence, in the order of id and
 line; the others are removed after a comparison of the bytes.
 
+Chunks alone find a shared passage of few lines by chance. With ``pairs`` every
+line is a border and each two neighbouring lines are a chunk, so that every
+shared run of two lines or more is found, wherever it lies in a document; the
+removed ranges are then whole runs.
+
 Only DataFrame functions are used. Hashes and places alone are counted first,
 with map-side partial counts; the bytes of a repeated chunk's first occurrence
 then travel to the other documents that have it, which compare them with their
@@ -17,7 +22,8 @@ Defined results: a null text stays null and has no lines; the empty text is a
 single line. Single lines and chunks without a letter or digit are never
 removed. Documents equal in id and text count as one and keep or lose the same
 lines. A null id comes before all others. Chunks that share a hash but not
-their bytes stay. Other columns are not read.
+their bytes stay. A pair that overlaps its first occurrence stays, so each
+removed line has an equal one earlier that is kept. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -65,14 +71,27 @@ def chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> Dat
     return several.where(F.col("body").rlike(r"[\p{L}\p{N}]"))
 
 
-def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
+def line_pairs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key, start, stop, body`` of each two neighbouring lines that have a letter or digit."""
+    lined = docs.select("doc_id", "text_key", F.split("text", "\n", -1).alias("lines")).where("size(lines) >= 2")
+    both = F.transform(
+        F.slice("lines", 1, F.size("lines") - 1),
+        lambda line, i: F.struct(i.alias("start"), (i + 2).alias("stop"), F.concat(line, F.lit("\n"), F.get("lines", i + 1)).alias("body")),
+    )
+    return lined.select("doc_id", "text_key", F.inline(both)).where(F.col("body").rlike(r"[\p{L}\p{N}]"))
+
+
+def repeated_chunks(whole: DataFrame) -> DataFrame:
     """``doc_id, text_key, start, stop, first_body`` of every chunk that shares its hash with an earlier one."""
-    whole = chunks(docs, window, divisor).withColumn("hash", F.unhex(F.md5(F.col("body").cast("binary"))))
+    whole = whole.withColumn("hash", F.unhex(F.md5(F.col("body").cast("binary"))))
     whole = whole.withColumn("at", F.struct("doc_id", "text_key", "start"))
     found = materialize(whole.select("hash", "at", "stop"), "chunks")
-    firsts = found.groupBy("hash").agg(F.min("at").alias("first_at"), F.count("*").alias("n")).where("n > 1")
-    firsts = materialize(firsts.select("hash", "first_at"), "chunk-firsts")
-    again = found.join(firsts.hint("merge"), "hash").where("at != first_at").select("hash", "at", "stop")
+    first = F.min(F.struct("at", "stop"))
+    firsts = found.groupBy("hash").agg(first["at"].alias("first_at"), first["stop"].alias("first_stop"), F.count("*").alias("n")).where("n > 1")
+    firsts = materialize(firsts.select("hash", "first_at", "first_stop"), "chunk-firsts")
+    same_text = F.col("at.doc_id").eqNullSafe(F.col("first_at.doc_id")) & (F.col("at.text_key") == F.col("first_at.text_key"))
+    apart = ~same_text | (F.col("at.start") >= F.col("first_stop"))
+    again = found.join(firsts.hint("merge"), "hash").where(apart).select("hash", "at", "stop")
     # The comparison, always true, marks the side as a selection, for which Spark filters the chunks by a Bloom filter
     # of the hashes before their texts are shuffled.
     chosen = firsts.where(F.col("hash") >= F.lit(b"")).withColumnRenamed("hash", "first_hash").hint("merge")
@@ -82,12 +101,28 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISO
     return again.join(bodies.hint("merge"), "hash").select("at.doc_id", "at.text_key", "at.start", "stop", "first_body")
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """``doc_id, text, n_lines, removed`` per row: the text without repeated chunks, ``removed`` their (start, stop)."""
+def joined_ranges(ranges: Column) -> Column:
+    """Ranges in the order of their starts and stops as the runs that they cover together."""
+
+    def joined(pair: Column) -> Column:
+        r = pair["r"]
+        opens = F.filter(r, lambda x, i: (i == 0) | (F.get(r, i - 1)["stop"] < x["start"]))
+        closes = F.filter(r, lambda x, i: (i == F.size(r) - 1) | (F.get(r, i + 1)["start"] > x["stop"]))
+        return F.zip_with(opens, closes, lambda a, b: F.struct(a["start"].alias("start"), b["stop"].alias("stop")))
+
+    return F.get(F.transform(F.array(F.struct(ranges.alias("r"))), joined), F.lit(0))
+
+
+def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, pairs: bool = False) -> DataFrame:
+    """``doc_id, text, n_lines, removed`` per row: the text without repeated chunks, ``removed`` their (start, stop).
+
+    With ``pairs``, chunks are each two neighbouring lines, and ``removed`` holds the runs that they cover.
+    """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
-    later = repeated_chunks(rows, window, divisor).distinct().groupBy("doc_id", "text_key").agg(
+    whole = line_pairs(rows) if pairs else chunks(rows, window, divisor)
+    later = repeated_chunks(whole).distinct().groupBy("doc_id", "text_key").agg(
         F.array_sort(F.collect_list(F.struct("start", "stop", "first_body"))).alias("later")
     )
     later = materialize(later.withColumnRenamed("doc_id", "gone_id").withColumnRenamed("text_key", "gone_key"), "chunks-later")
@@ -97,7 +132,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -
         "later", lambda r: F.array_join(F.slice(F.col("lines"), r["start"] + 1, r["stop"] - r["start"]), "\n") == r["first_body"]
     )
     ranges = F.transform(equal, lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop")))
-    joined = joined.withColumn("removed", ranges)
+    joined = joined.withColumn("removed", F.when(F.size(ranges) > 0, joined_ranges(ranges)).otherwise(ranges) if pairs else ranges)
     # what lies between the removed ranges, each line touched once
     befores = F.concat(F.array(F.lit(0)), F.transform("removed", lambda r: r["stop"]))
     afters = F.concat(F.transform("removed", lambda r: r["start"]), F.array(F.size("lines")))

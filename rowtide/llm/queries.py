@@ -33,12 +33,20 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+def _with_ranges(found: DataFrame) -> DataFrame:
     ranges = F.transform("removed", lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["stop"].cast("string")))
     return found.select("doc_id", "text", "n_lines", F.array_join(ranges, ",").alias("removed"))
 
 
+def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_ranges(line_dedup.dedup_lines(read_table(spark, sf_dir, "documents")))
+
+
+def op4_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op4_line_chunks``, for every shared passage of two lines or more."""
+    return _with_ranges(line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), pairs=True))
+
+
 def op5_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"), bpe.read_vocabulary(vocabulary_path()))
 
@@ -72,8 +80,8 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chosen_path, op2_poisson_mix, op3_hilbert_shards, op4_line_chunks, op5_backtracking_bpe, op6_digest_index,
-    op7_scaled_sketch, op8_toxic_segments, op9_backoff_automaton, op10_secret_forest,
+    op1_chosen_path, op2_poisson_mix, op3_hilbert_shards, op4_line_chunks, op4_line_passages, op5_backtracking_bpe,
+    op6_digest_index, op7_scaled_sketch, op8_toxic_segments, op9_backoff_automaton, op10_secret_forest,
 )}
 
 ORACLES = {

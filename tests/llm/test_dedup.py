@@ -156,3 +156,35 @@ def test_line_chunks(spark):
         answers = {want[r["doc_id"], t] for t in source[r["doc_id"]]}
         assert (r["text"], len(r["removed"])) in answers
     assert sum(len(r["removed"]) for r in got) > 10
+
+
+def test_line_passages(spark):
+    """Passages of two to five lines between other lines: all found, and nothing is lost that is not kept earlier."""
+    rng = random.Random(8)
+    rows, planted = awkward_rows(), []
+    start = max(r[0] for r in rows if r[0] is not None) + 1
+    for k in range(40):
+        passage = [text_of(rng, 60 // (2 + k % 4) + 1) for _ in range(2 + k % 4)]
+        for _ in range(2):
+            own = [[text_of(rng, 5) for _ in range(rng.randrange(1, 4))] for _ in range(2)]
+            planted.append((start, "\n".join(passage), len(own[0]), len(passage)))
+            rows.append((start, "\n".join([*own[0], *passage, *own[1]]), *[None] * 9))
+            start += 1
+    crowd = text_of(rng, 30)
+    rows += [(start, f"{crowd}\n" * 5, *[None] * 9), (start + 1, f"x\n{crowd}\n{crowd}\ny\n", *[None] * 9)]
+    got = line_dedup.dedup_lines(frame(spark, rows), pairs=True).collect()
+    assert len(got) == len(rows)
+    by_id = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    for i, (doc_id, passage, first, n) in enumerate(planted):
+        assert [tuple(x) for x in by_id[doc_id]["removed"]] == ([(first, first + n)] if i % 2 else [])
+        assert (passage in by_id[doc_id]["text"]) == (i % 2 == 0)
+    assert by_id[start]["text"] == f"{crowd}\n{crowd}\n" and [tuple(x) for x in by_id[start + 1]["removed"]] == [(1, 3)]
+    texts = {(r[0], r[1]) for r in rows}
+    kept = {line for r in got for line in (r["text"] or "").split("\n")}
+    for doc_id, text in texts:
+        assert kept >= set((text or "").split("\n"))
+        wanted = [r for r in got if r["doc_id"] == doc_id and r["n_lines"] == (0 if text is None else text.count("\n") + 1)]
+        lines = (text or "").split("\n")
+        for r in wanted if doc_id is not None else []:
+            gone = {i for a, b in r["removed"] for i in range(a, b)}
+            assert r["text"] == (None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone))
