@@ -76,7 +76,7 @@ def op9_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "place", F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "is_secret")
+    return found.select("doc_id", "place", "offset", F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "is_secret")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -1,8 +1,9 @@
 """Secret scans: candidates from whole texts, false positives removed by a random forest.
 
 A candidate is a run of 16 or more characters ``[A-Za-z0-9+/_-]`` inside a
-blank-separated token that has a digit, or of 20 or more without one. Features
-are its length, how its characters change class, how likely its letter pairs
+blank-separated token that has a digit, or of 20 or more without one; a token
+can hold several. Words beside it inside the token are its nearest neighbours,
+before the tokens around. Features are its length, how its characters change class, how likely its letter pairs
 are in ordinary words, how much of it a dictionary covers, the document's path
 and the neighbouring tokens. The forest is trained on labelled findings and
 decides every candidate of the corpus.
@@ -31,6 +32,7 @@ from rowtide.session import materialize
 MAX_LABELLED = 20_000
 TREES, DEPTH, HASHED = 20, 6, 32
 NEIGHBOURS = 3
+RUN = r"[A-Za-z0-9+/_\-]{16,}"
 
 # Words that name credentials, and parts of paths that hold examples.
 KEYWORDS = "token|secret|passwd|password|pwd|api_?key|apikey|auth|bearer|credential|private|access"
@@ -38,29 +40,86 @@ EXAMPLE_PATHS = "test|example|sample|mock|fixture|doc|readme"
 
 
 def candidates(docs: DataFrame, path_col: str | None = "source") -> DataFrame:
-    """``doc_id, path, place, candidate, before, after, token`` of every candidate; ``place`` counts tokens from 0."""
+    """``doc_id, path, place, offset, candidate, before, after, token`` of every candidate.
+
+    ``place`` counts tokens from 0, ``offset`` the characters before the run in
+    its token. ``token`` is the token as far as ``NEIGHBOURS`` runs before the
+    candidate and behind it, which keeps tokens of many runs from being
+    repeated whole; likewise the tokens around come with the ``NEIGHBOURS``
+    outermost runs alone, other runs have their neighbours inside.
+    """
     prepare(docs.sparkSession)
     path = F.lit("") if path_col is None else F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit(""))
     tokens = F.split(F.col("text").cast("string"), r"[\x20\x09-\x0D]+", -1)
-    run = lambda t: F.regexp_extract(t, r"[A-Za-z0-9+/_\-]{16,}", 0)
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), path.alias("path"), tokens.alias("tokens"))
-    places = F.filter(
-        F.transform("tokens", lambda t, i: F.struct(i.alias("place"), F.when(F.length(t) >= 16, run(t)).otherwise("").alias("candidate"))),
-        lambda c: (F.length(c["candidate"]) >= 20) | ((F.length(c["candidate"]) >= 16) & c["candidate"].rlike("[0-9]")),
+    long = F.filter(
+        F.transform("tokens", lambda t, i: F.struct(i.alias("place"), t.alias("whole"))),
+        lambda c: F.when(F.length(c["whole"]) >= 16, c["whole"].rlike(RUN)).otherwise(False),
     )
-    rows = found.select("doc_id", "path", "tokens", F.inline(places))
     first = F.greatest(F.col("place") - NEIGHBOURS, F.lit(0))
-    return rows.select(
+    rows = found.select("doc_id", "path", "tokens", F.inline(long)).select(
+        "doc_id",
+        "path",
+        "place",
+        F.slice("tokens", first + 1, F.col("place") - first).alias("ahead"),
+        F.slice("tokens", F.col("place") + 2, F.lit(NEIGHBOURS)).alias("behind"),
+        F.regexp_extract_all("whole", F.lit(f"({RUN})"), F.lit(1)).alias("runs"),
+        F.split("whole", RUN, -1).alias("gaps"),  # one more than runs
+        F.when(F.size(F.split("whole", RUN, 3)) > 2, _run_starts(F.col("whole"))).alias("starts"),
+    )
+
+    def text(first: Column, stop: Column) -> Column:
+        """Gaps from ``first`` to before ``stop``, each with the run behind it."""
+        n = F.greatest(stop - first, F.lit(0))
+        return F.array_join(F.flatten(F.zip_with(F.slice("gaps", first + 1, n), F.slice("runs", first + 1, n), lambda g, r: F.array(g, r))), "")
+
+    def placed(run: Column, k: Column) -> Column:
+        last = F.least(k + 1 + NEIGHBOURS, F.size("runs"))
+        return F.struct(
+            F.coalesce(F.get("starts", k), F.length(F.get("gaps", F.lit(0)))).alias("offset"),
+            run.alias("candidate"),
+            F.concat(text(F.greatest(k - NEIGHBOURS, F.lit(0)), k), F.get("gaps", k)).alias("left"),
+            F.concat(text(k + 1, last), F.get("gaps", last)).alias("right"),
+            (k < NEIGHBOURS).alias("is_first"),
+            (k >= F.size("runs") - NEIGHBOURS).alias("is_last"),
+        )
+
+    every = F.filter(
+        F.transform("runs", placed),
+        lambda c: (F.length(c["candidate"]) >= 20) | c["candidate"].rlike("[0-9]"),
+    )
+    nothing = F.array().cast("array<string>")
+    lefts = F.regexp_extract_all("left", F.lit(r"[\p{L}\p{N}_]+[^\p{L}\p{N}_]*|^[^\p{L}\p{N}_]+"), F.lit(0))
+    rights = F.regexp_extract_all("right", F.lit(r"[^\p{L}\p{N}_]*[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$"), F.lit(0))
+    return rows.select("doc_id", "path", "place", "ahead", "behind", F.inline(every)).select(
         "doc_id",
         "path",
         "place",
+        "offset",
         "candidate",
-        F.slice("tokens", first + 1, F.col("place") - first).alias("before"),
-        F.slice("tokens", F.col("place") + 2, F.lit(NEIGHBOURS)).alias("after"),
-        F.get("tokens", F.col("place")).alias("token"),
+        F.concat(F.when(F.col("is_first"), F.col("ahead")).otherwise(nothing), F.reverse(F.slice(F.reverse(lefts), 1, NEIGHBOURS))).alias("before"),
+        F.concat(F.slice(rights, 1, NEIGHBOURS), F.when(F.col("is_last"), F.col("behind")).otherwise(nothing)).alias("after"),
+        F.concat("left", "candidate", "right").alias("token"),
     )
 
 
+def _run_starts(token: Column) -> Column:
+    """Offsets of the runs of a token, in one pass over its characters."""
+
+    def starts(pair: Column) -> Column:
+        c = pair["c"]
+        n = F.size(c)
+        inside = lambda i: F.coalesce(F.get(c, i) != " ", F.lit(False))
+        every = F.sequence(F.lit(0), n - 1)
+        opens = F.filter(every, lambda i: inside(i) & ~inside(i - 1))
+        closes = F.filter(every, lambda i: inside(i) & ~inside(i + 1))
+        long = F.filter(F.zip_with(opens, closes, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda r: r["b"] - r["a"] >= 15)
+        return F.transform(long, lambda r: r["a"])
+
+    characters = F.split(F.regexp_replace(token, r"[^A-Za-z0-9+/_\-]", " "), "", -1)
+    return F.get(F.transform(F.array(F.struct(characters.alias("c"))), starts), F.lit(0))
+
+
 def weak_labels(found: DataFrame) -> DataFrame:
     """Findings with a ``label`` where rules are sure of it, for corpora without reviewed findings.
 
@@ -123,11 +182,12 @@ class SecretModel:
             "quoted": F.col("token").rlike("[\"'`]").cast("double"),
             "whole_token": (F.length("token") == F.length("candidate")).cast("double"),
         }
-        plain = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}_]+", ""))
+        plain = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}_]+", ""))
+        named = lambda c: F.filter(F.transform(c, plain), lambda w: w != "")
         words = {
-            "before1": plain(F.get(F.reverse("before"), F.lit(0))),
-            "before2": plain(F.get(F.reverse("before"), F.lit(1))),
-            "after1": plain(F.get("after", F.lit(0))),
+            "before1": F.coalesce(F.get(F.reverse(named("before")), F.lit(0)), F.lit("")),
+            "before2": F.coalesce(F.get(F.reverse(named("before")), F.lit(1)), F.lit("")),
+            "after1": F.coalesce(F.get(named("after"), F.lit(0)), F.lit("")),
         }
         joined = found.join(known, F.col("candidate") == F.col("known_candidate"), "left")
         wide = joined.select("*", *[v.cast("double").alias(f"f_{k}") for k, v in numeric.items()], *[v.alias(f"w_{k}") for k, v in words.items()])
@@ -174,11 +234,11 @@ def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 7)
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, path_col: str | None = "source", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """``doc_id, place, candidate, probability, is_secret`` of every candidate in ``docs``.
+    """``doc_id, place, offset, candidate, probability, is_secret`` of every candidate in ``docs``.
 
     ``labelled`` holds reviewed findings, ``candidates`` rows with a ``label``;
     without them, those of ``docs`` itself that ``weak_labels`` is sure of.
     """
     found = materialize(candidates(docs, path_col), "candidates")
     model = train(weak_labels(found) if labelled is None else labelled, max_labelled)
-    return model.decide(found).select("doc_id", "place", "candidate", "probability", "is_secret")
+    return model.decide(found).select("doc_id", "place", "offset", "candidate", "probability", "is_secret")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -227,6 +228,28 @@ def test_secrets(spark):
     assert np.mean([r["is_secret"] == bool(truth[r["doc_id"]][1]) for r in held if r["candidate"] == truth[r["doc_id"]][0]]) > 0.98
 
 
+def test_every_run_of_a_token(spark):
+    key, other, name = "wJalrXUtnFEMI/K7MDENG/bPx", "0123456789abcdef0123", "aws_secret_access_key"
+    texts = [
+        f"say {name}={key}", f"postgresql://application_user:{key}@host", f'日本𝄞 {{"é𝄞":"{key}","api_key":"{other}","a":"{key}"}} end',
+        f"{key}.{other}.{key[::-1]}", "//application_user:short.aaaaaaaaaaaaaaaa", ",".join(f"{i:020d}" for i in range(3000)),
+    ]
+    found = secrets.candidates(frame(spark, [(i, t, *[None] * 9) for i, t in enumerate(texts)])).collect()
+    got = {(r["doc_id"], r["place"], r["offset"], r["candidate"]): r for r in found}
+    want = {
+        (i, place, m.start(), m.group())
+        for i, t in enumerate(texts)
+        for place, token in enumerate(t.split())
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", token)
+        if len(m.group()) >= 20 or re.search("[0-9]", m.group())
+    }
+    assert set(got) == want and len(found) == len(want) and (2, 1, 7, key) in want
+    assert got[0, 1, 22, key]["before"] == ["say", f"{name}="] and got[0, 1, 0, name]["after"][0] == "=wJalrXUtnFEMI"
+    assert got[1, 0, 30, key]["before"][-1] == "application_user:" and got[1, 0, 30, key]["token"] == texts[1]
+    assert any(r["before"][-1] == 'api_key":"' and r["candidate"] == other for r in found)
+    assert max(len(r["token"]) for r in found) < 200
+
+
 def test_secrets_without_findings(spark):
     assert secrets.scan(spark.createDataFrame([], SCHEMA)).count() == 0
     found = secrets.scan(frame(spark, [(1, "key 1234567890abcdef1234", *[None] * 9)])).collect()
