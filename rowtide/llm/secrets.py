@@ -9,9 +9,9 @@ and the neighbouring tokens. The forest is trained on labelled findings and
 decides every candidate of the corpus.
 
 Only DataFrame functions and the JVM's own forest are used. Training takes at
-most about ``MAX_LABELLED`` labelled findings, drawn by a hash of the finding;
-the dictionary and the letter pairs come from the neighbourhoods of the same
-findings, so both are bounded by that number. Everything else sees all rows.
+most about ``MAX_LABELLED`` labelled findings, drawn by a hash of the finding.
+Everything else sees all rows: the dictionary and the letter pairs are counts
+over all texts, without the runs that are long enough to be candidates.
 
 Defined results: null and empty texts have no candidates. A null path counts as
 empty. Repeated rows give repeated findings. Without labelled findings of both
@@ -204,8 +204,18 @@ class SecretModel:
         return scored.select(*found.columns, p.alias("probability")).withColumn("is_secret", F.col("probability") >= 0.5)
 
 
-def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 7) -> SecretModel:
-    """Learn from ``candidates`` rows with ``label`` 0 or 1; at most about ``max_labelled`` are drawn by hash."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word, count`` of every word of three letters or more, in lower case, outside the runs of ``RUN``."""
+    text = F.lower(F.regexp_replace(F.col("text").cast("string"), RUN, " "))
+    words = docs.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word"))
+    return words.where("length(word) >= 3").groupBy("word").count()
+
+
+def train(labelled: DataFrame, docs: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 7) -> SecretModel:
+    """Learn from ``candidates`` rows with ``label`` 0 or 1; at most about ``max_labelled`` are drawn by hash.
+
+    What words and letter pairs are usual is counted over all of ``docs``.
+    """
     labelled = materialize(labelled.where("label IS NOT NULL"), "labelled")
     counts = {row["label"]: row["count"] for row in labelled.groupBy("label").count().collect()}  # two rows
     # Both classes get half of the sample, the rarer one as far as it goes.
@@ -214,9 +224,7 @@ def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 7)
     for label, n in counts.items():
         share = F.when(F.col("label") == label, min(1.0, max_labelled / 2 / n)).otherwise(share)
     sample = materialize(labelled.where(draw < share), "labelled-sample")
-    around = F.explode(F.split(F.lower(F.array_join(F.concat("before", "after"), " ")), r"[^\p{L}]+"))
-    words = sample.select(around.alias("word")).where("length(word) >= 3").groupBy("word").count()
-    words = materialize(words.select("word", "count"), "dictionary")
+    words = materialize(word_counts(docs), "dictionary")
     spelled = words.select("count", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))).alias("pair"))
     pairs = spelled.groupBy("pair").agg(F.sum("count").alias("n"))
     total = pairs.agg(F.sum("n")).first()[0] or 1
@@ -240,5 +248,5 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path_col: str | Non
     without them, those of ``docs`` itself that ``weak_labels`` is sure of.
     """
     found = materialize(candidates(docs, path_col), "candidates")
-    model = train(weak_labels(found) if labelled is None else labelled, max_labelled)
+    model = train(weak_labels(found) if labelled is None else labelled, docs, max_labelled)
     return model.decide(found).select("doc_id", "place", "offset", "candidate", "probability", "is_secret")

@@ -250,6 +250,28 @@ def test_every_run_of_a_token(spark):
     assert max(len(r["token"]) for r in found) < 200
 
 
+def test_secret_statistics_of_all_texts(spark):
+    """Dictionary and letter pairs are the corpus's, whatever findings are reviewed or drawn."""
+    rows, _ = secret_corpus(40)
+    docs = frame(spark, [*rows, (900, "Wörter far-off from any finding, far_off", *[None] * 9), (901, None, *[None] * 9)])
+    want = Counter(
+        w
+        for r in [*rows, (900, "Wörter far-off from any finding, far_off")]
+        for w in re.findall(r"[^\W\d_]{3,}", re.sub(r"[A-Za-z0-9+/_-]{16,}", " ", r[1]).lower())
+    )
+    pairs = Counter()
+    for w, n in want.items():
+        for i in range(len(w) - 1):
+            pairs[w[i : i + 2]] += n
+    total = sum(pairs.values())
+    labelled = secrets.weak_labels(secrets.candidates(docs))
+    for reviewed, most in ((labelled.where("doc_id < 2"), 20_000), (labelled, 4)):
+        model = secrets.train(reviewed, docs, most)
+        assert {r["word"] for r in model.words.collect()} == set(want)
+        got = {r["pair"]: r["log_p"] for r in model.pairs.collect()}
+        assert set(got) == set(pairs) and all(math.isclose(p, math.log10(pairs[k] / total), abs_tol=1e-9) for k, p in got.items())
+
+
 def test_secrets_without_findings(spark):
     assert secrets.scan(spark.createDataFrame([], SCHEMA)).count() == 0
     found = secrets.scan(frame(spark, [(1, "key 1234567890abcdef1234", *[None] * 9)])).collect()
