@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtide.llm import bpe, exact_dedup, fingerprint, line_dedup, lm, minhash, mixing, secrets, sharding, toxicity
+from rowtide.llm import bpe, exact_dedup, fingerprint, line_dedup, lm, merkle, minhash, mixing, secrets, sharding, topk, toxicity
 from rowtide.llm.common import held_out, read_table
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -79,11 +79,39 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "place", "offset", F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "is_secret")
 
 
+def op11_pivot_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_veb_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document, by crc32 of its id, is shown with its text in lower case."""
+    docs = read_table(spark, sf_dir, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    proven = merkle.manifest(docs, tampered=F.when(chosen, F.translate("text", letters, letters.lower())))
+    digests = [F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    return proven.select(
+        "doc_id", *digests, merkle.proof_digest(F.col("proof")).alias("proof_sha256"), F.lower(F.hex("folded_root")).alias("folded_root"),
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chosen_path, op2_poisson_mix, op3_hilbert_shards, op4_line_chunks, op4_line_passages, op5_backtracking_bpe,
-    op6_digest_index, op7_scaled_sketch, op8_toxic_segments, op9_backoff_automaton, op10_secret_forest,
+    op6_digest_index, op7_scaled_sketch, op8_toxic_segments, op9_backoff_automaton, op10_secret_forest, op11_pivot_distance,
+    op12_veb_merkle,
 )}
 
+
+
+def _crc32(column: str) -> str:
+    """SQL for crc32 of a number written in decimals."""
+    codes = f"list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    bit = "lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"lambda a, c: list_reduce(list_concat([xor(a, c)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), {bit})"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), {byte}), 4294967295)"
+
+
 ORACLES = {
     "op2_poisson_mix": """
 WITH sizes AS (
@@ -125,4 +153,59 @@ FROM d LEFT JOIN kept k USING (doc_id) LEFT JOIN per_doc p USING (doc_id)""",
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
   sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op11_pivot_distance": """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score, b.r AS found
+  FROM v a JOIN v b ON a.r <> b.r AND a.vec_id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, found) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM k WHERE n <= 20""",
+    "op12_veb_merkle": """
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+l AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(low) || ':' || low, '-')) AS other FROM f),
+d AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+    row_number() OVER () AS r FROM l),
+low_nodes AS (
+  SELECT lang, 0 AS level, i, n, leaf AS h FROM d
+  UNION ALL
+  SELECT lang, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM low_nodes WHERE n > 1
+  GROUP BY lang, level, i // 8, n),
+subroots AS (
+  SELECT lang, h, level AS levels, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM low_nodes WHERE n = 1),
+top_nodes AS (
+  SELECT 0 AS level, i, n, h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM top_nodes WHERE n > 1 GROUP BY level, i // 8, n),
+paths AS (
+  SELECT d.r, d.lang, t.level AS at, t.level, d.i // CAST(pow(8, t.level) AS BIGINT) AS i, 0 AS part FROM d
+  JOIN subroots s ON s.lang IS NOT DISTINCT FROM d.lang, range(0, 20) AS t(level) WHERE t.level < s.levels
+  UNION ALL
+  SELECT d.r, d.lang, s.levels + t.level, t.level, s.i // CAST(pow(8, t.level) AS BIGINT), 1 FROM d
+  JOIN subroots s ON s.lang IS NOT DISTINCT FROM d.lang, range(0, 20) AS t(level)
+  WHERE t.level < (SELECT max(level) FROM top_nodes)),
+runs AS (
+  SELECT p.r, p.at, p.i,
+    coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i < p.i), '') AS before,
+    coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i > p.i), '') AS after
+  FROM paths p JOIN (
+    SELECT 0 AS part, lang, level, i, h FROM low_nodes UNION ALL SELECT 1, NULL, level, i, h FROM top_nodes) n
+  ON n.part = p.part AND n.level = p.level AND n.i // 8 = p.i // 8 AND (p.part = 1 OR n.lang IS NOT DISTINCT FROM p.lang)
+  GROUP BY p.r, p.at, p.i),
+folds AS (
+  SELECT r, 0 AS at, CASE WHEN """ + _crc32("doc_id") + """ % 3 = 0 THEN other ELSE leaf END AS h FROM d
+  UNION ALL
+  SELECT f.r, f.at + 1, sha256(u.before || f.h || u.after) FROM folds f JOIN runs u ON u.r = f.r AND u.at = f.at),
+last AS (SELECT r, arg_max(h, at) AS h FROM folds GROUP BY r),
+proofs AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY at)) AS p FROM runs GROUP BY r)
+SELECT d.doc_id, d.leaf, s.h AS subroot, t.h AS root, coalesce(p.p, sha256('')) AS proof_sha256, k.h AS folded_root, k.h = t.h AS verified
+FROM d JOIN subroots s ON s.lang IS NOT DISTINCT FROM d.lang JOIN (SELECT h FROM top_nodes WHERE n = 1) t ON true
+JOIN last k USING (r) LEFT JOIN proofs p USING (r)""",
 }
