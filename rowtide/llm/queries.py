@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtide.llm import bpe, exact_dedup, fingerprint, line_dedup, lm, merkle, minhash, mixing, secrets, sharding, topk, toxicity
+from rowtide.llm import bpe, exact_dedup, fingerprint, line_dedup, lm, merkle, minhash, mixing, secrets, sharding, topk, toxicity, trie
 from rowtide.llm.common import held_out, read_table
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -96,10 +96,16 @@ def op12_veb_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_parentheses_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv_id = F.col("conv_id")
+    shared = F.crc32(conv_id.cast("string").cast("binary")) % 6
+    return trie.trie(read_table(spark, sf_dir, "conversations"), shared, conv_id - conv_id % 100)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chosen_path, op2_poisson_mix, op3_hilbert_shards, op4_line_chunks, op4_line_passages, op5_backtracking_bpe,
     op6_digest_index, op7_scaled_sketch, op8_toxic_segments, op9_backoff_automaton, op10_secret_forest, op11_pivot_distance,
-    op12_veb_merkle,
+    op12_veb_merkle, op13_parentheses_trie,
 )}
 
 
@@ -185,27 +191,53 @@ top_nodes AS (
   UNION ALL
   SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM top_nodes WHERE n > 1 GROUP BY level, i // 8, n),
 paths AS (
-  SELECT d.r, d.lang, t.level AS at, t.level, d.i // CAST(pow(8, t.level) AS BIGINT) AS i, 0 AS part FROM d
+  SELECT d.r, d.lang, t.level AS step, t.level, d.i // CAST(pow(8, t.level) AS BIGINT) AS i, 0 AS part FROM d
   JOIN subroots s ON s.lang IS NOT DISTINCT FROM d.lang, range(0, 20) AS t(level) WHERE t.level < s.levels
   UNION ALL
   SELECT d.r, d.lang, s.levels + t.level, t.level, s.i // CAST(pow(8, t.level) AS BIGINT), 1 FROM d
   JOIN subroots s ON s.lang IS NOT DISTINCT FROM d.lang, range(0, 20) AS t(level)
   WHERE t.level < (SELECT max(level) FROM top_nodes)),
 runs AS (
-  SELECT p.r, p.at, p.i,
+  SELECT p.r, p.step, p.i,
     coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i < p.i), '') AS before,
     coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i > p.i), '') AS after
   FROM paths p JOIN (
     SELECT 0 AS part, lang, level, i, h FROM low_nodes UNION ALL SELECT 1, NULL, level, i, h FROM top_nodes) n
   ON n.part = p.part AND n.level = p.level AND n.i // 8 = p.i // 8 AND (p.part = 1 OR n.lang IS NOT DISTINCT FROM p.lang)
-  GROUP BY p.r, p.at, p.i),
+  GROUP BY p.r, p.step, p.i),
 folds AS (
-  SELECT r, 0 AS at, CASE WHEN """ + _crc32("doc_id") + """ % 3 = 0 THEN other ELSE leaf END AS h FROM d
+  SELECT r, 0 AS step, CASE WHEN """ + _crc32("doc_id") + """ % 3 = 0 THEN other ELSE leaf END AS h FROM d
   UNION ALL
-  SELECT f.r, f.at + 1, sha256(u.before || f.h || u.after) FROM folds f JOIN runs u ON u.r = f.r AND u.at = f.at),
-last AS (SELECT r, arg_max(h, at) AS h FROM folds GROUP BY r),
-proofs AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY at)) AS p FROM runs GROUP BY r)
+  SELECT f.r, f.step + 1, sha256(u.before || f.h || u.after) FROM folds f JOIN runs u ON u.r = f.r AND u.step = f.step),
+last AS (SELECT r, arg_max(h, step) AS h FROM folds GROUP BY r),
+proofs AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY step)) AS p FROM runs GROUP BY r)
 SELECT d.doc_id, d.leaf, s.h AS subroot, t.h AS root, coalesce(p.p, sha256('')) AS proof_sha256, k.h AS folded_root, k.h = t.h AS verified
 FROM d JOIN subroots s ON s.lang IS NOT DISTINCT FROM d.lang JOIN (SELECT h FROM top_nodes WHERE n = 1) t ON true
 JOIN last k USING (r) LEFT JOIN proofs p USING (r)""",
+    "op13_parentheses_trie": """
+WITH t AS (
+  SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d, length(coalesce(text, '')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) - 1 AS i FROM t),
+c AS (SELECT conv_id, """ + _crc32("conv_id") + """ % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, 0 AS part, o.i, o.d, o.w FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 100 AND o.i < c.h
+  UNION ALL
+  SELECT c.conv_id, 1, o.i, o.d, o.w FROM c JOIN o USING (conv_id) WHERE o.i >= c.h),
+p AS (
+  SELECT conv_id, row_number() OVER g AS depth, list(d) OVER g AS path, w FROM r WINDOW g AS (PARTITION BY conv_id ORDER BY part, i)
+  UNION ALL
+  SELECT conv_id, 0, [], 0 FROM c),
+l AS (SELECT conv_id, max(depth) AS last FROM p GROUP BY conv_id),
+n AS (
+  SELECT path, depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(w) AS own,
+    sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (depth = last), '')) AS ends
+  FROM p JOIN l USING (conv_id) GROUP BY path, depth),
+k AS (SELECT a.path, count(b.path) AS n_children FROM n a LEFT JOIN n b ON b.depth = a.depth + 1 AND b.path[:a.depth] = a.path GROUP BY a.path),
+u AS (
+  SELECT a.path, count(*) FILTER (k.n_children = 0) AS n_leaves, sum(b.own) AS saved
+  FROM (SELECT n.*, unnest(range(0, depth + 1)) AS up FROM n) b JOIN k ON k.path = b.path JOIN n a ON a.depth = b.up AND a.path = b.path[:b.up]
+  GROUP BY a.path)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, k.n_children, u.n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN k USING (path) JOIN u USING (path) LEFT JOIN n q ON q.depth = n.depth - 1 AND q.path = n.path[:n.depth - 1]""",
 }
