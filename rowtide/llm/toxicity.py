@@ -1,22 +1,30 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Words and their beginnings get a log-odds score for standing in toxic rather
-than other documents, each count smoothed by a Dirichlet prior drawn from both
-classes. One linear scan adds the scores along a text and finds every maximal
-segment (Ruzzo and Tompa's algorithm); a small negative drift per token keeps
-segments local. Scores of the best segments of clean training texts follow an
-extreme-value law, whose two parameters turn a document's segments into
-p-values; a logistic curve on their evidence gives the probability.
+Every token gets the log-odds of standing in toxic rather than other documents,
+shrunken by an informative Dirichlet prior: a token's prior is the estimate of
+its beginning, that one's the beginning one letter shorter, and so on up to the
+share of toxic documents. Rare tokens so take the score of what they begin
+with, and what is frequent speaks for itself. A token whose log-odds is within
+``TOLERANCE`` of what it inherits is not stored and inherits it.
+
+One linear scan adds the scores along a text and finds every maximal segment
+(Ruzzo and Tompa's algorithm); a negative drift per token keeps segments local.
+Scores of the best segments of clean training texts follow an extreme-value law
+whose two parameters, taken from quantiles that outliers do not move, turn a
+document's segments into p-values; a logistic curve on their evidence gives the
+probability. The best segment always counts, others when they are significant.
 
 Training draws at most about ``MAX_LABELLED`` labelled documents by a hash of
-the id; word counts, model and calibration come from them and are bounded by
+the id; token counts, model and calibration come from them and are bounded by
 that number. Scoring is one pass over whole texts, without any shuffle.
 
-Defined results: null and empty texts get the score of a text without evidence.
-A document labelled twice counts as toxic if any label says so; null labels and
-ids are left out of training. Rows are scored alone: repeated rows get equal
-scores, other columns are not read. Without labels of both classes every score
-is the share of toxic labels (0 without labels).
+Defined results: tokens are what white space parts, in lower case and without
+signs at their ends; digits and signs within stay, so joined spellings are
+tokens of their own. Null and empty texts get the score of a text without
+evidence. A document labelled twice counts as toxic if any label says so; null
+labels and ids are left out of training. Rows are scored alone: repeated rows
+get equal scores, other columns are not read. Without labels of both classes
+every score is the share of toxic labels (0 without labels).
 """
 
 from __future__ import annotations
@@ -34,19 +42,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rowtide.llm.common import id_and_text, prepare, where_row
 from rowtide.session import materialize
 
-MAX_LABELLED = 200_000
+MAX_LABELLED = 100_000
 PREFIXES = range(4, 9)
-PRIOR = 0.5  # pseudo-documents a feature gets, split as the classes are
-SIGNIFICANT_Z = 4.0
-LEAST_TOXIC = 3
-DRIFT = -0.02
-WORD = re.compile(r"[^\W\d_]+")
+PRIOR = 30.0  # documents' weight of what a token inherits
+TOLERANCE = 0.5  # of natural log-odds
+DRIFT = -0.25
+EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+REMEMBERED = 300_000
 BINS = 400
+SIGNIFICANT = -math.log10(0.05)
+LOW, HIGH = 0.25, 0.9  # quantiles that the extreme-value law is fitted on
 
 
-def features_of(word: str) -> list[str]:
-    """From the most to the least specific: the word, then its beginnings."""
-    return [f"={word}", *(word[:n] for n in reversed(PREFIXES) if n <= len(word))]
+def token(raw: str) -> str:
+    return EDGES.sub("", raw)
 
 
 def segments(places: list[int], scores: list[float], drift: float) -> list[tuple[float, int, int]]:
@@ -86,36 +95,41 @@ class ToxicityModel:
     slope: float = 0.0
 
     def token_score(self, word: str) -> float | None:
-        return next((self.log_odds[f] for f in features_of(word) if f in self.log_odds), None)
+        """Of the most specific that is stored of the token and its beginnings."""
+        beginnings = (word[:n] for n in reversed(PREFIXES) if n <= len(word))
+        return next((self.log_odds[f] for f in (f"={word}", *beginnings) if f in self.log_odds), None)
 
     def passages(self, text: str, known: dict[str, float | None]) -> tuple[list[tuple[float, int, int]], int]:
-        """Scored segments and number of tokens; ``known`` remembers words."""
-        words = WORD.findall(text.lower())
+        """Scored segments and number of tokens; ``known`` remembers tokens."""
+        words = text.lower().split()
         places, scores = [], []
         for i, word in enumerate(words):
             score = known.get(word, 0)
             if score == 0:
-                if len(known) > 300_000:
+                if len(known) > REMEMBERED:
                     known.clear()
-                score = known[word] = self.token_score(word)
+                score = self.token_score(token(word))
+                # every token bears the drift
+                score = known[word] = None if score is None else score + DRIFT
             if score is not None:
                 places.append(i)
                 scores.append(score)
         return segments(places, scores, DRIFT), len(words)
 
-    def evidence(self, found: list[tuple[float, int, int]], tokens: int) -> float:
-        """Summed -log10 p of the significant segments under the extreme-value law.
+    def surprise(self, score: float, tokens: int) -> float:
+        """-log10 of the p-value of a segment among those of as long clean texts.
 
-        A segment's score is compared with the best one expected in as long a
-        clean text, so longer texts need more; the law then gives its p-value.
+        The best segment expected grows with the logarithm of the length, so
+        longer texts need more.
         """
-        total = 0.0
-        for score, _, _ in found:
-            z = (score - math.log10(max(tokens, 1)) - self.location) / self.scale
-            p = -math.expm1(-math.exp(-max(min(z, 600.0), -6.0)))
-            if p < 0.05:
-                total -= math.log10(max(p, 1e-12))
-        return total
+        z = (score - math.log(max(tokens, 1)) - self.location) / self.scale
+        p = -math.expm1(-math.exp(-max(min(z, 600.0), -6.0)))
+        return -math.log10(max(p, 1e-12))
+
+    def evidence(self, found: list[tuple[float, int, int]], tokens: int) -> float:
+        """Surprise of the best segment, and of all others that are significant at 0.05."""
+        each = sorted((self.surprise(score, tokens) for score, _, _ in found), reverse=True)
+        return sum(each[:1]) + sum(e for e in each[1:] if e > SIGNIFICANT)
 
     def probability(self, evidence: float) -> float:
         return 1.0 / (1.0 + math.exp(-max(min(self.intercept + self.slope * evidence, 40.0), -40.0)))
@@ -128,39 +142,43 @@ def _counted(labelled: DataFrame) -> DataFrame:
         for part in parts:
             seen = {0: Counter(), 1: Counter()}
             for text, label in zip(part["text"], part["label"], strict=True):
-                seen[label].update(set(WORD.findall(text.lower())))
-            words = list(seen[0] | seen[1])
+                seen[label].update({token(w) for w in text.lower().split()})
+            words = [w for w in seen[0] | seen[1] if w]
             yield pd.DataFrame({"word": words, "toxic": [seen[1][w] for w in words], "other": [seen[0][w] for w in words]})
 
     partial = labelled.select("text", "label").mapInPandas(count, "word string, toxic bigint, other bigint")
     return partial.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def _significant(words: DataFrame, toxic_docs: int, other_docs: int) -> dict[str, float]:
-    """Log-odds of significant features and of the more specific ones below them."""
-    listed = F.concat(F.array(F.concat(F.lit("="), F.col("word"))), F.filter(
-        F.array(*[F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in PREFIXES]), lambda p: p.isNotNull()))
-    counts = words.select(F.explode(listed).alias("feature"), "toxic", "other").groupBy("feature").agg(
-        F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    # A feature in fewer toxic documents can neither be significant nor correct one that is.
-    counts = materialize(counts.where(F.col("toxic") + F.col("other") >= LEAST_TOXIC), "features")
-    share = toxic_docs / (toxic_docs + other_docs)
-    a, b = F.col("toxic") + PRIOR * share * 2, F.col("other") + PRIOR * (1 - share) * 2
-    delta = F.log10(a / float(toxic_docs)) - F.log10(b / float(other_docs))
-    spread = F.sqrt(1 / a + 1 / b) / math.log(10)
-    scored = counts.withColumn("delta", delta).withColumn("z", delta / spread)
-    strong = scored.where((F.col("z") >= SIGNIFICANT_Z) & (F.col("toxic") >= LEAST_TOXIC))
-    chosen = {r["feature"]: r["delta"] for r in strong.select("feature", "delta").toLocalIterator()}
-    if not chosen:
-        return {}
-    # More specific features below a strong beginning speak for themselves, be it for or against.
-    heads = materialize(strong.where("feature NOT LIKE '=%'").select(F.col("feature").alias("head")), "strong")
-    bare = F.regexp_replace("feature", "^=", "")
-    below = scored.select("feature", "delta", F.explode(F.filter(
-        F.array(*[F.when(F.length(bare) >= n, F.substring(bare, 1, n)) for n in PREFIXES]), lambda p: p.isNotNull())).alias("head"))
-    for r in below.join(heads, "head").select("feature", "delta").distinct().toLocalIterator():
-        chosen.setdefault(r["feature"], r["delta"])
-    return chosen
+def _shrunken(words: DataFrame, base: float) -> DataFrame:
+    """``feature, log_odds`` of what is stored: ``=token`` or a beginning. ``base`` is the share of toxic documents."""
+    apart = math.log(base / (1 - base))
+
+    def estimated(counts: DataFrame) -> DataFrame:
+        """``counts`` has ``feature, toxic, other`` and, null at the top, ``prior`` and ``inherited``."""
+        prior, inherited = F.coalesce("prior", F.lit(base)), F.coalesce("inherited", F.lit(0.0))
+        p = (F.col("toxic") + PRIOR * prior) / (F.col("toxic") + F.col("other") + PRIOR)
+        rows = counts.select("feature", p.alias("p"), (F.log(p / (1 - p)) - apart).alias("log_odds"), inherited.alias("inherited"))
+        stored = F.abs(F.col("log_odds") - F.col("inherited")) >= TOLERANCE
+        return rows.select("feature", "p", F.when(stored, F.col("log_odds")).otherwise(F.col("inherited")).alias("log_odds"), stored.alias("stored"))
+
+    above = None
+    for n in PREFIXES:
+        counts = words.where(F.length("word") >= n).groupBy(F.substring("word", 1, n).alias("feature")).agg(
+            F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+        level = materialize(estimated(_with_prior(counts, above, F.substring("feature", 1, n - 1))), "beginnings")
+        above = level if above is None else above.unionByName(level)
+    whole = _with_prior(words.withColumnRenamed("word", "feature"), above, F.substring("feature", 1, PREFIXES[-1]))
+    whole = estimated(whole).withColumn("feature", F.concat(F.lit("="), "feature"))
+    return above.unionByName(whole).where("stored").select("feature", "log_odds")
+
+
+def _with_prior(counts: DataFrame, above: DataFrame | None, parent: Column) -> DataFrame:
+    """Append the estimate of each feature's ``parent``."""
+    if above is None:
+        return counts.withColumns({"prior": F.lit(None).cast("double"), "inherited": F.lit(None).cast("double")})
+    known = above.select(F.col("feature").alias("above"), F.col("p").alias("prior"), F.col("log_odds").alias("inherited"))
+    return counts.withColumn("parent", parent).join(known, F.col("parent") == F.col("above"), "left")
 
 
 def _logistic(evidence: np.ndarray, toxic: np.ndarray, other: np.ndarray) -> tuple[float, float]:
@@ -194,7 +212,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     if not toxic_docs or not other_docs:
         p = toxic_docs / max(toxic_docs + other_docs, 1)
         return ToxicityModel(intercept=math.log(max(p, 1e-9) / max(1 - p, 1e-9)))
-    model = ToxicityModel(_significant(_counted(labelled), toxic_docs, other_docs))
+    stored = _shrunken(materialize(_counted(labelled), "token-counts"), toxic_docs / (toxic_docs + other_docs))
+    # bounded by the number of labelled documents
+    model = ToxicityModel({r["feature"]: r["log_odds"] for r in stored.toLocalIterator()})
     shipped = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("best double, all array<double>, tokens int")
@@ -204,13 +224,14 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         for text in texts:
             found, tokens = shipped.value.passages(text, known)
             scores = [s for s, _, _ in found]
-            rows.append((max(scores, default=0.0) - math.log10(max(tokens, 1)), scores, tokens))
+            rows.append((max(scores, default=0.0) - math.log(max(tokens, 1)), scores, tokens))
         return pd.DataFrame(rows, columns=["best", "all", "tokens"])
 
     scanned = materialize(labelled.select("label", scan("text").alias("s")).select("label", "s.*"), "segments")
-    law = scanned.where("label = 0").agg(F.avg("best").alias("m"), F.stddev_pop("best").alias("s")).first()
-    model.scale = max((law["s"] or 0.0) * math.sqrt(6) / math.pi, 0.05)
-    model.location = law["m"] - 0.57721566 * model.scale
+    low, high = scanned.where("label = 0").agg(F.percentile_approx("best", [LOW, HIGH], 10_000)).first()[0]
+    gumbel = [-math.log(-math.log(q)) for q in (LOW, HIGH)]
+    model.scale = max((high - low) / (gumbel[1] - gumbel[0]), 0.05)
+    model.location = low - gumbel[0] * model.scale
 
     @F.pandas_udf("double")
     def evidence(scores: pd.Series, tokens: pd.Series) -> pd.Series:
@@ -236,7 +257,7 @@ def score_column(docs: DataFrame, model: ToxicityModel, text: Column) -> Column:
             rows = []
             for t in texts:
                 found, tokens = model.passages(t or "", known)
-                sure = [s for s in found if model.evidence([s], tokens) > 0]
+                sure = [s for s in found if model.surprise(s[0], tokens) > SIGNIFICANT]
                 rows.append((model.probability(model.evidence(found, tokens)), [{"score": s, "first": a, "last": b} for s, a, b in sure]))
             yield pd.DataFrame(rows, columns=["score", "passages"])
 

@@ -134,6 +134,99 @@ def toxic_corpus(n=400):
     return rows, labels
 
 
+def plain_log_odds(texts, labels):
+    """What ``toxicity.train`` stores, from its definition."""
+    base = sum(labels) / len(labels)
+    words = [{toxicity.EDGES.sub("", w) for w in t.lower().split()} - {""} for t in texts]
+    counts = {}
+    for found, toxic in zip(words, labels, strict=True):
+        for w in found:
+            for f in {"=" + w} | {w[:n] for n in range(4, 9) if len(w) >= n}:
+                if f.startswith("="):
+                    counts.setdefault(f, [0, 0])[toxic] += 1
+            for n in range(4, 9):
+                if len(w) >= n:
+                    counts.setdefault(w[:n], [0, 0])[toxic] += 1
+
+    def estimate(f):
+        if len(f) < 4:
+            return base, 0.0, False
+        whole = f.startswith("=")
+        if not whole and f not in counts:
+            return base, 0.0, False
+        if whole:
+            parent = f[1:][:8]
+        else:
+            parent = f[:-1]
+        p, inherited, _ = estimate(parent) if not parent.startswith("=") else (base, 0.0, False)
+        p = (counts[f][1] + toxicity.PRIOR * p) / (sum(counts[f]) + toxicity.PRIOR)
+        score = math.log(p / (1 - p)) - math.log(base / (1 - base))
+        stored = abs(score - inherited) >= toxicity.TOLERANCE
+        return p, score if stored else inherited, stored
+
+    found = {}
+    for f in counts:
+        if f.startswith("=") and len(f) < 5:  # shorter than a beginning
+            p = (counts[f][1] + toxicity.PRIOR * base) / (sum(counts[f]) + toxicity.PRIOR)
+            score = math.log(p / (1 - p)) - math.log(base / (1 - base))
+            if abs(score) >= toxicity.TOLERANCE:
+                found[f] = score
+            continue
+        _, score, stored = estimate(f)
+        if stored:
+            found[f] = score
+    return found
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    rows, labels = toxic_corpus(300)
+    docs = frame(spark, rows)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    want = plain_log_odds([r[1] for r in rows], [toxic for _, toxic in labels])
+    assert set(model.log_odds) == set(want) and len(want) > 3
+    assert all(abs(model.log_odds[f] - x) < 1e-9 for f, x in want.items())
+    best = []
+    for row in rows:
+        tokens = [toxicity.EDGES.sub("", w) for w in row[1].lower().split()]
+        own = [next((want[f] for f in ("=" + w, *(w[:n] for n in range(8, 3, -1) if len(w) >= n)) if f in want), 0.0) for w in tokens]
+        best.append((best_segments([x + toxicity.DRIFT for x in own]), len(tokens)))
+    # the law's parameters from the clean documents' best segments
+    clean = sorted(max((s for s, _, _ in found), default=0.0) - math.log(n) for (found, n), (_, toxic) in zip(best, labels, strict=True) if not toxic)
+    low, high = (clean[math.ceil(q * len(clean)) - 1] for q in (toxicity.LOW, toxicity.HIGH))
+    gumbel = [-math.log(-math.log(q)) for q in (toxicity.LOW, toxicity.HIGH)]
+    scale = max((high - low) / (gumbel[1] - gumbel[0]), 0.05)
+    assert abs(model.scale - scale) < 1e-6 and abs(model.location - (low - gumbel[0] * scale)) < 1e-6
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    for (found, n), row in zip(best, rows, strict=True):
+        each = sorted((-math.log10(max(-math.expm1(-math.exp(-max(min((s - math.log(n) - model.location) / scale, 600), -6))), 1e-12)) for s, _, _ in found), reverse=True)
+        evidence = sum(each[:1]) + sum(e for e in each[1:] if e > -math.log10(0.05))
+        score = 1 / (1 + math.exp(-max(min(model.intercept + model.slope * evidence, 40), -40)))
+        assert abs(got[row[0]]["score"] - score) < 1e-6
+
+
+def test_toxicity_of_a_large_rare_vocabulary(spark):
+    """Three hundred toxic words, each in few documents, with digits and signs within, beside two clean outliers."""
+    rng = random.Random(9)
+    rude = [f"{a}{rng.choice('0134')}{b}-{c}" for a in "bdfgk" for b in ("orx", "ulp", "izz", "agg", "emm", "oth") for c in "nrstvwxyzq"]
+    rows, labels = [], []
+    for i in range(1500):
+        words = text_of(rng, rng.randrange(30, 150)).split()
+        toxic = i % 5 == 1
+        for _ in range(8 if toxic else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(rude).upper() + rng.choice([",", "", "!"]))
+        rows.append((i, " ".join(words), *[None] * 9))
+        labels.append((i, int(toxic)))
+    for i in (1500, 1501):
+        rows.append((i, " ".join(rng.choices(rude, k=4000)), *[None] * 9))
+        labels.append((i, 0))
+    docs = frame(spark, rows)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int").where(~held_out(0)))
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    tested = [(scored[i] >= 0.5, toxic) for i, toxic in labels if i < 1500 and zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([p for p, toxic in tested if toxic]) > 0.9
+    assert np.mean([not p for p, toxic in tested if not toxic]) > 0.98
+
+
 def test_toxicity(spark):
     rows, labels = toxic_corpus()
     docs = frame(spark, [*rows, *[(None, t, *[None] * 9) for t in (None, "", "nasty " * 5)]])
