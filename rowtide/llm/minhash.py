@@ -15,16 +15,20 @@ near copies has in common; the full sets confirm these pairs. Where a node then
 still has likely pairs of two components, it gets the sets of their classes,
 and one task finds every link between them by the sizes of all intersections,
 and passes on only what joins components. So no link between components is
-lost, and a crowd does not emit its pairs. A node that still is large at the
-last level holds a crowd: it is cut into pieces that all contain the same hub,
-and classes that did not join the hub's component are then compared with every
-piece.
+lost, and a crowd does not emit its pairs. A node that stays large for some levels holds a crowd: it is cut into pieces
+that all contain the same hub, which joins the crowd, and goes on only where
+classes of other components are left in it. At the last level those are
+compared with every piece.
 
 With the defaults a pair at the threshold is missed by all trees with a
 probability below 1e-5 at four levels, a more similar pair far less often.
 Everything moves in joins and aggregates on rows of a few numbers; texts are
 shuffled once, to fetch the sets that confirm links.
 
+Trees are walked in two rounds. The first few join what is plainly alike; the
+others then leave out nodes whose classes are one component already, and name
+no pairs within one, so that a crowd is not paired anew in every tree.
+
 Defined results: A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; with
 fewer words than a shingle has, the whole sequence is the one shingle. A null
 text or one without words has no set, is linked with nothing and stays. A row
@@ -54,7 +58,8 @@ COORDINATES = 128
 SECOND_BRANCH = 0.25  # branches a level: 1 + this = 1 / similarity
 SMALL_NODE = 1024
 TARGET_NODE = 64  # unlike classes a node should hold at the first level that is looked at
-DEEPER_LEVELS = 4
+DEEPER_LEVELS = 6
+FIRST_TREES = 2  # of the first round
 COLUMNS_AT_ONCE = 1 << 13
 SETS_AT_ONCE = 1024
 
@@ -97,10 +102,10 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(sign, "doc_id bigint, key bigint, n_shingles bigint, cls bigint, sig binary")
 
 
-def walk(sigs: np.ndarray, trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def walk(sigs: np.ndarray, trees: range, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and nodes at ``depth`` of every chosen path."""
-    rows = np.tile(np.arange(len(sigs)), trees)
-    paths = np.repeat(mix(np.arange(trees, dtype=np.uint64) + np.uint64(0x5EED)), len(sigs))
+    rows = np.tile(np.arange(len(sigs)), len(trees))
+    paths = np.repeat(mix(np.array(trees, dtype=np.uint64) + np.uint64(0x5EED)), len(sigs))
     second = np.uint64(int(SECOND_BRANCH * 2**64))
     for _ in range(depth):
         draw = mix(paths ^ np.uint64(0xC0FFEE))
@@ -112,7 +117,7 @@ def walk(sigs: np.ndarray, trees: int, depth: int) -> tuple[np.ndarray, np.ndarr
     return rows, paths
 
 
-def nodes(classes: DataFrame, trees: int, depth: int) -> DataFrame:
+def nodes(classes: DataFrame, trees: range, depth: int) -> DataFrame:
     """``node, cls`` of every path at ``depth``."""
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,6 +389,57 @@ def _pieces(stuck: DataFrame, sizes: DataFrame) -> DataFrame:
     return own.unionByName(hubs).select("node", F.xxhash64("node", "piece").alias("unit"), "cls")
 
 
+def _search_trees(search: _Search, trees: range, depth: int, small_node: int) -> None:
+    """Join what the nodes of ``trees`` show to be linked."""
+
+    def unsettled(placed: DataFrame) -> DataFrame:
+        """Nodes with classes of two components or more: ``node, n, hub``."""
+        sizes = _with_comp(placed, search.labels).groupBy("node").agg(
+            F.count("*").alias("n"), F.min("cls").alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        return materialize(sizes.where("low <> high").select("node", "n", "hub"), "node-sizes")
+
+    walking, small, stuck, large = search.classes, [], None, None
+    for level in range(depth, depth + DEEPER_LEVELS + 1):
+        placed = materialize(nodes(walking, trees, level), "nodes")
+        sizes = unsettled(placed)
+        few = sizes.where(F.col("n") <= small_node).select("node")
+        small.append(placed.join(few, "node").select(F.col("node").alias("unit"), "cls"))
+        # small and of known size where there are few such nodes, so that the join below need not shuffle
+        large = materialize(sizes.where(F.col("n") > small_node), "large-sizes")
+        if large.isEmpty():
+            stuck = None
+            break
+        stuck = materialize(placed.join(large.select("node"), "node"), "large-nodes")
+        if level in (depth + 2, depth + DEEPER_LEVELS):
+            search.exhaust(materialize(_pieces(stuck, large).select("unit", "cls").distinct(), "units"))
+            large = unsettled(stuck)
+            if large.isEmpty():
+                stuck = None
+                break
+            stuck = materialize(stuck.join(large.select("node"), "node"), "large-nodes")
+        walking = search.classes.join(stuck.select("cls").distinct(), "cls", "left_semi")
+    units = small[0]
+    for more in small[1:]:
+        units = units.unionByName(more)
+    search.exhaust(materialize(units.distinct(), "units"))
+    if stuck is None:
+        return
+    # Classes outside the hub's component meet every piece of their node.
+    pieces = materialize(_pieces(stuck, large), "pieces")
+    comps = _with_comp(stuck.join(large.select("node", "hub"), "node"), search.labels)
+    hub_comp = _with_comp(large.select("node", F.col("hub").alias("cls")), search.labels).select(F.col("node").alias("n2"), F.col("comp").alias("hub_comp"))
+    outside = comps.join(hub_comp, F.col("node") == F.col("n2")).where("comp <> hub_comp").select("node", "cls")
+    # many outsiders come in parts, so that a unit stays small
+    outside = materialize(outside.distinct(), "outside")
+    counts = outside.groupBy("node").agg(F.ceil(F.count("*") / (small_node // 2)).cast("int").alias("parts"))
+    parts = outside.join(counts, "node").select("node", "cls", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"))
+    units_of = pieces.join(counts, "node").select("node", F.col("unit").alias("piece"), "cls", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    piece_names = pieces.select("node", F.col("unit").alias("piece")).distinct()
+    theirs = parts.join(piece_names, "node").select("piece", "part", "cls")
+    crossed = units_of.select("piece", "part", "cls").unionByName(theirs).select(F.xxhash64("piece", "part").alias("unit"), "cls")
+    search.exhaust(materialize(crossed.distinct(), "outside-units"))
+
+
 def near_duplicates(
     docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, trees: int = TREES, small_node: int = SMALL_NODE
 ) -> DataFrame:
@@ -396,41 +452,9 @@ def near_duplicates(
     n = classes.count()
     search = _Search(docs, classes, words, similarity)
     depth = max(1, round(math.log(max(n, 1) / TARGET_NODE, 16))) if n > TARGET_NODE else 1
-    walking, small, stuck, stuck_sizes = classes, [], None, None
-    for level in range(depth, depth + DEEPER_LEVELS + 1):
-        placed = materialize(nodes(walking, trees, level), "nodes")
-        sizes = placed.groupBy("node").agg(F.count("*").alias("n"), F.min("cls").alias("hub")).where("n > 1")
-        sizes = materialize(sizes, "node-sizes")
-        few = sizes.where(F.col("n") <= small_node).select("node")
-        small.append(placed.join(few, "node").select(F.col("node").alias("unit"), "cls"))
-        # small and of known size where there are few such nodes, so that the join below need not shuffle
-        stuck_sizes = materialize(sizes.where(F.col("n") > small_node), "large-sizes")
-        if stuck_sizes.isEmpty():
-            stuck = None
-            break
-        stuck = materialize(placed.join(stuck_sizes.select("node"), "node"), "large-nodes")
-        walking = classes.join(stuck.select("cls").distinct(), "cls", "left_semi")
-    units = small[0]
-    for more in small[1:]:
-        units = units.unionByName(more)
-    if stuck is not None:
-        pieces = materialize(_pieces(stuck, stuck_sizes), "pieces")
-        units = units.unionByName(pieces.select("unit", "cls"))
-    search.exhaust(materialize(units.distinct(), "units"))
-    if stuck is not None:
-        # Classes outside the hub's component meet every piece of their node.
-        comps = _with_comp(stuck.join(stuck_sizes.select("node", "hub"), "node"), search.labels)
-        hub_comp = _with_comp(stuck_sizes.select("node", F.col("hub").alias("cls")), search.labels).select(F.col("node").alias("n2"), F.col("comp").alias("hub_comp"))
-        outside = comps.join(hub_comp, F.col("node") == F.col("n2")).where("comp <> hub_comp").select("node", "cls")
-        # many outsiders come in parts, so that a unit stays small
-        outside = materialize(outside.distinct(), "outside")
-        counts = outside.groupBy("node").agg(F.ceil(F.count("*") / (small_node // 2)).cast("int").alias("parts"))
-        parts = outside.join(counts, "node").select("node", "cls", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"))
-        units_of = pieces.join(counts, "node").select("node", F.col("unit").alias("piece"), "cls", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        piece_names = pieces.select("node", F.col("unit").alias("piece")).distinct()
-        theirs = parts.join(piece_names, "node").select("piece", "part", "cls")
-        crossed = units_of.select("piece", "part", "cls").unionByName(theirs).select(F.xxhash64("piece", "part").alias("unit"), "cls")
-        search.exhaust(materialize(crossed.distinct(), "outside-units"))
+    for some in (range(min(FIRST_TREES, trees)), range(min(FIRST_TREES, trees), trees)):
+        if some:
+            _search_trees(search, some, depth, small_node)
     labelled = _with_comp(classes.select("cls", "low_id"), search.labels)
     labelled = materialize(labelled, "class-components")
     least = materialize(labelled.groupBy("comp").agg(F.min("low_id").alias("component_id")), "components")

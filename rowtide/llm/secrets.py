@@ -199,7 +199,8 @@ class SecretModel:
         """Append ``probability`` and ``is_secret``."""
         if self.forest is None:
             return found.withColumn("probability", F.lit(None).cast("double")).withColumn("is_secret", F.lit(True))
-        scored = self.forest.transform(self.features(found))
+        # written first: the forest then reads plain rows, and no plan holds both its functions and the assembly's
+        scored = self.forest.transform(materialize(self.features(found), "assembled"))
         p = F.round(F.get(vector_to_array("class_probability"), F.lit(1)), 9)
         return scored.select(*found.columns, p.alias("probability")).withColumn("is_secret", F.col("probability") >= 0.5)
 

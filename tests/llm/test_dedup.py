@@ -88,8 +88,8 @@ def test_paths_meet_as_often_as_planned():
     one = rng.integers(0, 1 << 16, (2000, minhash.COORDINATES))
     other = np.where(rng.random(one.shape) < 0.8, one, rng.integers(0, 1 << 16, one.shape))
     for depth in (1, 3, 5):
-        met = set(zip(*(x.tolist() for x in minhash.walk(one.astype("<u2"), minhash.TREES, depth)), strict=True))
-        met &= set(zip(*(x.tolist() for x in minhash.walk(other.astype("<u2"), minhash.TREES, depth)), strict=True))
+        met = set(zip(*(x.tolist() for x in minhash.walk(one.astype("<u2"), range(minhash.TREES), depth)), strict=True))
+        met &= set(zip(*(x.tolist() for x in minhash.walk(other.astype("<u2"), range(minhash.TREES), depth)), strict=True))
         assert len({row for row, _ in met}) >= 1999
 
 
