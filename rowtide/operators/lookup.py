@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowtide.functions.events import merge_changes
@@ -120,26 +122,56 @@ def with_tag(df: DataFrame, tags: str, tag: str) -> DataFrame:
     return df.where(F.array_contains(tags, tag))
 
 
-SALTS = 64
+# Shares of a group above the grid's thresholds: 1/2, 1/4, ...
+_GRID = [1 - 0.5**k for k in range(1, 14)]
+_ACCURACY = 10_000
+_ORDERED = ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
 
 
 def keep_last_n(df: DataFrame, n: int, order: str, by: str | None = None) -> DataFrame:
-    """The newest ``n`` rows, overall or per group.
-
-    A group is first cut to the newest ``n`` of each of ``SALTS`` parts, so
-    that the last step sees at most ``SALTS * n`` of its rows, however large
-    the group is.
+    """The newest ``n`` rows, overall or per group; rows without ``order`` are the oldest.
+
+    Groups of more than ``2 * n`` rows are first cut by a threshold that at
+    least ``n`` of their rows reach: one of the group's own quantiles, taken by
+    a combinable sketch with a bounded error. What is ranked then is less than
+    twice as many rows as wanted, but for ties and the sketch's error; groups
+    so large that the error counts are cut again. An ``order`` without
+    quantiles, such as text, is cut in salted parts, as many as make part and
+    union equally large.
     """
-    if by is None:
-        return df.orderBy(F.col(order).desc()).limit(n)
     newest = F.col(order).desc()
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(order), F.lit(SALTS)))
-    in_part = F.row_number().over(Window.partitionBy(by, "__salt").orderBy(newest))
-    cut = salted.withColumn("__rank", in_part).where(F.col("__rank") <= n)
+    if by is None:
+        return df.orderBy(newest).limit(n)
+    sizes = df.groupBy(F.col(by).alias("__by")).agg(F.count(order).alias("__n"))
+    large = sizes.where(F.col("__n") > 2 * n)
+    most = large.agg(F.max("__n")).first()[0] or 0  # one number
+    cut = df
+    if most and dict(df.dtypes)[order] in _ORDERED:
+        for _ in range(max(1, math.ceil(math.log(most / (2 * n), 4096)))):
+            cut = _above_threshold(cut, n, order, by)
+    elif most:
+        salts = math.ceil(math.sqrt(most / n))
+        salted = df.withColumn("__salt", F.pmod(F.xxhash64(order), F.lit(salts)))
+        in_part = F.row_number().over(Window.partitionBy(by, "__salt").orderBy(newest))
+        cut = salted.withColumn("__rank", in_part).where(F.col("__rank") <= n)
     rank = F.row_number().over(Window.partitionBy(by).orderBy(newest))
     return cut.withColumn("__rank", rank).where(F.col("__rank") <= n).select(*df.columns)
 
 
+def _above_threshold(df: DataFrame, n: int, order: str, by: str) -> DataFrame:
+    """Rows that may be among the newest ``n`` of their group, by a quantile of each group of more than ``2 * n``."""
+    sizes = df.groupBy(F.col(by).alias("__by")).agg(F.count(order).alias("__n")).where(F.col("__n") > 2 * n)
+    # only these groups get a sketch
+    chosen = df.join(sizes, F.col(by).eqNullSafe(F.col("__by")))
+    sketched = chosen.groupBy("__by").agg(F.max("__n").alias("__n"), F.percentile_approx(order, _GRID, _ACCURACY).alias("__grid"))
+    wanted = n + 4 * F.col("__n") / _ACCURACY + 1
+    # the highest quantile that surely leaves enough; none where even the lowest might not
+    step = F.size(F.filter(F.array(*[F.lit(1 - q) for q in _GRID]), lambda share: share * F.col("__n") >= wanted))
+    floors = sketched.select(F.col("__by").alias("__of"), F.get("__grid", step - 1).alias("__floor"))
+    joined = df.join(floors, F.col(by).eqNullSafe(F.col("__of")), "left")
+    return joined.where(F.col("__floor").isNull() | (F.col(order) >= F.col("__floor"))).select(*df.columns)
+
+
 def insert_if_absent(target: DataFrame, rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """Target plus one row for each key it lacks.
 

@@ -5,19 +5,20 @@ State is ``(table_name, pk, row MAP<STRING,STRING>)``; a column absent from the
 map was never written, a NULL value was written as null. Stored upsert state
 also carries the sequence numbers of its writes (``versions``).
 
-No step gathers one key's events in one place: upsert is a partial aggregate,
-and the order-dependent policies summarise bounded ranges of the sequence
-first (see ``sequence``), so one key may hold any share of the log.
+No step gathers one key's events in one place: upsert and the first live write
+are combinable aggregates, and second writes of a live key are found in bounded
+ranges of the sequence (see ``sequence``), so one key may hold any share of the
+log.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide.functions.values import cast_raw
-from rowtide.operators.sequence import RANGE_BITS, range_of, with_previous
+from rowtide.operators.sequence import RANGE_BITS, with_previous
 
 POLICIES = ("upsert", "ignore", "replace")
 STATE_COLUMNS = ["table_name", "pk", "row"]
@@ -41,14 +42,14 @@ def cells(events: DataFrame) -> DataFrame:
     )
 
 
-def replay(events: DataFrame, policy: str = "upsert", bits: int = RANGE_BITS) -> DataFrame:
+def replay(events: DataFrame, policy: str = "upsert") -> DataFrame:
     """Replay a whole log into state, in ``seq`` order."""
     if policy == "upsert":
         return _replay_upsert(events)
     if policy == "ignore":
-        return _first_live(keyed_events(events), bits)
+        return _first_live(keyed_events(events))
     if policy == "replace":
-        return _replay_replace(events, bits)
+        return _replay_replace(events)
     raise ValueError(f"policy must be one of {POLICIES}, not {policy!r}")
 
 
@@ -167,34 +168,25 @@ def replay_upsert_wide(events: DataFrame, columns: Mapping[str, str]) -> DataFra
     )
 
 
-def _first_live(rows: DataFrame, bits: int) -> DataFrame:
-    """Payload of the first write after the last delete of each key."""
-    keys = [*_KEYS, "__range"]
+def _first_live(rows: DataFrame) -> DataFrame:
+    """Payload of the first write after the last delete of each key.
+
+    The last delete is a combinable maximum, joined back as one number a key;
+    the first write above it is a combinable minimum. The join is a plain one,
+    so a key with a large share of the rows is split at run time.
+    """
     is_delete = F.col("op") == "delete"
-    ranged = rows.withColumn("__range", range_of("seq", bits))
-    local_floor = F.max(F.when(is_delete, F.col("seq"))).over(Window.partitionBy(*keys))
-    candidates = ranged.withColumn("__floor", local_floor)
-    is_candidate = ~is_delete & (F.col("__floor").isNull() | (F.col("seq") > F.col("__floor")))
-    per_range = candidates.groupBy(*keys).agg(
-        F.max("__floor").alias("__floor"),
-        F.min(F.when(is_candidate, F.col("seq"))).alias("__seq"),
-        F.min_by(F.when(is_candidate, F.col("payload")), F.when(is_candidate, F.col("seq"))).alias("row"),
-    )
-    # Ranges before the last delete hold only earlier numbers, later ones hold
-    # no delete: the first candidate above the overall floor wins.
-    key_floor = F.max("__floor").over(Window.partitionBy(*_KEYS))
-    live = per_range.withColumn("__key_floor", key_floor).where(
-        F.col("__seq").isNotNull() & (F.col("__key_floor").isNull() | (F.col("__seq") > F.col("__key_floor")))
-    )
-    return live.groupBy(*_KEYS).agg(F.min_by("row", "__seq").alias("row"))
+    floors = rows.where(is_delete).groupBy(*_KEYS).agg(F.max("seq").alias("__floor"))
+    live = rows.where(~is_delete).join(floors, _KEYS, "left").where(F.col("__floor").isNull() | (F.col("seq") > F.col("__floor")))
+    return live.groupBy(*_KEYS).agg(F.min_by("payload", "seq").alias("row"))
 
 
-def _replay_replace(events: DataFrame, bits: int) -> DataFrame:
+def _replay_replace(events: DataFrame) -> DataFrame:
     """Plain inserts: first live row per key, and every row of tables without key.
 
     Second live rows of a key are errors, listed by ``key_violations``.
     """
-    keyed = _first_live(keyed_events(events), bits)
+    keyed = _first_live(keyed_events(events))
     keyed_tables = events.where(F.col("key_name").isNotNull()).select("table_name").distinct()
     appended = (
         events.where(
@@ -233,9 +225,7 @@ def key_violations(events: DataFrame, state: DataFrame | None = None, bits: int
     ).select(*_KEYS, "seq", "op")
 
 
-def apply_batch(
-    state: DataFrame, events: DataFrame, policy: str = "upsert", bits: int = RANGE_BITS
-) -> DataFrame:
+def apply_batch(state: DataFrame, events: DataFrame, policy: str = "upsert") -> DataFrame:
     """New state from stored state and a later batch; untouched rows pass by.
 
     Upsert takes state and batch through one aggregate. Given state with
@@ -252,7 +242,7 @@ def apply_batch(
     untouched = state.join(touched_keys, _KEYS, "left_anti")
     touched = as_events(state.join(touched_keys, _KEYS, "left_semi"))
     batch = events.select("table_name", "pk", "seq", "op", "payload", "key_name")
-    replayed = replay(touched.unionByName(batch), policy, bits)
+    replayed = replay(touched.unionByName(batch), policy)
     return untouched.select(*STATE_COLUMNS).unionByName(replayed.select(*STATE_COLUMNS))
 
 

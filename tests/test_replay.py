@@ -25,12 +25,32 @@ def test_matches_sequential(spark, policy, bits):
     log = sequential.random_log(700, seed=11)
     want, refused = sequential.replay(log, policy)
     events = frame(spark, log)
-    assert as_dict(replay.replay(events, policy, bits)) == want
+    assert as_dict(replay.replay(events, policy)) == want
     if policy == "replace":
         got = sorted(r.seq for r in replay.key_violations(events, bits=bits).collect())
         assert got == sorted(refused)
 
 
+@pytest.mark.parametrize("policy", ["ignore", "replace"])
+def test_sparse_numbers_and_a_hot_key(spark, policy):
+    """Numbers 2**21 apart and one key with nine tenths of the rows."""
+    rng = random.Random(21)
+    log = []
+    for seq, table, key, *rest in sorted(sequential.random_log(500, seed=14)):
+        log.append((seq << 21, table, "hot" if rng.random() < 0.9 else key, *rest))
+    want, refused = sequential.replay(log, policy)
+    events = frame(spark, log)
+    assert as_dict(replay.replay(events, policy)) == want
+    for bits in (8, 20):
+        assert sorted(r.seq for r in replay.key_violations(events, bits=bits).collect()) == sorted(sequential.replay(log, "replace")[1])
+
+
+def test_first_write_has_no_window(spark):
+    """The last delete and the first write after it are aggregates: no task sorts a key's rows with their payloads."""
+    plan = replay.replay(frame(spark, sequential.random_log(50, seed=15)), "ignore")._jdf.queryExecution().toString()
+    assert "Window" not in plan
+
+
 def test_wide_form_equals_map_form(spark):
     log = sequential.random_log(700, seed=12)
     want, _ = sequential.replay(log, "upsert")
@@ -55,7 +75,7 @@ def test_incremental_equals_whole(spark, policy):
         held = spark.createDataFrame(
             [(t, k, row) for (t, k), row in state.items()], "table_name string, pk string, row map<string,string>"
         )
-        state = as_dict(replay.apply_batch(held, frame(spark, log[a:b]), policy, bits=4))
+        state = as_dict(replay.apply_batch(held, frame(spark, log[a:b]), policy))
     assert state == want
 
 

@@ -143,6 +143,27 @@ def test_merges(spark):
     assert [r["name"] for r in lookup.duplicate_keys(rows, "name").collect()] == ["c"]
 
 
+def test_newest_of_large_groups(spark):
+    """A group is cut to less than twice what is wanted before it is ranked, whatever the order's type and ties."""
+    rows = spark.range(200_000).select("id", F.when(F.col("id") % 10 > 0, F.lit(None).cast("int")).otherwise(F.col("id") % 7).alias("g"), (F.col("id") % 1000).alias("tied"))
+    rows = rows.withColumn("t", F.timestamp_seconds("id")).withColumn("word", F.lpad(F.col("id").cast("string"), 9, "0"))
+    cut = lookup._above_threshold(rows, 500, "id", "g").groupBy("g").count().collect()
+    assert all(500 <= r["count"] <= 1_100 + 8 * 180_000 / lookup._ACCURACY for r in cut) and len(cut) == 8
+    for order in ("id", "t", "word"):
+        kept = lookup.keep_last_n(rows, 500, order, by="g")
+        got = {r["g"]: (r["n"], r["low"]) for r in kept.groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("low")).collect()}
+        groups = {}
+        for i in range(200_000):
+            groups.setdefault(None if i % 10 else i % 7, []).append(i)
+        assert got == {g: (500, ids[-500]) for g, ids in groups.items()}
+    tied = lookup.keep_last_n(rows, 500, "tied", by="g").groupBy("g").agg(F.count("*").alias("n"), F.min("tied").alias("low")).collect()
+    assert all(r["n"] == 500 for r in tied)
+    assert {r["g"]: r["low"] for r in tied}[None] == 997
+    few = spark.createDataFrame([(1, None), (1, 5), (1, 7), (2, None)], "g int, v int")
+    assert sorted((r.g, r.v) for r in lookup.keep_last_n(few, 2, "v", by="g").where("v IS NOT NULL").collect()) == [(1, 5), (1, 7)]
+    assert lookup.keep_last_n(few, 2, "v", by="g").count() == 3
+
+
 def test_status_and_last_n(spark):
     defs = spark.createDataFrame([("a", "stream"), ("b", "queue")], "name string, type string")
     status = spark.createDataFrame([("a", "Running"), ("x", "Running")], "name string, status string")
