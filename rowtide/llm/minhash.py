@@ -15,10 +15,9 @@ near copies has in common; the full sets confirm these pairs. Where a node then
 still has likely pairs of two components, it gets the sets of their classes,
 and one task finds every link between them by the sizes of all intersections,
 and passes on only what joins components. So no link between components is
-lost, and a crowd does not emit its pairs. A node that stays large for some levels holds a crowd: it is cut into pieces
-that all contain the same hub, which joins the crowd, and goes on only where
-classes of other components are left in it. At the last level those are
-compared with every piece.
+lost, and a crowd does not emit its pairs. A node that still is large at the last level holds a crowd: it is cut into
+pieces that all contain the same hub, which joins the crowd. Where classes of
+other components are left in it, they are then compared with every piece.
 
 With the defaults a pair at the threshold is missed by all trees with a
 probability below 1e-5 at four levels, a more similar pair far less often.
@@ -27,7 +26,8 @@ shuffled once, to fetch the sets that confirm links.
 
 Trees are walked in two rounds. The first few join what is plainly alike; the
 others then leave out nodes whose classes are one component already, and name
-no pairs within one, so that a crowd is not paired anew in every tree.
+no pairs within one, so that a crowd is not paired anew in every tree. What is
+still large after the first round is left to the second.
 
 Defined results: A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; with
 fewer words than a shingle has, the whole sequence is the one shingle. A null
@@ -58,8 +58,9 @@ COORDINATES = 128
 SECOND_BRANCH = 0.25  # branches a level: 1 + this = 1 / similarity
 SMALL_NODE = 1024
 TARGET_NODE = 64  # unlike classes a node should hold at the first level that is looked at
-DEEPER_LEVELS = 6
-FIRST_TREES = 2  # of the first round
+DEEPER_LEVELS = 2
+FIRST_TREES = 2  # of the first round, which goes down FIRST_LEVELS only
+FIRST_LEVELS = 2
 COLUMNS_AT_ONCE = 1 << 13
 SETS_AT_ONCE = 1024
 
@@ -389,8 +390,8 @@ def _pieces(stuck: DataFrame, sizes: DataFrame) -> DataFrame:
     return own.unionByName(hubs).select("node", F.xxhash64("node", "piece").alias("unit"), "cls")
 
 
-def _search_trees(search: _Search, trees: range, depth: int, small_node: int) -> None:
-    """Join what the nodes of ``trees`` show to be linked."""
+def _search_trees(search: _Search, trees: range, depth: int, deeper: int, small_node: int, last: bool) -> None:
+    """Join what the nodes of ``trees``, from ``depth`` on ``deeper`` levels down, show to be linked."""
 
     def unsettled(placed: DataFrame) -> DataFrame:
         """Nodes with classes of two components or more: ``node, n, hub``."""
@@ -398,34 +399,31 @@ def _search_trees(search: _Search, trees: range, depth: int, small_node: int) ->
             F.count("*").alias("n"), F.min("cls").alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         return materialize(sizes.where("low <> high").select("node", "n", "hub"), "node-sizes")
 
-    walking, small, stuck, large = search.classes, [], None, None
-    for level in range(depth, depth + DEEPER_LEVELS + 1):
+    walking, units, stuck, large = search.classes, None, None, None
+    for level in range(depth, depth + deeper + 1):
         placed = materialize(nodes(walking, trees, level), "nodes")
         sizes = unsettled(placed)
         few = sizes.where(F.col("n") <= small_node).select("node")
-        small.append(placed.join(few, "node").select(F.col("node").alias("unit"), "cls"))
+        small = placed.join(few, "node").select(F.col("node").alias("unit"), "cls")
+        units = small if units is None else units.unionByName(small)
         # small and of known size where there are few such nodes, so that the join below need not shuffle
         large = materialize(sizes.where(F.col("n") > small_node), "large-sizes")
         if large.isEmpty():
             stuck = None
             break
         stuck = materialize(placed.join(large.select("node"), "node"), "large-nodes")
-        if level in (depth + 2, depth + DEEPER_LEVELS):
-            search.exhaust(materialize(_pieces(stuck, large).select("unit", "cls").distinct(), "units"))
-            large = unsettled(stuck)
-            if large.isEmpty():
-                stuck = None
-                break
-            stuck = materialize(stuck.join(large.select("node"), "node"), "large-nodes")
         walking = search.classes.join(stuck.select("cls").distinct(), "cls", "left_semi")
-    units = small[0]
-    for more in small[1:]:
-        units = units.unionByName(more)
+    if stuck is not None:
+        pieces = materialize(_pieces(stuck, large), "pieces")
+        units = units.unionByName(pieces.select("unit", "cls"))
     search.exhaust(materialize(units.distinct(), "units"))
-    if stuck is None:
+    if stuck is None or not last:
+        return
+    large = unsettled(stuck)
+    if large.isEmpty():
         return
+    stuck, pieces = (x.join(large.select("node"), "node") for x in (stuck, pieces))
     # Classes outside the hub's component meet every piece of their node.
-    pieces = materialize(_pieces(stuck, large), "pieces")
     comps = _with_comp(stuck.join(large.select("node", "hub"), "node"), search.labels)
     hub_comp = _with_comp(large.select("node", F.col("hub").alias("cls")), search.labels).select(F.col("node").alias("n2"), F.col("comp").alias("hub_comp"))
     outside = comps.join(hub_comp, F.col("node") == F.col("n2")).where("comp <> hub_comp").select("node", "cls")
@@ -452,9 +450,10 @@ def near_duplicates(
     n = classes.count()
     search = _Search(docs, classes, words, similarity)
     depth = max(1, round(math.log(max(n, 1) / TARGET_NODE, 16))) if n > TARGET_NODE else 1
-    for some in (range(min(FIRST_TREES, trees)), range(min(FIRST_TREES, trees), trees)):
-        if some:
-            _search_trees(search, some, depth, small_node)
+    first = min(FIRST_TREES, trees - 1)
+    if first > 0:
+        _search_trees(search, range(first), depth, FIRST_LEVELS, small_node, last=False)
+    _search_trees(search, range(first, trees), depth, DEEPER_LEVELS, small_node, last=True)
     labelled = _with_comp(classes.select("cls", "low_id"), search.labels)
     labelled = materialize(labelled, "class-components")
     least = materialize(labelled.groupBy("comp").agg(F.min("low_id").alias("component_id")), "components")
