@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowtide.llm import bpe, exact_dedup, fingerprint, line_dedup, lm, merkle, minhash, mixing, secrets, sharding, topk, toxicity, trie
 from rowtide.llm.common import held_out, read_table
 
-#: Where the vocabulary files of public tokenizers lie.
-TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "word_bpe_49k.json"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
-    return f"{TOKENIZER_DIR}/{name}"
+    """Where the vocabulary file of a public tokenizer lies."""
+    return public_tokenizers.path(name)
 
 
 def op1_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
