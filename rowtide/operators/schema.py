@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowtide.functions.events import is_key_column
 from rowtide.functions.frames import compute_once
-from rowtide.functions.json_text import parse_object, parse_object_typed, type_tag
+from rowtide.functions.json_text import parse_object, parse_object_typed, text_of, type_tag
 from rowtide.functions.values import SPARK_TYPES, cast_cell, infer_type_code, storable, type_name
 
 _COLUMN = ["table_name", "column_name"]
@@ -29,75 +29,122 @@ def first_per_table(routed: DataFrame) -> DataFrame:
     return first.select("first.*")
 
 
-def typed_cells(routed: DataFrame, effective: bool = False) -> DataFrame:
-    """One row per payload value: ``table_name, seq, op, column_name, raw, type_code, is_null``.
+def event_cells(routed: DataFrame, changes: bool = True, raw: bool = True) -> DataFrame:
+    """One row per payload value, parsed once for several readers.
+
+    Result ``table_name, seq, op, column_name, raw, type_code, is_null,
+    is_change, overridden``: values of the record and, with ``changes``, those
+    of an update's changes, which override record values of the same name. An
+    event without values leaves one row without ``column_name``. Written once,
+    the rows serve inference, drift, conflicts and casts.
 
-    Only the record is looked at; ``effective`` adds the changes of updates,
-    which override record values of the same name.
+    Without ``raw`` tokens stay out and a text is parsed once: a second time
+    only where it may hold an integer beyond 64 signed bits, whose type hangs
+    on its spelling.
     """
-    def entries(text: Column) -> Column:
-        typed, raw = parse_object_typed(text), parse_object(text)
+    texts = {"own": F.col("record")}
+    if changes:
+        texts["changed"] = F.when(F.col("op") == "update", F.col("changes"))
+    spelled = F.lit(True) if raw else F.concat_ws(" ", *texts.values()).rlike("[0-9]{19}")
+    parsed = compute_once(
+        routed.where(F.col("table_name").isNotNull()),
+        **{part: parse_object_typed(text) for part, text in texts.items()},
+        **{f"{part}_raw": F.when(spelled, parse_object(text)) for part, text in texts.items()},
+    )
+
+    def entries(part: str) -> Column:
+        names, size = F.map_keys(part), F.size(part)
+        tokens = F.coalesce(F.map_values(f"{part}_raw"), F.array_repeat(F.lit(None).cast("string"), size))
         return F.arrays_zip(
-            F.map_keys(typed).alias("name"), F.map_values(typed).alias("typed"), F.map_values(raw).alias("raw")
+            names.alias("name"),
+            F.map_values(part).alias("value"),
+            tokens.alias("raw"),
+            F.array_repeat(F.lit(part == "changed"), size).alias("is_change"),
         )
 
-    wanted = routed.where(F.col("table_name").isNotNull())
-    parsed = compute_once(
-        wanted,
-        own=entries(F.col("record")),
-        changed=(
-            F.when((F.col("op") == "update") & F.col("changes").isNotNull(), entries(F.col("changes")))
-            if effective
-            else F.lit(None)
-        ),
-    )
-    items = F.col("own")
-    if effective:
-        changed_names = F.transform("changed", lambda e: e["name"])
-        kept = F.filter("own", lambda e: ~F.array_contains(changed_names, e["name"]))
-        items = F.when(F.col("changed").isNotNull(), F.concat(kept, F.col("changed"))).otherwise(F.col("own"))
-    cell = parsed.select("table_name", "seq", "op", F.explode(items).alias("cell"))
+    items = entries("own")
+    if changes:
+        # each side may be absent
+        both = F.when(F.col("own").isNotNull() & F.col("changed").isNotNull(), F.concat(items, entries("changed")))
+        items = F.coalesce(both, items, entries("changed"))
+    changed_names = F.map_keys("changed") if changes else F.array().cast("array<string>")
+    cell = parsed.select("table_name", "seq", "op", changed_names.alias("changed_names"), F.explode_outer(items).alias("cell"))
     tagged = cell.select(
         "table_name",
         "seq",
         "op",
         F.col("cell.name").alias("column_name"),
-        F.col("cell.raw").alias("raw"),
-        type_tag(F.col("cell.typed")).alias("tag"),
+        "cell.value",
+        "cell.raw",
+        type_tag(F.col("cell.value")).alias("tag"),
+        F.coalesce("cell.is_change", F.lit(False)).alias("is_change"),
+        F.coalesce(F.array_contains("changed_names", F.col("cell.name")), F.lit(False)).alias("is_changed"),
     )
-    return tagged.select(
+    token = F.col("raw") if raw else F.when(F.col("tag") == "STRING", text_of(F.col("value"))).otherwise(F.col("raw"))
+    read = tagged.withColumn("token", token)
+    return read.select(
         "table_name",
         "seq",
         "op",
         "column_name",
-        "raw",
-        infer_type_code(F.col("tag"), F.col("raw")).alias("type_code"),
+        *(["raw"] if raw else []),
+        infer_type_code(F.col("tag"), F.col("token")).alias("type_code"),
         (F.col("tag").isNull() | (F.col("tag") == "VOID")).alias("is_null"),
+        "is_change",
+        (F.col("is_changed") & ~F.col("is_change")).alias("overridden"),
     )
 
 
-def infer_schema(routed: DataFrame, scope: str = "batch") -> DataFrame:
-    """Column types of every table seen.
+def _cells(events: DataFrame, changes: bool, raw: bool) -> DataFrame:
+    return events if "overridden" in events.columns else event_cells(events, changes, raw)
+
+
+def typed_cells(events: DataFrame, effective: bool = False, raw: bool = True) -> DataFrame:
+    """One row per payload value: ``table_name, seq, op, column_name, raw, type_code, is_null``.
+
+    ``events`` are routed ones or the rows of ``event_cells``. Only the record
+    is looked at; ``effective`` adds the changes of updates, which override
+    record values of the same name.
+    """
+    wanted = ~F.col("overridden") if effective else ~F.col("is_change")
+    cells = _cells(events, effective, raw).where(wanted & F.col("column_name").isNotNull())
+    return cells.drop("is_change", "overridden")
+
+
+def infer_schema(events: DataFrame, scope: str = "batch") -> DataFrame:
+    """Column types of every table seen, from routed events or the rows of ``event_cells``.
 
     ``scope="first"`` reads the first event per table, so later columns,
     columns that occur only in changes, and types behind a leading null go
     unseen. ``scope="batch"`` reads all events and the changes, and takes the
     first non-null value of each column.
     """
-    if scope == "first":
-        return infer_from_cells(typed_cells(first_per_table(routed)))
     if scope == "batch":
-        return infer_from_cells(typed_cells(routed, effective=True))
-    raise ValueError(f"scope must be 'first' or 'batch', not {scope!r}")
+        return infer_from_cells(typed_cells(events, effective=True, raw=False))
+    if scope != "first":
+        raise ValueError(f"scope must be 'first' or 'batch', not {scope!r}")
+    if "overridden" not in events.columns:
+        return infer_from_cells(typed_cells(first_per_table(events), raw=False))
+    own = F.when(~F.col("is_change") & F.col("column_name").isNotNull(), F.col("seq"))
+    columns = events.groupBy(*_COLUMN).agg(
+        F.min("seq").alias("any_seq"), F.min(own).alias("seq"), F.min_by("type_code", own).alias("type_code")
+    )
+    # the window sees the columns of one table
+    first = F.min("any_seq").over(Window.partitionBy("table_name"))
+    sample = columns.withColumn("first", first).where(F.col("seq") == F.col("first"))
+    return sample.select(*_inferred())
 
 
 def infer_from_cells(values: DataFrame) -> DataFrame:
     """Column types from typed cells: the first non-null value of each column decides."""
     order = F.when(F.col("is_null"), F.col("seq") + _NULLS_LAST).otherwise(F.col("seq"))
     inferred = values.groupBy(*_COLUMN).agg(F.min_by("type_code", order).alias("type_code"))
-    return inferred.select(
-        *_COLUMN, type_name(F.col("type_code")).alias("data_type"), is_key_column(F.col("column_name")).alias("is_key")
-    )
+    return inferred.select(*_inferred())
+
+
+def _inferred() -> list:
+    data_type, is_key = type_name(F.col("type_code")), is_key_column(F.col("column_name"))
+    return [*_COLUMN, data_type.alias("data_type"), is_key.alias("is_key")]
 
 
 def missing_columns(inferred: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -252,7 +299,7 @@ def schema_violations(
         )
     if not auto_add:
         lacking = (
-            typed_cells(named.where(F.col("op") != "delete"), effective=True)
+            typed_cells(named.where(F.col("op") != "delete"), effective=True, raw=False)
             .join(tables, "table_name", "left_semi")
             .join(catalog.select(*_COLUMN), _COLUMN, "left_anti")
             .groupBy("seq", "table_name")

@@ -40,6 +40,11 @@ def _stored(log):
     return materialize(events, "routed")
 
 
+def _stored_cells(log, raw=True):
+    """Parsed values of a log's events for several readers."""
+    return materialize(schema.event_cells(_routed(log), raw=raw), "cells")
+
+
 def _stored_catalog(inferred):
     return materialize(schema.as_catalog(inferred), "catalog")
 
@@ -93,9 +98,9 @@ SELECT 'users' AS table_name, column_name, data_type, is_key FROM batch_columns
 WHERE NOT EXISTS (SELECT 1 FROM first_columns f WHERE f.column_name = b.column_name)"""
 )
 def missing_columns(spark, sf_dir):
-    routed = _stored(logs.drift_log(spark, sf_dir))
-    catalog = _stored_catalog(schema.infer_schema(routed, scope="first"))
-    return schema.missing_columns(schema.infer_schema(routed), catalog)
+    cells = _stored_cells(logs.drift_log(spark, sf_dir), raw=False)
+    catalog = _stored_catalog(schema.infer_schema(cells, scope="first"))
+    return schema.missing_columns(schema.infer_schema(cells), catalog)
 
 
 @query(UPSERT + "SELECT id, event_type, value, k, CAST(NULL AS BIGINT) AS extra, CAST(NULL AS BOOLEAN) AS flagged FROM final")
@@ -116,7 +121,7 @@ SELECT table_name, column_name, data_type,
 FROM (SELECT * FROM grown UNION ALL SELECT * FROM kinds)"""
 )
 def extend_catalog(spark, sf_dir):
-    drift = _stored(logs.drift_log(spark, sf_dir))
+    drift = _stored_cells(logs.drift_log(spark, sf_dir), raw=False)
     kinds = schema.infer_schema(_routed(logs.typed_log(spark, sf_dir)))
     before = _stored_catalog(schema.infer_schema(drift, scope="first").unionByName(kinds))
     after = schema.extend_catalog(before, schema.infer_schema(drift))
@@ -197,9 +202,9 @@ WHERE rule IN (7, 8, 9, 10, 11, 13, 14, 15, 16, 17)
   AND NOT (column_type = 'BIGINT' AND value_type = 'BIGINT')"""
 )
 def type_conflicts(spark, sf_dir):
-    routed = _stored(logs.typed_log(spark, sf_dir, tables=6))
-    catalog = _stored_catalog(schema.infer_schema(routed, scope="first"))
-    return schema.type_conflicts(routed, catalog).drop("raw")
+    cells = _stored_cells(logs.typed_log(spark, sf_dir, tables=6))
+    catalog = _stored_catalog(schema.infer_schema(cells, scope="first"))
+    return schema.type_conflicts(cells, catalog).drop("raw")
 
 
 @query(
@@ -211,9 +216,9 @@ FROM mixed
 UNION ALL SELECT 'kind_' || t, seq, 'id', 'BIGINT', CAST(seq AS VARCHAR) FROM mixed"""
 )
 def cast_cells(spark, sf_dir):
-    routed = _stored(logs.typed_log(spark, sf_dir, tables=6))
-    catalog = _stored_catalog(schema.infer_schema(routed, scope="first"))
-    return schema.cast_cells(routed, catalog)
+    cells = _stored_cells(logs.typed_log(spark, sf_dir, tables=6))
+    catalog = _stored_catalog(schema.infer_schema(cells, scope="first"))
+    return schema.cast_cells(cells, catalog)
 
 
 # Columns of three tables as payloads; part of the oracles below.
@@ -248,9 +253,9 @@ _REAL_CELLS = " UNION ALL ".join(
 @query(f"SELECT table_name, column_name, data_type, count(*) AS n FROM ({_REAL_CELLS}) GROUP BY ALL")
 def infer_real_columns(spark, sf_dir):
     """Types of whole tables' columns, and how many values they are inferred from."""
-    routed = _stored(_real_log(spark, sf_dir))
-    inferred = schema.infer_schema(routed, scope="batch").where(F.col("column_name") != "id")
-    cells = schema.typed_cells(routed, effective=True).where("NOT is_null").groupBy("table_name", "column_name")
+    stored = _stored_cells(_real_log(spark, sf_dir))
+    inferred = schema.infer_schema(stored, scope="batch").where(F.col("column_name") != "id")
+    cells = schema.typed_cells(stored, effective=True).where("NOT is_null").groupBy("table_name", "column_name")
     counts = cells.agg(F.count("*").alias("n"))
     return inferred.join(counts, ["table_name", "column_name"]).select("table_name", "column_name", "data_type", "n")
 
@@ -258,9 +263,9 @@ def infer_real_columns(spark, sf_dir):
 @query(_REAL_CELLS)
 def cast_real_cells(spark, sf_dir):
     """Every value of whole tables through its inferred column's type."""
-    routed = _stored(_real_log(spark, sf_dir))
-    catalog = _stored_catalog(schema.infer_schema(routed, scope="batch"))
-    stored = schema.cast_cells(routed, catalog).where((F.col("column_name") != "id") & F.col("stored").isNotNull())
+    cells = _stored_cells(_real_log(spark, sf_dir))
+    catalog = _stored_catalog(schema.infer_schema(cells, scope="batch"))
+    stored = schema.cast_cells(cells, catalog).where((F.col("column_name") != "id") & F.col("stored").isNotNull())
     is_text = F.col("data_type") == "TEXT"
     return stored.select(
         "table_name", "seq", "column_name", "data_type",

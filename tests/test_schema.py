@@ -50,6 +50,36 @@ def test_type_rules(spark):
         for r in schema.typed_cells(df).select("seq", schema.type_name(F.col("type_code")).alias("t")).collect()
     }
     assert got == {i: t for i, (_, t) in enumerate(cases)}
+    # one column per case: inference without tokens, and parsed once for several readers
+    spread = routed(spark, [insert(i, "t", f'{{"c{i}":{v},"id":{i}}}') for i, (v, _) in enumerate(cases)])
+    stored = schema.event_cells(spread, raw=False).cache()
+    for events in (spread, stored):
+        inferred = {r.column_name: r.data_type for r in schema.infer_schema(events).collect()}
+        assert inferred == {f"c{i}": t for i, (_, t) in enumerate(cases)} | {"id": "BIGINT"}
+
+
+def test_numbers_told_apart_by_spelling(spark):
+    spelled = ["18446744073709551615", "18446744073709551615.0", "1.8446744073709551615e19", "9223372036854775808.0", "1.0", "1e0"]
+    df = routed(spark, [insert(i, f"t{i}", f'{{"c":{v}}}') for i, v in enumerate(spelled)])
+    got = {r.table_name: r.data_type for r in schema.infer_schema(df).collect()}
+    tokens = {r.table_name: r.t for r in schema.typed_cells(df).select("table_name", schema.type_name(F.col("type_code")).alias("t")).collect()}
+    assert got == tokens == {"t0": "BIGINT"} | {f"t{i}": "DOUBLE" for i in range(1, 6)}
+
+
+def test_first_value_of_each_column_over_shapes(spark):
+    rows = [
+        insert(5, "t", '{"a":1,"b":null}'),
+        insert(3, "t", '{"b":null,"a":"x"}'),
+        insert(7, "t", '{"b":true,"c":1.5}'),
+        insert(4, "t", '{"b":[1]}', "update", '{"b":"[1","d":null}'),
+        insert(9, "t", '{"d":2}'),
+        insert(1, "t", "{}"),
+        insert(2, "t", "not json"),
+        insert(6, "u", "{}"),
+        (8, "t", None, "delete", None),
+    ]
+    got = {(r.table_name, r.column_name): r.data_type for r in schema.infer_schema(routed(spark, rows)).collect()}
+    assert got == {("t", "a"): "TEXT", ("t", "b"): "TEXT", ("t", "c"): "DOUBLE", ("t", "d"): "BIGINT"}
 
 
 @pytest.mark.parametrize(
