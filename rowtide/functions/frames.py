@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -16,3 +17,13 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     row = F.struct(*[value.alias(name) for name, value in columns.items()])
     return df.select("*", F.inline_outer(F.array(row)))
 
+
+
+def read_or_empty(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """Parquet files below a folder, none where nothing was written yet."""
+    try:
+        return spark.read.schema(ddl).parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], ddl)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rowtide.functions.events import merge_changes
+from rowtide.functions.frames import read_or_empty
 from rowtide.functions.json_text import parse_object_typed
 from rowtide.operators.sequence import number_rows
 
@@ -122,6 +123,40 @@ def with_tag(df: DataFrame, tags: str, tag: str) -> DataFrame:
     return df.where(F.array_contains(tags, tag))
 
 
+class TagPostings:
+    """Inverted index of tag lists: ``(tag, key)`` in folders by hash of the tag, sorted by tag.
+
+    A lookup opens one folder and skips the row groups of other tags. Inserts
+    append; one that is repeated under its name replaces itself. ``key`` tells
+    the indexed rows apart.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: str, key_type: str = "bigint", buckets: int = 64):
+        self.spark, self.root, self.key, self.key_type, self.buckets = spark, root.rstrip("/"), key, key_type, buckets
+
+    def _bucket(self, tag: Column) -> Column:
+        return F.pmod(F.xxhash64(tag), F.lit(self.buckets)).cast("int")
+
+    def insert(self, rows: DataFrame, tags: str, name: str) -> None:
+        """Post the tags of new rows; null lists and null tags have no entry."""
+        tag = F.explode(F.array_distinct(tags)).alias("tag")
+        postings = rows.select(tag, F.col(self.key)).where(F.col("tag").isNotNull())
+        placed = postings.withColumn("bucket", self._bucket(F.col("tag")))
+        # a common tag is spread over the salts, a rare one costs as many files at most
+        spread = placed.repartition("bucket", F.pmod(F.xxhash64(self.key), F.lit(8)))
+        ordered = spread.sortWithinPartitions("bucket", "tag")
+        ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/insert={name}")
+
+    def keys(self, tag: str) -> DataFrame:
+        """Keys of the rows with a tag."""
+        layout = f"tag STRING, `{self.key}` {self.key_type}, insert STRING, bucket INT"
+        postings = read_or_empty(self.spark, self.root, layout)
+        return postings.where((F.col("bucket") == self._bucket(F.lit(tag))) & (F.col("tag") == tag)).select(self.key)
+
+    def with_tag(self, df: DataFrame, tag: str) -> DataFrame:
+        return df.join(self.keys(tag), self.key, "left_semi")
+
+
 # Shares of a group above the grid's thresholds: 1/2, 1/4, ...
 _GRID = [1 - 0.5**k for k in range(1, 14)]
 _ACCURACY = 10_000
@@ -241,11 +276,13 @@ def event_log(
     source: str | None = None,
     table: str | None = None,
     operation: str | None = None,
+    id: str | None = None,
 ) -> DataFrame:
-    """Log rows of a half-open time range, source, table and operation.
+    """Log rows of a half-open time range, source, table, operation and event id.
 
     On a stored log the range also filters the folders of its days, and the
-    table that of the table.
+    table that of the table; inside a day, files sorted by time and filters of
+    ids skip row groups.
     """
     if "event_date" in log.columns:
         if since is not None:
@@ -258,7 +295,7 @@ def event_log(
         log = log.where(F.col("timestamp") >= since)
     if until is not None:
         log = log.where(F.col("timestamp") < until)
-    for name, wanted in (("source", source), ("table_name", table), ("operation", operation)):
+    for name, wanted in (("source", source), ("table_name", table), ("operation", operation), ("id", id)):
         if wanted is not None:
             log = log.where(F.col(name) == wanted)
     return log

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rowtide.operators import envelope, lookup
 from rowtide.plans import logs
 from rowtide.plans.registry import LOG, query
+from rowtide.session import work_dir
 
 # All customers under keys moved up; orders of the lowest keys refer to a missing parent.
 _PARENTS = "SELECT c_custkey + 40 AS c_custkey, c_name FROM customer"
@@ -172,6 +173,18 @@ def with_tag(spark, sf_dir):
     return lookup.with_tag(tagged, "tags", "en").drop("tags")
 
 
+@query("SELECT doc_id, lang, source FROM documents WHERE lang = 'en' OR source = 'en'")
+def with_tag_postings(spark, sf_dir):
+    """The same by an inverted index that two inserts built."""
+    documents = logs.table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    postings = lookup.TagPostings(spark, work_dir(spark, "tags"), "doc_id", buckets=8)
+    tagged = documents.select("doc_id", F.array("lang", "source").alias("tags"))
+    is_late = F.coalesce(F.col("doc_id") % 4 == 0, F.lit(False))
+    for name, rows in (("first", tagged.where(~is_late)), ("second", tagged.where(is_late))):
+        postings.insert(rows, "tags", name)
+    return postings.with_tag(documents, "en")
+
+
 def _event_log(spark, sf_dir):
     routed = envelope.with_route(logs.good_events(logs.change_log(spark, sf_dir)))
     return lookup.append_event_log(routed, "events")

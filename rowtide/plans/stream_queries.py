@@ -13,6 +13,7 @@ from rowtide.plans.registry import LIVE, LOG, UPSERT, query
 from rowtide.session import materialize, work_dir
 from rowtide.sources.changes import land_text, read_changes, read_entries
 from rowtide.streaming.flow import read_rejects, run_flow
+from rowtide.streaming.seen import SeenEvents
 from rowtide.streaming.store import EventLogStore, TableStore
 
 _USERS = UPSERT + "SELECT * FROM final"
@@ -262,3 +263,25 @@ def stream_dedup(spark, sf_dir):
     writer.option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").start().awaitTermination()
     rec_id = F.get_json_object("record", "$.id").cast("bigint").alias("rec_id")
     return spark.read.parquet(f"{root}/out").groupBy(rec_id, "action").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LOG} SELECT user_id AS rec_id, action, count(*) AS n FROM log GROUP BY 1, 2")
+def stream_dedup_late(spark, sf_dir):
+    """Every message delivered again after all the others, counted once without a watermark."""
+    root = work_dir(spark, "stream_dedup_late")
+    log = materialize(logs.change_log(spark, sf_dir), "log")
+    for piece in logs.pieces(log) + logs.pieces(log, 1):
+        _land_piece(piece, f"{root}/in")
+    good = envelope.split_rejects(envelope.decode_envelope(read_changes(spark, f"{root}/in", max_per_trigger=FILES)))[0]
+    seen = SeenEvents(spark, f"{root}/seen")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        fresh = seen.fresh(batch, batch_id).select("id", "action", "record")
+        fresh.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+        batch.unpersist()
+
+    writer = good.writeStream.foreachBatch(write).trigger(availableNow=True)
+    writer.option("checkpointLocation", f"{root}/checkpoint").start().awaitTermination()
+    rec_id = F.get_json_object("record", "$.id").cast("bigint").alias("rec_id")
+    return spark.read.parquet(f"{root}/out").groupBy(rec_id, "action").agg(F.count("*").alias("n"))

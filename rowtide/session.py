@@ -13,6 +13,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.caseSensitive": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Instants of the default kind have no statistics, so no range of time could skip row groups.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     # Plain joins on a key that holds much of a table are split at run time,
     # also where the split costs one more shuffle.
     "spark.sql.adaptive.enabled": "true",

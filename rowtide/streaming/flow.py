@@ -8,10 +8,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from rowtide.functions.frames import read_or_empty
 from rowtide.operators import envelope
 from rowtide.operators.batches import FLUSH_INTERVAL
 from rowtide.sources.changes import ARRIVAL, number_arrivals
-from rowtide.streaming.store import read_or_empty
 
 REJECTS = "seq BIGINT, reason STRING, payload STRING, error STRING, stream STRING, batch BIGINT"
 

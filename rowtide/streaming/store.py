@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+from rowtide.functions.frames import read_or_empty
 from rowtide.operators import replay, schema
 from rowtide.operators.lookup import append_event_log, table_dir
 
@@ -80,15 +81,6 @@ class Ledger:
         frame.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{self.place(batch_id, stream)}")
 
 
-def read_or_empty(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    try:
-        return spark.read.schema(ddl).parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], ddl)
-
-
 class TableStore:
     """Sink that replays batches into tables named by their events.
 
@@ -308,7 +300,9 @@ class EventLogStore:
     """Sink that appends every event with its operation, table and payload.
 
     Folders follow the day and the table, so a lookup by time or table opens
-    only theirs; events without a table have a folder of their own.
+    only theirs; events without a table have a folder of their own. Files are
+    sorted by time and have Bloom filters of the ids, so that a lookup inside a
+    day skips row groups.
     """
 
     # The log's columns, then its folders.
@@ -318,8 +312,16 @@ class EventLogStore:
     )
     FOLDERS = PLACE + ", event_date DATE, table_dir STRING"
 
-    def __init__(self, spark: SparkSession, root: str, source: str, flow: str = "flow", sink: str = "event_log"):
+    def __init__(
+        self, spark: SparkSession, root: str, source: str, flow: str = "flow", sink: str = "event_log",
+        row_group_bytes: int = 32 * 2**20,
+    ):
         self.spark, self.root, self.source, self.name = spark, root.rstrip("/"), source, sink
+        self.files = {
+            "parquet.block.size": row_group_bytes,
+            "parquet.bloom.filter.enabled#id": "true",
+            "parquet.bloom.filter.adaptive.enabled": "true",
+        }
         self.ledger = Ledger(spark, self.root, flow, sink)
 
     def apply(self, events: DataFrame, batch_id: int, rejected: int = 0, stream: str = "") -> bool:
@@ -330,7 +332,8 @@ class EventLogStore:
         rows = append_event_log(events, self.source).observe(counted, F.count(F.lit(1)).alias("n"))
         placed = rows.withColumns({"event_date": F.to_date("timestamp"), "table_dir": table_dir(F.col("table_name"))})
         path = f"{self.root}/events/{self.ledger.place(batch_id, stream)}"
-        placed.write.mode("overwrite").partitionBy("event_date", "table_dir").parquet(path)
+        ordered = placed.sortWithinPartitions("event_date", "table_dir", "timestamp")
+        ordered.write.mode("overwrite").options(**self.files).partitionBy("event_date", "table_dir").parquet(path)
         n = counted.get["n"]
         self.ledger.write(batch_id, started, n + rejected, n, True, None, batch_id, rejected, stream)
         return True

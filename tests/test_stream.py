@@ -12,6 +12,7 @@ from rowtide.operators import batches, envelope, metrics, replay
 from rowtide.operators.lookup import event_log
 from rowtide.sources.changes import land_text, read_changes
 from rowtide.streaming.flow import read_rejects, run_flow
+from rowtide.streaming.seen import SeenEvents
 from rowtide.streaming.store import EventLogStore, TableStore
 from tests import sequential
 
@@ -356,3 +357,53 @@ def test_keys_of_one_value_meet(spark):
     decoded = envelope.decode_envelope(spark.createDataFrame(rows, "seq bigint, value string"))
     got = as_dict(replay.replay(envelope.change_rows(envelope.split_rejects(decoded)[0])))
     assert {k[1]: sorted(v) for k, v in got.items()} == {"5": ["a", "b", "id"], "5.0": ["a", "id"], "1.5": ["a", "c", "id"]}
+
+
+def test_copies_at_any_distance(spark, tmp_path):
+    def batch(*rows):
+        return spark.createDataFrame(rows, "seq bigint, id string, ts string").select("seq", "id", F.col("ts").cast("timestamp").alias("timestamp"))
+
+    seen = SeenEvents(spark, str(tmp_path / "seen"))
+
+    def fresh(n, *rows):
+        return sorted((r.seq, r.id) for r in seen.fresh(batch(*rows), n).collect())
+
+    jan, feb = "2024-01-05 10:00:00", "2024-02-05 10:00:00"
+    assert fresh(0, (2, "a", jan), (1, "a", jan), (3, "b", jan), (4, "n", None)) == [(1, "a"), (3, "b"), (4, "n")]
+    assert fresh(1, (5, "c", feb), (6, "a", jan)) == [(5, "c")]
+    # delivered again as a whole, also after a crash midway
+    assert fresh(1, (5, "c", feb), (6, "a", jan)) == [(5, "c")]
+    # a month later, beside new events
+    assert fresh(2, (7, "b", jan), (8, "c", feb), (9, "d", feb), (10, "n", None)) == [(9, "d")]
+    assert fresh(3, (11, "d", feb)) == []
+    assert fresh(4) == []
+    assert seen.known().count() == 5
+    # an id that comes for another instant is another event's
+    assert fresh(5, (12, "a", feb)) == [(12, "a")]
+
+
+def test_event_log_skips_row_groups(spark, tmp_path):
+    start = datetime(2024, 3, 1, tzinfo=timezone.utc).timestamp()
+    moment = F.timestamp_seconds(F.lit(start) + F.pmod(F.col("id") * 7919, F.lit(80000)))
+    events = spark.range(40000).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("id"), moment.alias("timestamp"), F.lit("t").alias("table_name"),
+        F.lit("insert").alias("op"), F.to_json(F.struct("id", F.sha2(F.hex("id"), 256).alias("x"))).alias("record"),
+        F.lit(None).cast("string").alias("changes"), F.lit("{}").alias("metadata"),
+    ).coalesce(1)
+    store = EventLogStore(spark, str(tmp_path / "log"), source="s", row_group_bytes=256 * 1024)
+    store.apply(events, 0)
+
+    def read_rows(found):
+        plan = found._jdf.queryExecution().executedPlan()
+        n = len(found.collect())
+        scan = plan.collectLeaves().head()
+        return n, scan.metrics().apply("numOutputRows").value()
+
+    log = store.read()
+    wanted = spark.range(1).select(F.sha2(F.lit("123"), 256)).first()[0]
+    n, rows = read_rows(event_log(log, id=wanted))
+    assert n == 1 and rows < 20000
+    since, until = F.lit("2024-03-01 05:00:00").cast("timestamp"), F.lit("2024-03-01 05:10:00").cast("timestamp")
+    n, rows = read_rows(event_log(log, since=since, until=until))
+    assert n == events.where((F.col("timestamp") >= since) & (F.col("timestamp") < until)).count() > 0
+    assert rows < 20000

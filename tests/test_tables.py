@@ -182,3 +182,22 @@ def test_status_and_last_n(spark):
     assert [r["name"] for r in lookup.with_tag(tags, "tags", "y").collect()] == ["a"]
     assert lookup.list_by(defs, "name").first()["name"] == "a"
     assert lookup.get_by(defs, "name", "b").first()["type"] == "queue"
+
+
+def test_tag_postings_equal_the_scan(spark, tmp_path):
+    rows = [(i, ["hot"] + ([f"t{i % 7}"] if i % 3 else []) + (["hot"] if i % 5 == 0 else [])) for i in range(400)]
+    rows += [(400, None), (401, []), (402, [None]), (403, [None, "x"]), (404, [""]), (405, ["é 'x'"])]
+    df = spark.createDataFrame(rows, "k bigint, tags array<string>")
+    postings = lookup.TagPostings(spark, str(tmp_path / "tags"), "k", buckets=4)
+    assert postings.with_tag(df, "hot").count() == 0  # nothing posted yet
+    postings.insert(df.where("k < 200"), "tags", "a")
+    postings.insert(df.where("k >= 200"), "tags", "b")
+    postings.insert(df.where("k >= 200"), "tags", "b")  # repeated
+    postings.insert(df.where("false"), "tags", "c")
+    for tag in ("hot", "t1", "t6", "x", "", "é 'x'", "absent"):
+        want = sorted(r.k for r in lookup.with_tag(df, "tags", tag).collect())
+        assert sorted(r.k for r in postings.with_tag(df, tag).collect()) == want
+        assert postings.keys(tag).count() == len(want)
+    plan = postings.keys("t1")._jdf.queryExecution().executedPlan().toString()
+    pruned = plan[plan.index("PartitionFilters") :].split("]")[0]
+    assert "bucket" in pruned and "pmod" not in pruned
