@@ -15,9 +15,11 @@ near copies has in common; the full sets confirm these pairs. Where a node then
 still has likely pairs of two components, it gets the sets of their classes,
 and one task finds every link between them by the sizes of all intersections,
 and passes on only what joins components. So no link between components is
-lost, and a crowd does not emit its pairs. A node that still is large at the last level holds a crowd: it is cut into
-pieces that all contain the same hub, which joins the crowd. Where classes of
-other components are left in it, they are then compared with every piece.
+lost, and a crowd does not emit its pairs. A node that still is large at the last level holds a crowd. Its least class
+is the hub; nodes with one hub, mostly of several trees, are taken together, so
+that a crowd is compared once and not in every tree. They are cut into pieces
+that all contain the hub, which joins the crowd. Where classes of other
+components are left, they are then compared with every piece.
 
 With the defaults a pair at the threshold is missed by all trees with a
 probability below 1e-5 at four levels, a more similar pair far less often.
@@ -25,9 +27,10 @@ Everything moves in joins and aggregates on rows of a few numbers; texts are
 shuffled once, to fetch the sets that confirm links.
 
 Trees are walked in two rounds. The first few join what is plainly alike; the
-others then leave out nodes whose classes are one component already, and name
-no pairs within one, so that a crowd is not paired anew in every tree. What is
-still large after the first round is left to the second.
+others then leave out nodes whose classes are one component already, and look
+at no pairs within one. Few links are left for them, so they name no likely
+partners first but go to the sets at once. What is still large after the first
+round is left to the second.
 
 Defined results: A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; with
 fewer words than a shingle has, the whole sequence is the one shingle. A null
@@ -364,15 +367,19 @@ class _Search:
         signed = _with_comp(units, self.labels).join(self.classes.select("cls", "n_shingles", "sig"), "cls")
         return materialize(likely(signed, self.similarity, first), "likely")
 
-    def exhaust(self, units: DataFrame) -> None:
-        """Join all components that a link within a unit of ``units`` (``unit, cls``) joins."""
+    def partners(self, units: DataFrame) -> bool:
+        """Join each class with its likely partner in every unit, where the sets confirm it; whether there was any pair."""
         pairs = self._likely(units, first=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
-            return
+            return False
         members = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         confirmed = confirm(pairs, self._sets_of(members), self.similarity)
         self.labels = _joined(self.labels, materialize(confirmed, "links"))
+        return True
+
+    def exhaust(self, units: DataFrame) -> None:
+        """Join all components that a link within a unit of ``units`` (``unit, cls``) joins."""
         rest = self._likely(units, first=False).select("unit", F.col("a").alias("cls"))
         if rest.isEmpty():
             return
@@ -390,6 +397,15 @@ def _pieces(stuck: DataFrame, sizes: DataFrame) -> DataFrame:
     return own.unionByName(hubs).select("node", F.xxhash64("node", "piece").alias("unit"), "cls")
 
 
+def _crowds(stuck: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Large nodes with one hub as one: ``node, cls`` and ``node, n, hub``, the hub being the node's name."""
+    hubs = large.select(F.col("node").alias("of"), "hub")
+    members = stuck.join(hubs, F.col("node") == F.col("of")).select(F.col("hub").alias("node"), "cls").distinct()
+    members = materialize(members, "crowds")
+    sizes = members.groupBy("node").agg(F.count("*").alias("n")).withColumn("hub", F.col("node"))
+    return members, materialize(sizes, "crowd-sizes")
+
+
 def _search_trees(search: _Search, trees: range, depth: int, deeper: int, small_node: int, last: bool) -> None:
     """Join what the nodes of ``trees``, from ``depth`` on ``deeper`` levels down, show to be linked."""
 
@@ -414,9 +430,12 @@ def _search_trees(search: _Search, trees: range, depth: int, deeper: int, small_
         stuck = materialize(placed.join(large.select("node"), "node"), "large-nodes")
         walking = search.classes.join(stuck.select("cls").distinct(), "cls", "left_semi")
     if stuck is not None:
+        stuck, large = _crowds(stuck, large)
         pieces = materialize(_pieces(stuck, large), "pieces")
         units = units.unionByName(pieces.select("unit", "cls"))
-    search.exhaust(materialize(units.distinct(), "units"))
+    units = materialize(units.distinct(), "units")
+    if last or search.partners(units):
+        search.exhaust(units)
     if stuck is None or not last:
         return
     large = unsettled(stuck)
