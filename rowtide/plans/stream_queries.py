@@ -13,6 +13,7 @@ from rowtide.plans.registry import LIVE, LOG, UPSERT, query
 from rowtide.session import materialize, work_dir
 from rowtide.sources.changes import land_text, read_changes, read_entries
 from rowtide.streaming.flow import read_rejects, run_flow
+from rowtide.streaming.live import FlowLog
 from rowtide.streaming.seen import SeenEvents
 from rowtide.streaming.store import EventLogStore, TableStore
 
@@ -95,6 +96,28 @@ def stream_fan_out(spark, sf_dir):
     return users.unionByName(logged).unionByName(rejects)
 
 
+@query(
+    f"""WITH {LOG}
+SELECT 'dirty' AS flow, count(*) AS received, count(*) FILTER (WHERE seq % 97 = 0 OR seq % 89 = 0) AS rejected,
+  CAST(0 AS BIGINT) AS errors
+FROM log"""
+)
+def stream_live_counts(spark, sf_dir):
+    """Statistics of a running flow from what its batches observed, without a job that counts."""
+    root = work_dir(spark, "stream_live_counts")
+    _landed(logs.defect_log(spark, sf_dir), f"{root}/in")
+    store = EventLogStore(spark, f"{root}/log", "dirty", flow="dirty")
+    log = FlowLog(spark, f"{root}/flows")
+    try:
+        source = read_changes(spark, f"{root}/in", max_per_trigger=FILES)
+        flow = run_flow(source, [store], f"{root}/checkpoint", f"{root}/rejects", available_now=True, name="dirty", log=log)
+        flow.awaitTermination()
+        log.wait(flow)
+    finally:
+        log.close()
+    return metrics.flow_stats(log.rows()).select("flow", "received", "rejected", "errors")
+
+
 @query(_USERS)
 def stream_two_flows(spark, sf_dir):
     """Each half of the log by a flow of its own, with a checkpoint of its own, into one store."""

@@ -11,7 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from rowtide.functions.frames import read_or_empty
 from rowtide.operators import envelope
 from rowtide.operators.batches import FLUSH_INTERVAL
+from rowtide.session import drop_folder, work_dir
 from rowtide.sources.changes import ARRIVAL, number_arrivals
+from rowtide.streaming.live import FlowLog
 
 REJECTS = "seq BIGINT, reason STRING, payload STRING, error STRING, stream STRING, batch BIGINT"
 
@@ -38,6 +40,7 @@ def run_flow(
     available_now: bool = False,
     interval: str = FLUSH_INTERVAL,
     name: str | None = None,
+    log: FlowLog | None = None,
 ) -> StreamingQuery:
     """Start the flow; ``stop()`` the returned query to pause it.
 
@@ -45,7 +48,17 @@ def run_flow(
     completed batch; a batch that failed midway keeps its number and is
     written again. ``available_now`` drains the source and stops, the last
     partial batch included.
+
+    With ``log`` the messages of a batch are counted as they are decoded, and
+    no job is run for the count: the log has the rejects of each batch, the
+    sinks then take them as none. Bare lines are numbered batch by batch and
+    cannot be logged so.
     """
+    arrival = set(ARRIVAL) <= set(source.columns)
+    if log is not None:
+        if arrival:
+            raise ValueError("a flow of bare lines has no live log")
+        source = log.observed(decode(source))
 
     known = []
 
@@ -58,7 +71,10 @@ def run_flow(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         stream = stream_id(batch)
-        if set(ARRIVAL) <= set(batch.columns):
+        if log is not None:
+            write_observed(batch, batch_id, stream)
+            return
+        if arrival:
             batch = number_arrivals(batch, batch_id)
         decoded = decode(batch).persist()
         try:
@@ -70,6 +86,18 @@ def run_flow(
         finally:
             decoded.unpersist()
 
+    def write_observed(batch: DataFrame, batch_id: int, stream: str) -> None:
+        # written, so that each row passes the counts once, whatever reads it and whichever executors are lost
+        path = work_dir(batch.sparkSession, "batch")
+        try:
+            batch.write.parquet(path)
+            good, rejects = envelope.split_rejects(batch.sparkSession.read.schema(batch.schema).parquet(path))
+            if rejects_path is not None:
+                rejects.write.mode("overwrite").parquet(f"{rejects_path}/stream={stream}/batch={batch_id}")
+            fan_out(envelope.change_rows(good), batch_id, sinks, 0, stream)
+        finally:
+            drop_folder(batch.sparkSession, path)
+
     writer = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if name is not None:
         writer = writer.queryName(name)

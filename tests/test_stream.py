@@ -12,6 +12,7 @@ from rowtide.operators import batches, envelope, metrics, replay
 from rowtide.operators.lookup import event_log
 from rowtide.sources.changes import land_text, read_changes
 from rowtide.streaming.flow import read_rejects, run_flow
+from rowtide.streaming.live import FlowLog
 from rowtide.streaming.seen import SeenEvents
 from rowtide.streaming.store import EventLogStore, TableStore
 from tests import sequential
@@ -407,3 +408,41 @@ def test_event_log_skips_row_groups(spark, tmp_path):
     n, rows = read_rows(event_log(log, since=since, until=until))
     assert n == events.where((F.col("timestamp") >= since) & (F.col("timestamp") < until)).count() > 0
     assert rows < 20000
+
+
+def test_batches_are_counted_as_they_pass(spark, tmp_path):
+    log = sorted(usable(sequential.random_log(90, seed=5)))
+    for i in range(3):
+        land(spark, log[30 * i : 30 * (i + 1)], tmp_path / "in")
+    broken = spark.createDataFrame([(1000, "no json"), (1001, "{}")], "seq bigint, value string")
+    land_text(broken.coalesce(1), str(tmp_path / "in"))
+    store = EventLogStore(spark, str(tmp_path / "log"), "here", flow="one")
+    live = FlowLog(spark, str(tmp_path / "flows"))
+    other = FlowLog(spark, str(tmp_path / "others"))
+    try:
+        for _ in range(2):  # the second time there is nothing new
+            source = read_changes(spark, str(tmp_path / "in"), max_per_trigger=1)
+            flow = run_flow(source, [store], str(tmp_path / "checkpoint"), str(tmp_path / "rejects"), available_now=True, name="one", log=live)
+            flow.awaitTermination()
+            live.wait(flow)
+    finally:
+        live.close()
+        other.close()
+    rows = live.rows()
+    assert [tuple(r) for r in rows.orderBy("batch_id").select("flow", "batch_id", "rows_in", "rows_rejected").collect()] == [
+        ("one", i, n, bad) for i, (n, bad) in enumerate([(30, 0), (30, 0), (len(log) - 60, 0), (2, 2)])
+    ]
+    assert rows.where("ended_at < started_at OR NOT ok").isEmpty() and other.rows().isEmpty()
+    assert read_rejects(spark, str(tmp_path / "rejects")).count() == 2 and store.read().count() == len(log)
+    stats = metrics.flow_stats(rows).first()
+    assert (stats.received, stats.rejected, stats.errors) == (len(log) + 2, 2, 0)
+
+
+def test_bare_lines_have_no_live_log(spark, tmp_path):
+    spark.createDataFrame([("{}",)], "value string").write.text(str(tmp_path / "in"))
+    live = FlowLog(spark, str(tmp_path / "flows"))
+    try:
+        with pytest.raises(ValueError, match="live log"):
+            run_flow(read_changes(spark, str(tmp_path / "in"), order="arrival"), [], str(tmp_path / "checkpoint"), log=live)
+    finally:
+        live.close()
