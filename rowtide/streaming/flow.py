@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rowtide.functions.frames import read_or_empty
@@ -26,11 +26,15 @@ def fan_out(events: DataFrame, batch_id: int, sinks: Sequence, rejected: int = 0
     """
     events.persist()
     try:
-        return [sink.apply(events, batch_id, rejected, stream) for sink in sinks]
+        return _to_sinks(events, batch_id, sinks, rejected, stream)
     finally:
         events.unpersist()
 
 
+def _to_sinks(events: DataFrame, batch_id: int, sinks: Sequence, rejected: int, stream: str) -> list[bool]:
+    return [sink.apply(events, batch_id, rejected, stream) for sink in sinks]
+
+
 def run_flow(
     source: DataFrame,
     sinks: Sequence,
@@ -76,15 +80,19 @@ def run_flow(
             return
         if arrival:
             batch = number_arrivals(batch, batch_id)
-        decoded = decode(batch).persist()
+        # kept once, routed and keyed; the message only of those that are rejected
+        decoded = decode(batch)
+        message = F.when(F.col("reject_reason").isNotNull(), F.col("payload"))
+        rows = envelope.change_rows(decoded.withColumn("__message", message).drop("payload")).persist()
         try:
-            good, rejects = envelope.split_rejects(decoded)
+            rejects = envelope.split_rejects(rows.withColumn("payload", F.col("__message")))[1]
             rejected = rejects.count()
             if rejects_path is not None and rejected:
                 rejects.write.mode("overwrite").parquet(f"{rejects_path}/stream={stream}/batch={batch_id}")
-            fan_out(envelope.change_rows(good), batch_id, sinks, rejected, stream)
+            events = rows.where(F.col("reject_reason").isNull()).drop("reject_reason", "__message")
+            _to_sinks(events, batch_id, sinks, rejected, stream)
         finally:
-            decoded.unpersist()
+            rows.unpersist()
 
     def write_observed(batch: DataFrame, batch_id: int, stream: str) -> None:
         # written, so that each row passes the counts once, whatever reads it and whichever executors are lost
