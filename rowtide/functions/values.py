@@ -78,9 +78,8 @@ def cast_raw(raw: Column, column_type: str) -> Column:
         return F.when(raw.isin("true", "false"), raw == "true")
     if column_type == "BIGINT":
         # Doubles are rounded half to even on assignment to an integer column.
-        rounded = F.rint(raw.try_cast("double"))
-        fits = (rounded >= -_BIGINT_LIMIT) & (rounded < _BIGINT_LIMIT)
-        return F.coalesce(_exact_bigint(raw), F.when(fits, rounded.cast("bigint")))
+        number = raw.try_cast("double")
+        return F.coalesce(_exact_bigint(raw), F.when(fits_bigint(number), F.rint(number).cast("bigint")))
     if column_type == "DOUBLE":
         return raw.try_cast("double")
     if column_type == "UUID":
@@ -90,6 +89,12 @@ def cast_raw(raw: Column, column_type: str) -> Column:
     raise ValueError(f"unknown column type {column_type!r}")
 
 
+def fits_bigint(number: Column) -> Column:
+    """Whether a double, rounded, is one of 64 signed bits."""
+    rounded = F.rint(number)
+    return (rounded >= -_BIGINT_LIMIT) & (rounded < _BIGINT_LIMIT)
+
+
 def _exact_bigint(raw: Column) -> Column:
     return F.when(raw.rlike(r"^-?\d+$"), raw.try_cast("bigint"))
 

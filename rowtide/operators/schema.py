@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rowtide.functions.events import is_key_column
 from rowtide.functions.frames import compute_once
 from rowtide.functions.json_text import parse_object, parse_object_typed, text_of, type_tag
-from rowtide.functions.values import SPARK_TYPES, cast_cell, infer_type_code, storable, type_name
+from rowtide.functions.values import SPARK_TYPES, cast_cell, fits_bigint, infer_type_code, storable, type_name
 
 _COLUMN = ["table_name", "column_name"]
 # Orders values after all non-null ones while the sequence order stays inside.
@@ -29,7 +29,7 @@ def first_per_table(routed: DataFrame) -> DataFrame:
     return first.select("first.*")
 
 
-def event_cells(routed: DataFrame, changes: bool = True, raw: bool = True) -> DataFrame:
+def event_cells(routed: DataFrame, changes: bool = True, raw: bool = True, room: bool = False) -> DataFrame:
     """One row per payload value, parsed once for several readers.
 
     Result ``table_name, seq, op, column_name, raw, type_code, is_null,
@@ -40,7 +40,8 @@ def event_cells(routed: DataFrame, changes: bool = True, raw: bool = True) -> Da
 
     Without ``raw`` tokens stay out and a text is parsed once: a second time
     only where it may hold an integer beyond 64 signed bits, whose type hangs
-    on its spelling.
+    on its spelling. ``room`` appends ``no_room``: a number that no 64-bit
+    integer column can hold.
     """
     texts = {"own": F.col("record")}
     if changes:
@@ -88,6 +89,7 @@ def event_cells(routed: DataFrame, changes: bool = True, raw: bool = True) -> Da
         "op",
         "column_name",
         *(["raw"] if raw else []),
+        *([_no_room(F.col("tag"), F.col("value")).alias("no_room")] if room else []),
         infer_type_code(F.col("tag"), F.col("token")).alias("type_code"),
         (F.col("tag").isNull() | (F.col("tag") == "VOID")).alias("is_null"),
         "is_change",
@@ -95,6 +97,24 @@ def event_cells(routed: DataFrame, changes: bool = True, raw: bool = True) -> Da
     )
 
 
+def _no_room(tag: Column, value: Column) -> Column:
+    """As ``cast_raw`` to BIGINT: integers beyond 64 signed bits are decimals or doubles, both rounded."""
+    fits = F.coalesce(fits_bigint(F.try_variant_get(value, "$", "double")), F.lit(False))
+    return F.when(tag.startswith("DECIMAL") | tag.isin("DOUBLE", "FLOAT"), ~fits).otherwise(F.lit(False))
+
+
+def cell_kinds(events: DataFrame) -> DataFrame:
+    """The kinds of values of each column, with the first number of each; few rows, whatever the batch.
+
+    ``table_name, column_name, type_code, is_null, no_room, is_delete, seq``,
+    enough for ``infer_from_cells`` and ``conflicting_kinds``.
+    """
+    cells = event_cells(events, raw=False, room=True)
+    values = cells.where(~F.col("overridden") & F.col("column_name").isNotNull())
+    kind = [*_COLUMN, "type_code", "is_null", "no_room", (F.col("op") == "delete").alias("is_delete")]
+    return values.groupBy(*kind).agg(F.min("seq").alias("seq"))
+
+
 def _cells(events: DataFrame, changes: bool, raw: bool) -> DataFrame:
     return events if "overridden" in events.columns else event_cells(events, changes, raw)
 
@@ -271,6 +291,14 @@ def conflicting_cells(values: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
+def conflicting_kinds(kinds: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``seq`` of the first value of each kind that ``conflicting_cells`` would name."""
+    joined = kinds.where(~F.col("is_null")).join(catalog.select(*_COLUMN, "data_type"), _COLUMN)
+    fits = storable(F.col("data_type"), type_name(F.col("type_code")))
+    overflow = (F.col("data_type") == "BIGINT") & fits & F.col("no_room")
+    return joined.where(~fits | overflow).select("seq")
+
+
 def cast_cells(routed: DataFrame, catalog: DataFrame) -> DataFrame:
     """Every stored value converted to its column's type, as text."""
     joined = typed_cells(routed, effective=True).join(catalog.select(*_COLUMN, "data_type"), _COLUMN)

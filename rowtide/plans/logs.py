@@ -14,10 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def source_events(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    """The events table, or the named columns of it."""
+def source_events(
+    spark: SparkSession, sf_dir: str, columns: list[str] | None = None, spread: bool = False
+) -> DataFrame:
+    """The events table, or the named columns of it.
+
+    The file may have fewer row groups than there are cores. With ``spread``
+    its rows are dealt over all of them before they grow into messages.
+    """
     events = table(spark, sf_dir, "events")
-    return events.select(*(columns or events.columns))
+    events = events.select(*(columns or events.columns))
+    return events.repartition(spread_tasks(spark)) if spread else events
+
+
+def spread_tasks(spark: SparkSession) -> int:
+    return max(4, spark.sparkContext.defaultParallelism)
 
 
 def action_text() -> Column:
@@ -62,12 +73,12 @@ def message(record: Column, metadata: Column, action: Column, changes: Column, t
     )
 
 
-def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def change_log(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """``seq, value``: one envelope per event, all for table ``users``."""
     value = message(
         F.to_json(F.struct(*record_fields())), metadata_text(F.lit("users")), action_text(), changes_text(), instant_text()
     )
-    return source_events(spark, sf_dir).select(F.col("event_id").alias("seq"), value.alias("value"))
+    return source_events(spark, sf_dir, spread=spread).select(F.col("event_id").alias("seq"), value.alias("value"))
 
 
 def multi_table_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +117,7 @@ def dirty_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_events(spark, sf_dir).select(F.col("event_id").alias("seq"), cut.alias("value"))
 
 
-def defect_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def defect_log(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """``change_log`` with three of the defects of ``dirty_log`` and the number in the metadata."""
     def every(n):
         return F.col("event_id") % n == 0
@@ -120,7 +131,7 @@ def defect_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         changes_text(),
     )
     cut = F.when(every(89) & ~every(97), F.substring(text, 1, 40)).otherwise(text)
-    return source_events(spark, sf_dir).select(F.col("event_id").alias("seq"), cut.alias("value"))
+    return source_events(spark, sf_dir, spread=spread).select(F.col("event_id").alias("seq"), cut.alias("value"))
 
 
 def drift_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,18 +18,19 @@ from rowtide.streaming.seen import SeenEvents
 from rowtide.streaming.store import EventLogStore, TableStore
 
 _USERS = UPSERT + "SELECT * FROM final"
-FILES = 4
+# Messages of one micro-batch where files do not bound it.
+BATCH_BYTES = 1 << 30
 
 
-def _landed(log: DataFrame, path: str) -> None:
-    # one piece after the other: file sources take files in the order they
-    # were written, so with FILES per trigger each piece is one batch
-    for piece in logs.pieces(log):
-        _land_piece(piece, path)
-
+def _landed(log: DataFrame, path: str) -> int:
+    """Land the pieces of a spread log; the number of files each may have.
 
-def _land_piece(piece: DataFrame, path: str) -> None:
-    land_text(piece.repartition(FILES), path)
+    One piece after the other: file sources take files in the order they were
+    written, so with as many per trigger each piece is one batch.
+    """
+    for piece in logs.pieces(log):
+        land_text(piece, path)
+    return logs.spread_tasks(log.sparkSession)
 
 
 def _drain(source: DataFrame, sinks, root: str, **options) -> None:
@@ -43,9 +44,9 @@ def _users(store: TableStore) -> DataFrame:
 @query(_USERS)
 def stream_replay(spark, sf_dir):
     root = work_dir(spark, "stream_replay")
-    _landed(logs.change_log(spark, sf_dir), f"{root}/in")
+    files = _landed(logs.change_log(spark, sf_dir, spread=True), f"{root}/in")
     store = TableStore(spark, f"{root}/tables", buckets=4)
-    _drain(read_changes(spark, f"{root}/in", max_per_trigger=FILES), [store], root)
+    _drain(read_changes(spark, f"{root}/in", max_per_trigger=files), [store], root)
     return _users(store)
 
 
@@ -69,14 +70,14 @@ def stream_fan_out(spark, sf_dir):
     A dirty batch would be refused by the table, so each log has its own flow; both flows have both sinks.
     """
     root = work_dir(spark, "stream_fan_out")
-    _landed(logs.change_log(spark, sf_dir), f"{root}/clean")
+    files = _landed(logs.change_log(spark, sf_dir, spread=True), f"{root}/clean")
     table = TableStore(spark, f"{root}/tables", buckets=4, flow="clean")
     echo = EventLogStore(spark, f"{root}/echo", "clean", flow="clean")
-    _drain(read_changes(spark, f"{root}/clean", max_per_trigger=2 * FILES), [table, echo], f"{root}/a")
-    _landed(logs.defect_log(spark, sf_dir), f"{root}/dirty")
+    _drain(read_changes(spark, f"{root}/clean", max_per_trigger=2 * files), [table, echo], f"{root}/a")
+    _landed(logs.defect_log(spark, sf_dir, spread=True), f"{root}/dirty")
     log = EventLogStore(spark, f"{root}/log", "dirty", flow="dirty")
     refused = TableStore(spark, f"{root}/refused", buckets=4, flow="dirty")
-    source = read_changes(spark, f"{root}/dirty", max_per_trigger=2 * FILES)
+    source = read_changes(spark, f"{root}/dirty", max_per_trigger=2 * files)
     _drain(source, [log, refused], f"{root}/b", rejects_path=f"{root}/rejects")
     none = F.lit(None)
     users = _users(table).select(
@@ -105,11 +106,11 @@ FROM log"""
 def stream_live_counts(spark, sf_dir):
     """Statistics of a running flow from what its batches observed, without a job that counts."""
     root = work_dir(spark, "stream_live_counts")
-    _landed(logs.defect_log(spark, sf_dir), f"{root}/in")
+    files = _landed(logs.defect_log(spark, sf_dir, spread=True), f"{root}/in")
     store = EventLogStore(spark, f"{root}/log", "dirty", flow="dirty")
     log = FlowLog(spark, f"{root}/flows")
     try:
-        source = read_changes(spark, f"{root}/in", max_per_trigger=FILES)
+        source = read_changes(spark, f"{root}/in", max_per_trigger=files)
         flow = run_flow(source, [store], f"{root}/checkpoint", f"{root}/rejects", available_now=True, name="dirty", log=log)
         flow.awaitTermination()
         log.wait(flow)
@@ -122,10 +123,10 @@ def stream_live_counts(spark, sf_dir):
 def stream_two_flows(spark, sf_dir):
     """Each half of the log by a flow of its own, with a checkpoint of its own, into one store."""
     root = work_dir(spark, "stream_two_flows")
-    for name, half in zip(("first", "second"), logs.pieces(logs.change_log(spark, sf_dir), 2), strict=True):
-        _land_piece(half, f"{root}/{name}")
+    for name, half in zip(("first", "second"), logs.pieces(logs.change_log(spark, sf_dir, spread=True), 2), strict=True):
+        land_text(half, f"{root}/{name}")
         store = TableStore(spark, f"{root}/tables", buckets=4, flow=name)
-        _drain(read_changes(spark, f"{root}/{name}"), [store], f"{root}/{name}-run")
+        _drain(read_changes(spark, f"{root}/{name}", max_bytes_per_trigger=BATCH_BYTES), [store], f"{root}/{name}-run")
     return _users(store)
 
 
@@ -134,7 +135,7 @@ def stream_retry(spark, sf_dir):
     """The middle batch is refused for its table name, later ones are written, and it is retried last."""
     root = work_dir(spark, "stream_retry")
     store = TableStore(spark, f"{root}/tables", buckets=4)
-    first, middle, last = (materialize(logs.changes(p), "piece") for p in logs.pieces(logs.change_log(spark, sf_dir)))
+    first, middle, last = (materialize(logs.changes(p), "piece") for p in logs.pieces(logs.change_log(spark, sf_dir, spread=True)))
     broken = middle.withColumn("table_name", F.when(F.col("seq") % 50 > 0, F.col("table_name")))
     assert store.apply(first, 0) and not store.apply(broken, 1) and store.apply(last, 2)
     held = store.failed().where("batch = 1")
@@ -147,7 +148,7 @@ def stream_retry(spark, sf_dir):
 def stream_crash(spark, sf_dir):
     """A run that ends before its last batch is in the ledger, and the same batch again."""
     root = work_dir(spark, "stream_crash")
-    first, second, last = (materialize(logs.changes(p), "piece") for p in logs.pieces(logs.change_log(spark, sf_dir)))
+    first, second, last = (materialize(logs.changes(p), "piece") for p in logs.pieces(logs.change_log(spark, sf_dir, spread=True)))
     store = TableStore(spark, f"{root}/tables", buckets=4)
     assert store.apply(first, 0)
 
@@ -174,12 +175,12 @@ SELECT CAST(seq AS BIGINT) AS seq FROM log WHERE seq >= (SELECT middle FROM cut)
 def stream_latest(spark, sf_dir):
     """A reader that starts after the first half has landed."""
     root = work_dir(spark, "stream_latest")
-    first, second = logs.pieces(logs.change_log(spark, sf_dir), 2)
-    _land_piece(first, f"{root}/in")
+    first, second = logs.pieces(logs.change_log(spark, sf_dir, spread=True), 2)
+    land_text(first, f"{root}/in")
     time.sleep(1.1)
     since = spark.sql("SELECT date_format(now(), 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS t").first()["t"]
     time.sleep(0.1)
-    _land_piece(second, f"{root}/in")
+    land_text(second, f"{root}/in")
     source = read_changes(spark, f"{root}/in", start="latest", since=since)
     writer = source.select("seq").writeStream.format("parquet").trigger(availableNow=True)
     writer.option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").start().awaitTermination()
@@ -191,11 +192,11 @@ def stream_resume(spark, sf_dir):
     """Stopped after two pieces, resumed on the same checkpoint for the rest."""
     root = work_dir(spark, "stream_resume")
     store = TableStore(spark, f"{root}/tables", buckets=4)
-    pieces = logs.pieces(logs.change_log(spark, sf_dir))
+    pieces = logs.pieces(logs.change_log(spark, sf_dir, spread=True))
     for part in (pieces[:2], pieces[2:]):
         for piece in part:
-            _land_piece(piece, f"{root}/in")
-        _drain(read_changes(spark, f"{root}/in"), [store], root)
+            land_text(piece, f"{root}/in")
+        _drain(read_changes(spark, f"{root}/in", max_bytes_per_trigger=BATCH_BYTES), [store], root)
     return _users(store)
 
 
@@ -208,7 +209,7 @@ FROM log WHERE user_id % 3 = 1 AND op = 'update'"""
 )
 def event_log_append(spark, sf_dir):
     root = work_dir(spark, "event_log_append")
-    timed = logs.source_events(spark, sf_dir)
+    timed = logs.source_events(spark, sf_dir, spread=True)
     target = F.concat(F.lit("users_"), (F.col("user_id") % 3).cast("string"))
     text = logs.message(
         F.to_json(F.struct(*logs.record_fields())), logs.metadata_text(target), logs.action_text(),
@@ -258,8 +259,8 @@ SELECT CAST(epoch_us(ts) // 60000000 * 60 AS BIGINT) AS minute_second, count(*)
 def stream_throughput(spark, sf_dir):
     """Per-minute counts kept by the stream itself."""
     root = work_dir(spark, "stream_throughput")
-    _landed(logs.change_log(spark, sf_dir), f"{root}/in")
-    decoded = envelope.decode_envelope(read_changes(spark, f"{root}/in", max_per_trigger=2 * FILES))
+    files = _landed(logs.change_log(spark, sf_dir, spread=True), f"{root}/in")
+    decoded = envelope.decode_envelope(read_changes(spark, f"{root}/in", max_per_trigger=2 * files))
     series = metrics.throughput(envelope.split_rejects(decoded)[0], late="10 minutes")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
@@ -277,10 +278,11 @@ def stream_throughput(spark, sf_dir):
 def stream_dedup(spark, sf_dir):
     """Every message delivered twice, reduced to one by the stream."""
     root = work_dir(spark, "stream_dedup")
-    for piece in logs.pieces(logs.change_log(spark, sf_dir)):
+    for piece in logs.pieces(logs.change_log(spark, sf_dir, spread=True)):
         twice = piece.select("seq", "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-        _land_piece(twice, f"{root}/in")
-    decoded = envelope.decode_envelope(read_changes(spark, f"{root}/in", max_per_trigger=2 * FILES))
+        land_text(twice, f"{root}/in")
+    files = logs.spread_tasks(spark)
+    decoded = envelope.decode_envelope(read_changes(spark, f"{root}/in", max_per_trigger=2 * files))
     once = batches.dedup_stream(envelope.split_rejects(decoded)[0], "id", late="1 day")
     writer = once.select("id", "action", "record").writeStream.format("parquet").trigger(availableNow=True)
     writer.option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").start().awaitTermination()
@@ -292,14 +294,15 @@ def stream_dedup(spark, sf_dir):
 def stream_dedup_late(spark, sf_dir):
     """Every message delivered again after all the others, counted once without a watermark."""
     root = work_dir(spark, "stream_dedup_late")
-    log = materialize(logs.change_log(spark, sf_dir), "log")
+    log = materialize(logs.change_log(spark, sf_dir, spread=True), "log")
     for piece in logs.pieces(log) + logs.pieces(log, 1):
-        _land_piece(piece, f"{root}/in")
-    good = envelope.split_rejects(envelope.decode_envelope(read_changes(spark, f"{root}/in", max_per_trigger=FILES)))[0]
+        land_text(piece, f"{root}/in")
+    source = read_changes(spark, f"{root}/in", max_per_trigger=logs.spread_tasks(spark))
+    good = envelope.split_rejects(envelope.decode_envelope(source))[0]
     seen = SeenEvents(spark, f"{root}/seen")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        batch = batch.select("seq", "id", "timestamp", "action", "record").persist()
         fresh = seen.fresh(batch, batch_id).select("id", "action", "record")
         fresh.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
         batch.unpersist()

@@ -190,34 +190,42 @@ class TableStore:
         # the ledger and its files are written over
         version = 0 if current is None else current + 1
         catalog = self.catalog(current)
-        cells = schema.typed_cells(events, effective=True).persist()
+        kinds = schema.cell_kinds(events).persist()
         try:
-            grown = self._grow_catalog(events, cells, catalog, version)
-            bad = self._violations(events, cells, catalog, grown, current)
-            rows, error = self._outcome(events, bad)
+            grown = self._grow_catalog(events, kinds, catalog, version)
+            clashes = schema.conflicting_kinds(kinds.where(~F.col("is_delete")), grown)
+            rows, error = self._outcome(events, self._violations(events, clashes, catalog, grown, current))
             if not rows:
                 self.ledger.write(batch_id, started, rejected, 0, True, None, current, rejected, stream)
                 return True
             if error is not None:
+                # only a refused batch is looked through row by row
+                cells = schema.typed_cells(events.where(F.col("op") != "delete"), effective=True)
+                clashes = schema.conflicting_cells(cells, grown).select("seq")
+                bad = self._violations(events, clashes, catalog, grown, current)
                 self._isolate(events, bad, self.ledger.place(batch_id, stream))
                 self.ledger.write(batch_id, started, rows + rejected, 0, False, error, current, rejected, stream)
                 return False
         finally:
-            cells.unpersist()
+            kinds.unpersist()
         self._write_version(events, current, version)
         self.ledger.write(batch_id, started, rows + rejected, rows, True, None, version, rejected, stream)
         return True
 
-    def _grow_catalog(self, events, cells, catalog: DataFrame, version: int) -> DataFrame:
+    def _grow_catalog(self, events, kinds, catalog: DataFrame, version: int) -> DataFrame:
         first_only = self.scope == "first"
-        inferred = schema.infer_schema(events, "first") if first_only else schema.infer_from_cells(cells)
+        inferred = schema.infer_schema(events, "first") if first_only else schema.infer_from_cells(kinds)
         path = f"{self.root}/catalog/version={version}"
         grown = schema.extend_catalog(catalog, inferred, self.schema_name)
         grown.coalesce(1).write.mode("overwrite").parquet(path)
         return self.spark.read.schema(CATALOG).parquet(path)
 
-    def _violations(self, events, cells, catalog: DataFrame, grown: DataFrame, current: int | None) -> DataFrame:
-        """``seq, rank, violation`` of every row that cannot be written; nothing when all can."""
+    def _violations(self, events, clashes, catalog: DataFrame, grown: DataFrame, current: int | None) -> DataFrame:
+        """``seq, rank, violation`` of every row that cannot be written; nothing when all can.
+
+        ``clashes`` has the numbers of rows with values of another type: all of
+        them, or at least the first.
+        """
         checks = [replay.row_violations(events, self.policy).select("seq", "violation")]
         if not (self.auto_create and self.auto_add):
             refused = schema.schema_violations(events, catalog, self.auto_create, self.auto_add)
@@ -227,7 +235,6 @@ class TableStore:
             unseen = schema.schema_violations(events, grown, auto_add=False)
             checks.append(unseen.select("seq", "violation"))
         if self.check_types:
-            clashes = schema.conflicting_cells(cells.where(F.col("op") != "delete"), grown)
             checks.append(clashes.select("seq", F.lit("type_conflict").alias("violation")))
         if self.policy == "replace":
             held = replay.live_rows(self._read_buckets(self._touched(events, current)))
