@@ -229,3 +229,35 @@ def test_evolve(spark):
     grown = schema.evolve(spark.range(2), {"id": "BIGINT", "j": "JSONB", "f": "BOOLEAN"})
     assert grown.dtypes == [("id", "bigint"), ("j", "string"), ("f", "boolean")]
     assert grown.where("j is null and f is null").count() == 2
+
+
+def test_kinds_name_the_conflicts_of_the_cells(spark):
+    values = [
+        "null", "true", "1", "-1", "1.5", "1.0", "1e2", "1e30", "-1e30", "1e400", "9223372036854775807", "9223372036854775808",
+        "-9223372036854775808", "-9223372036854775809", "18446744073709551615", "18446744073709551616",
+        "9223372036854775807.0", "0.10000000000000000000001", '"x"', '"18446744073709551615"', "[1]", '{"a":1}',
+    ]
+    rows = [(i, f"t{j}", "update", "insert", f'{{"id":{i},"c":{v}}}', None) for i, v in enumerate(values) for j in range(6)]
+    rows.append((99, "t2", "update", "insert", '{"id":1,"c":2}', '{"c":1e40}'))
+    events = spark.createDataFrame(rows, "seq bigint, table_name string, op string, action string, record string, changes string")
+    kinds = schema.cell_kinds(events)
+    cells = schema.typed_cells(events, effective=True)
+    got = {tuple(r) for r in schema.infer_from_cells(kinds).collect()}
+    assert got == {tuple(r) for r in schema.infer_from_cells(cells).collect()}
+    catalog = spark.createDataFrame(
+        [(f"t{j}", "c", name) for j, name in enumerate(["TEXT", "BOOLEAN", "BIGINT", "DOUBLE", "UUID", "JSONB"])],
+        "table_name string, column_name string, data_type string",
+    )
+    wrong = schema.conflicting_cells(cells, catalog)
+    for j in range(6):
+        table = F.col("table_name") == f"t{j}"
+        first = wrong.where(table).agg(F.min("seq")).first()[0]
+        assert schema.conflicting_kinds(kinds.where(table), catalog).agg(F.min("seq")).first()[0] == first
+    # in the integer column, each value by itself
+    alone = schema.cell_kinds(events.where("table_name = 't2'").withColumn("table_name", F.concat(F.lit("s"), F.col("seq").cast("string"))))
+    each = catalog.where("data_type = 'BIGINT'").crossJoin(events.select("seq").distinct()).select(
+        F.concat(F.lit("s"), F.col("seq").cast("string")).alias("table_name"), "column_name", "data_type"
+    )
+    assert sorted(r.seq for r in schema.conflicting_kinds(alone, each).collect()) == sorted(
+        {r.seq for r in wrong.where("table_name = 't2'").collect()}
+    )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rowtide.operators import batches, envelope, metrics, replay
 from rowtide.operators.lookup import event_log
+from rowtide.plans import logs
 from rowtide.sources.changes import land_text, read_changes
 from rowtide.streaming.flow import read_rejects, run_flow
 from rowtide.streaming.live import FlowLog
@@ -446,3 +447,52 @@ def test_bare_lines_have_no_live_log(spark, tmp_path):
             run_flow(read_changes(spark, str(tmp_path / "in"), order="arrival"), [], str(tmp_path / "checkpoint"), log=live)
     finally:
         live.close()
+
+
+def test_spread_log_has_the_same_rows_over_all_cores(spark, tmp_path):
+    events = spark.range(200).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), (F.col("id") % 7).alias("user_id"),
+        F.lit("view").alias("event_type"), F.lit(1.5).alias("value"), F.lit('{"k": 3}').alias("props"),
+    )
+    # one file of one row group, one task
+    events.unionByName(events.limit(5)).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    for log in (logs.change_log, logs.defect_log):
+        plain, dealt = log(spark, str(tmp_path)), log(spark, str(tmp_path), spread=True)
+        sizes = [r.n for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) == logs.spread_tasks(spark) and sum(sizes) == 205 and max(sizes) < 60
+        assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_ids_are_judged_without_the_rest_of_their_events(spark, tmp_path):
+    seen = SeenEvents(spark, str(tmp_path / "seen"))
+    rows = [(1, "a", "2024-01-05"), (2, "a", "2024-01-05"), (3, None, None), (4, None, None)]
+    batch = spark.createDataFrame(rows, "seq bigint, id string, at string").select(
+        "seq", "id", F.col("at").cast("timestamp").alias("timestamp")
+    )
+    unread = batch.withColumn("record", F.raise_error(F.concat(F.lit("read "), F.col("seq").cast("string"))).cast("string"))
+    fresh = seen.fresh(unread, 0)  # takes note of the ids
+    assert sorted(r.id or "" for r in seen.known().collect()) == ["", "a"]
+    with pytest.raises(Exception, match="read"):
+        fresh.collect()
+    assert sorted(r.seq for r in seen.fresh(batch, 0).collect()) == [1, 3]
+    # an event without an id is new in every batch
+    assert [r.id for r in seen.fresh(batch, 1).collect()] == [None]
+
+
+def test_a_batch_is_kept_once(spark, tmp_path):
+    kept = []
+
+    class Sink:
+        def apply(self, events, batch_id, rejected=0, stream=""):
+            rows = sorted((r.seq, r.pk) for r in events.collect())
+            kept.append((rows, rejected, spark.sparkContext._jsc.getPersistentRDDs().size() - before))
+            return True
+
+    land(spark, [(0, "t", "1", "insert", {"id": "1", "a": "x"})], tmp_path / "in")
+    spark.createDataFrame([("6\tbroken",)], "value string").coalesce(1).write.mode("append").text(str(tmp_path / "in"))
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    run_flow(
+        read_changes(spark, str(tmp_path / "in")), [Sink()], str(tmp_path / "c"), str(tmp_path / "rejects"), available_now=True
+    ).awaitTermination()
+    assert kept == [([(0, "1")], 1, 1)]
+    assert [(r.seq, r.payload) for r in read_rejects(spark, str(tmp_path / "rejects")).collect()] == [(6, "broken")]
