@@ -7,7 +7,7 @@ the class goes to the child named by its own value there. Two classes of the
 wanted similarity share each selected coordinate with that probability, so the
 number of their common paths stays 1 on average at every depth, while unlike
 classes part at once. Nodes with few classes are compared exhaustively; larger
-ones branch on. A pair is a link only when the full sets confirm it.
+ones, and they alone, branch on. A pair is a link only when the full sets confirm it.
 
 A node first compares the minhashes, after the sets' sizes. Each class names one
 likely partner, of the surest ones that of the smallest name, which a crowd of
@@ -15,8 +15,9 @@ near copies has in common; the full sets confirm these pairs. Where a node then
 still has likely pairs of two components, it gets the sets of their classes,
 and one task finds every link between them by the sizes of all intersections,
 and passes on only what joins components. So no link between components is
-lost, and a crowd does not emit its pairs. A node that still is large at the last level holds a crowd. Its least class
-is the hub; nodes with one hub, mostly of several trees, are taken together, so
+lost, and a crowd does not emit its pairs. A node that still is large at the last level holds a crowd. Its class that
+is in most such nodes is the hub, as what a crowd's members are copies of is in
+nearly all; nodes with one hub, mostly of several trees, are taken together, so
 that a crowd is compared once and not in every tree. They are cut into pieces
 that all contain the hub, which joins the crowd. Where classes of other
 components are left, they are then compared with every piece.
@@ -110,17 +111,21 @@ def walk(sigs: np.ndarray, trees: range, depth: int) -> tuple[np.ndarray, np.nda
     """Row numbers and nodes at ``depth`` of every chosen path."""
     rows = np.tile(np.arange(len(sigs)), len(trees))
     paths = np.repeat(mix(np.array(trees, dtype=np.uint64) + np.uint64(0x5EED)), len(sigs))
-    second = np.uint64(int(SECOND_BRANCH * 2**64))
     for _ in range(depth):
-        draw = mix(paths ^ np.uint64(0xC0FFEE))
-        first = (draw % np.uint64(COORDINATES)).astype(np.int64)
-        twice = np.flatnonzero(mix(paths ^ np.uint64(0xBEEF)) < second)
-        other = (first[twice] + 1 + (draw[twice] >> np.uint64(32)).astype(np.int64) % (COORDINATES - 1)) % COORDINATES
-        rows, paths, at = np.append(rows, rows[twice]), np.append(paths, paths[twice]), np.append(first, other)
-        paths = mix(mix(paths) ^ (at.astype(np.uint64) << np.uint64(16) | sigs[rows, at].astype(np.uint64)))
+        rows, paths = branch(sigs, rows, paths)
     return rows, paths
 
 
+def branch(sigs: np.ndarray, rows: np.ndarray, paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and nodes one level below the nodes ``paths`` of ``rows``."""
+    draw = mix(paths ^ np.uint64(0xC0FFEE))
+    first = (draw % np.uint64(COORDINATES)).astype(np.int64)
+    twice = np.flatnonzero(mix(paths ^ np.uint64(0xBEEF)) < np.uint64(int(SECOND_BRANCH * 2**64)))
+    other = (first[twice] + 1 + (draw[twice] >> np.uint64(32)).astype(np.int64) % (COORDINATES - 1)) % COORDINATES
+    rows, paths, at = np.append(rows, rows[twice]), np.append(paths, paths[twice]), np.append(first, other)
+    return rows, mix(mix(paths) ^ (at.astype(np.uint64) << np.uint64(16) | sigs[rows, at].astype(np.uint64)))
+
+
 def nodes(classes: DataFrame, trees: range, depth: int) -> DataFrame:
     """``node, cls`` of every path at ``depth``."""
 
@@ -129,14 +134,34 @@ def nodes(classes: DataFrame, trees: range, depth: int) -> DataFrame:
             if batch.num_rows == 0:
                 continue
             names = batch.column(0).to_numpy()
-            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u2").reshape(-1, COORDINATES)
-            rows, paths = walk(sigs, trees, depth)
+            rows, paths = walk(_sigs(batch.column(1)), trees, depth)
             yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), pa.array(names[rows])], names=["node", "cls"])
 
     # A path may reach a node twice by taking one coordinate twice; such rows are equal and do no harm.
     return classes.select("cls", "sig").mapInArrow(walked, "node bigint, cls bigint")
 
 
+def children(classes: DataFrame, stuck: DataFrame) -> DataFrame:
+    """``node, cls`` one level below the rows ``node, cls`` of ``stuck``."""
+
+    def branched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            names, above = batch.column(0).to_numpy(), batch.column(2)
+            rows = np.repeat(np.arange(len(names)), above.value_lengths().to_numpy())
+            rows, paths = branch(_sigs(batch.column(1)), rows, above.flatten().to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), pa.array(names[rows])], names=["node", "cls"])
+
+    # a class has a few nodes in each tree, so its list stays short
+    above = stuck.groupBy("cls").agg(F.collect_list("node").alias("above"))
+    return classes.join(above, "cls").select("cls", "sig", "above").mapInArrow(branched, "node bigint, cls bigint")
+
+
+def _sigs(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, COORDINATES)
+
+
 def likely(units: DataFrame, similarity: int, first: bool) -> DataFrame:
     """What in each unit may be linked, by minhashes and sizes of the sets.
 
@@ -262,8 +287,7 @@ def settled(units: DataFrame, similarity: int) -> DataFrame:
 
 
 def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
-    sig = np.frombuffer(b"".join(table.column(4).to_pylist()), dtype="<u2").reshape(-1, COORDINATES)
-    return (*(table.column(i).to_numpy() for i in range(4)), sig)
+    return (*(table.column(i).to_numpy() for i in range(4)), _sigs(table.column(4)))
 
 
 def _pairs(unit: list, a: list, b: list) -> pa.RecordBatch:
@@ -397,9 +421,12 @@ def _pieces(stuck: DataFrame, sizes: DataFrame) -> DataFrame:
     return own.unionByName(hubs).select("node", F.xxhash64("node", "piece").alias("unit"), "cls")
 
 
-def _crowds(stuck: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _crowds(stuck: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Large nodes with one hub as one: ``node, cls`` and ``node, n, hub``, the hub being the node's name."""
-    hubs = large.select(F.col("node").alias("of"), "hub")
+    often = stuck.groupBy("cls").agg(F.count("*").alias("often"))
+    rank = F.struct((-F.col("often")).alias("rank"), "cls")
+    hubs = stuck.join(often, "cls").groupBy(F.col("node").alias("of")).agg(F.min(rank)["cls"].alias("hub"))
+    hubs = materialize(hubs, "hubs")
     members = stuck.join(hubs, F.col("node") == F.col("of")).select(F.col("hub").alias("node"), "cls").distinct()
     members = materialize(members, "crowds")
     sizes = members.groupBy("node").agg(F.count("*").alias("n")).withColumn("hub", F.col("node"))
@@ -410,44 +437,38 @@ def _search_trees(search: _Search, trees: range, depth: int, deeper: int, small_
     """Join what the nodes of ``trees``, from ``depth`` on ``deeper`` levels down, show to be linked."""
 
     def unsettled(placed: DataFrame) -> DataFrame:
-        """Nodes with classes of two components or more: ``node, n, hub``."""
-        sizes = _with_comp(placed, search.labels).groupBy("node").agg(
-            F.count("*").alias("n"), F.min("cls").alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        return materialize(sizes.where("low <> high").select("node", "n", "hub"), "node-sizes")
+        """Nodes with classes of two components or more: ``node, n``."""
+        sizes = _with_comp(placed, search.labels).groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        return materialize(sizes.where("low <> high").select("node", "n"), "node-sizes")
 
-    walking, units, stuck, large = search.classes, None, None, None
+    units, stuck = None, None
     for level in range(depth, depth + deeper + 1):
-        placed = materialize(nodes(walking, trees, level), "nodes")
-        sizes = unsettled(placed)
-        few = sizes.where(F.col("n") <= small_node).select("node")
-        small = placed.join(few, "node").select(F.col("node").alias("unit"), "cls")
+        # Only large nodes branch on; what shares a node below a small one is compared in the small one.
+        placed = materialize(nodes(search.classes, trees, level) if stuck is None else children(search.classes, stuck), "nodes")
+        open_ = materialize(placed.join(unsettled(placed), "node"), "open-nodes")
+        small = open_.where(F.col("n") <= small_node).select(F.col("node").alias("unit"), "cls")
         units = small if units is None else units.unionByName(small)
-        # small and of known size where there are few such nodes, so that the join below need not shuffle
-        large = materialize(sizes.where(F.col("n") > small_node), "large-sizes")
-        if large.isEmpty():
+        stuck = open_.where(F.col("n") > small_node)
+        if stuck.isEmpty():
             stuck = None
             break
-        stuck = materialize(placed.join(large.select("node"), "node"), "large-nodes")
-        walking = search.classes.join(stuck.select("cls").distinct(), "cls", "left_semi")
     if stuck is not None:
-        stuck, large = _crowds(stuck, large)
-        pieces = materialize(_pieces(stuck, large), "pieces")
+        stuck, crowds = _crowds(stuck)
+        pieces = materialize(_pieces(stuck, crowds), "pieces")
         units = units.unionByName(pieces.select("unit", "cls"))
     units = materialize(units.distinct(), "units")
     if last or search.partners(units):
         search.exhaust(units)
     if stuck is None or not last:
         return
-    large = unsettled(stuck)
-    if large.isEmpty():
-        return
-    stuck, pieces = (x.join(large.select("node"), "node") for x in (stuck, pieces))
     # Classes outside the hub's component meet every piece of their node.
-    comps = _with_comp(stuck.join(large.select("node", "hub"), "node"), search.labels)
-    hub_comp = _with_comp(large.select("node", F.col("hub").alias("cls")), search.labels).select(F.col("node").alias("n2"), F.col("comp").alias("hub_comp"))
+    comps = _with_comp(stuck, search.labels)
+    hub_comp = _with_comp(crowds.select("node", F.col("hub").alias("cls")), search.labels).select(F.col("node").alias("n2"), F.col("comp").alias("hub_comp"))
     outside = comps.join(hub_comp, F.col("node") == F.col("n2")).where("comp <> hub_comp").select("node", "cls")
+    outside = materialize(outside, "outside")
+    if outside.isEmpty():
+        return
     # many outsiders come in parts, so that a unit stays small
-    outside = materialize(outside.distinct(), "outside")
     counts = outside.groupBy("node").agg(F.ceil(F.count("*") / (small_node // 2)).cast("int").alias("parts"))
     parts = outside.join(counts, "node").select("node", "cls", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"))
     units_of = pieces.join(counts, "node").select("node", F.col("unit").alias("piece"), "cls", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))

@@ -73,6 +73,52 @@ def test_crowd_of_near_copies(spark):
     assert got == components(texts, 2)
 
 
+class _Recorder:
+    """What a search is given, as ``unit -> classes``; it finds no links."""
+
+    def __init__(self, classes):
+        self.classes, self.labels, self.units = classes, None, {}
+
+    def partners(self, units):
+        for r in units.collect():
+            self.units.setdefault(r["unit"], set()).add(r["cls"])
+        return False
+
+    exhaust = partners
+
+
+def test_only_large_nodes_branch_on(spark):
+    """What is below a small node was compared in it; it must not come again, in its own tree or by way of another."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 16, minhash.COORDINATES)
+    sigs = np.where(rng.random((400, minhash.COORDINATES)) < 0.7, base, rng.integers(0, 1 << 16, (400, minhash.COORDINATES))).astype("<u2")
+    classes = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sigs)], "cls bigint, sig binary")
+    search, trees, small = _Recorder(classes), range(6), 150
+    minhash._search_trees(search, trees, 1, 2, small, last=False)
+    wanted, below = {}, 0
+    for tree in trees:
+        large = set(range(400))
+        for depth in (1, 2, 3):
+            members = {}
+            for row, path in zip(*minhash.walk(sigs, range(tree, tree + 1), depth), strict=True):
+                members.setdefault(int(path.view(np.int64)), set()).add(int(row))
+            found = {node for node in members if node in search.units}
+            assert all(search.units[node] == members[node] for node in found)
+            assert {c for node in found for c in members[node]} <= large
+            below += len(found) if depth > 1 else 0
+            wanted |= {node: m for node, m in members.items() if 1 < len(m) <= small and m <= large} if depth == 1 else {}
+            large = {c for m in members.values() if len(m) > small for c in m}
+    assert wanted.keys() <= search.units.keys() and below > 0
+
+
+def test_hub_is_what_most_large_nodes_share(spark):
+    """Large nodes of a crowd are one by what nearly all of them hold, though each has another least class."""
+    rows = [(node, cls) for node in range(5) for cls in [node, 100, *range(200 + node, 230 + node)]]
+    members, sizes = minhash._crowds(spark.createDataFrame(rows, "node bigint, cls bigint"))
+    assert [(r["node"], r["hub"]) for r in sizes.collect()] == [(100, 100)]
+    assert sorted(r["cls"] for r in members.collect()) == sorted({cls for _, cls in rows})
+
+
 def test_common_counts():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 3000, n).astype(np.uint64)) for n in (0, 1, 40, 900, 900, 2500)]
