@@ -91,7 +91,7 @@ def test_only_large_nodes_branch_on(spark):
     """What is below a small node was compared in it; it must not come again, in its own tree or by way of another."""
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 16, minhash.COORDINATES)
-    sigs = np.where(rng.random((400, minhash.COORDINATES)) < 0.7, base, rng.integers(0, 1 << 16, (400, minhash.COORDINATES))).astype("<u2")
+    sigs = np.where(rng.random((400, minhash.COORDINATES)) < 0.7, base, rng.integers(0, 3, (400, minhash.COORDINATES))).astype("<u2")
     classes = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sigs)], "cls bigint, sig binary")
     search, trees, small = _Recorder(classes), range(6), 150
     minhash._search_trees(search, trees, 1, 2, small, last=False)
